@@ -217,7 +217,8 @@ def resolve_categories(
         categories.join(grouping.select("grouping_name", "grouping_id"), "grouping_name"), max_name_len
     )
     names = F.transform("path", lambda step: step["category_name"])
-    stored = (
+    # Read three times below, so it is written once.
+    stored = cut_lineage(
         category_paths(t, one_grouping=True)
         .groupBy("grouping_id", names.alias("path"))
         .agg(F.min("category_id").alias("category_id"))

@@ -33,8 +33,8 @@ def visible_by_level(t: Tables) -> DataFrame:
     is no inequality join; every attribute lists the codes at or above its own.
     """
     held = t.user.agg(F.collect_set("sec_level").alias("levels")).scalar()
-    opened = F.filter(held, lambda level: level >= F.col("sec_level"))
-    return t.attribute.select(F.explode(opened).alias("user_level"), "attr_id", "attr_name")
+    listed = t.attribute.select(F.explode(held).alias("user_level"), "sec_level", "attr_id", "attr_name")
+    return listed.where(may_see()).drop("sec_level")
 
 
 def group_access_level(t: Tables, group_names: DataFrame, models: DataFrame) -> DataFrame:

@@ -83,8 +83,8 @@ SAMPLE: dict[str, str] = {
     "grouping": """
         select cast(1 as bigint) as grouping_id, false as is_filter, 'Geo' as grouping_name
         union all
-        select distinct 100 + cast(substring(p_brand, 7) as bigint),
-               cast(substring(p_brand, 7) as bigint) % 2 = 0, p_brand from {part}""",
+        select distinct 100 + try_cast(substring(p_brand, 7) as bigint),
+               try_cast(substring(p_brand, 7) as bigint) % 2 = 0, p_brand from {part}""",
     "category": """
         select cast(1 + r_regionkey as bigint) as category_id, r_name as category_name,
                cast(null as bigint) as parent_category_id, cast(1 as bigint) as grouping_id from {region}
@@ -94,14 +94,14 @@ SAMPLE: dict[str, str] = {
         union all
         select 10000 + s_suppkey, s_name, cast(100 + s_nationkey as bigint), cast(1 as bigint) from {supplier}
         union all
-        select distinct 5000000000 + cast(substring(p_brand, 7) as bigint), p_brand, cast(null as bigint),
-               100 + cast(substring(p_brand, 7) as bigint) from {part}""",
+        select distinct 5000000000 + try_cast(substring(p_brand, 7) as bigint), p_brand, cast(null as bigint),
+               100 + try_cast(substring(p_brand, 7) as bigint) from {part}""",
     "attribute_category": """
         select p_partkey as attr_id, cast(1 as bigint) as grouping_id, 10000 + p_partkey % 10 as category_id
         from {part}
         union all
-        select p_partkey, 100 + cast(substring(p_brand, 7) as bigint),
-               5000000000 + cast(substring(p_brand, 7) as bigint) from {part}""",
+        select p_partkey, 100 + try_cast(substring(p_brand, 7) as bigint),
+               5000000000 + try_cast(substring(p_brand, 7) as bigint) from {part}""",
     "vdt_structure": """
         select cast(1 as bigint) as vdt_id, 'Driver tree' as name
         union all select cast(2 + r_regionkey as bigint), r_name from {region}""",
@@ -360,15 +360,15 @@ class SampleTables(Tables):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self.__dict__["_spark"] = spark
-        self.__dict__["_sf_dir"] = sf_dir
+        self._spark = spark
+        self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         frames = self.__dict__["_frames"]
         if name not in frames:
-            spark = self.__dict__["_spark"]
+            spark = self._spark
             if name in RAW:
-                frames[name] = spark.read.parquet(f"{self.__dict__['_sf_dir']}/{name}.parquet")
+                frames[name] = spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in SAMPLE:
                 sql = SAMPLE[name]
                 frames[name] = spark.sql(sql, **{other: getattr(self, other) for other in needs(sql)})
@@ -377,6 +377,6 @@ class SampleTables(Tables):
         return frames[name]
 
     def replace(self, **frames: DataFrame) -> Tables:
-        copy = SampleTables(self.__dict__["_spark"], self.__dict__["_sf_dir"])
-        copy.__dict__["_frames"] = {**self.__dict__["_frames"], **frames}
+        copy = SampleTables(self._spark, self.sf_dir)
+        copy._frames.update({**self._frames, **frames})
         return copy

@@ -7,39 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leverwise.operators.overlay import apply_changes, latest_changes
-from leverwise.sources.schemas import TABLES
 from leverwise.sources.tables import Tables
 
-INITIAL = "initial"
-
-
-def start_change_table(t: Tables, root: str) -> None:
-    """Write the change table the first micro-batch builds on."""
-    t.scenario_change.write.mode("overwrite").parquet(f"{root}/changes/version={INITIAL}")
-
-
-def read_change_table(t: Tables, root: str, batch_id: int | None) -> DataFrame:
-    """The change table as of a micro-batch."""
-    version = INITIAL if batch_id is None else batch_id
-    spark = t.scenario_change.sparkSession
-    return spark.read.schema(TABLES["scenario_change"]).parquet(f"{root}/changes/version={version}")
+def start_change_feed(t: Tables, root: str) -> None:
+    """Prepare the delta folder, so it can be read before the first micro-batch."""
+    empty = t.scenario_change.limit(0).select(
+        "scenario_id", "attr_id", "new_value", F.lit(False).alias("is_revert"), F.col("scenario_id").alias("user_id")
+    )
+    empty.write.mode("overwrite").parquet(f"{root}/delta/batch=-1")
 
 
 def apply_changes_stream(
     t: Tables, feed: DataFrame, root: str, now: Column, order: list[str], trigger: dict | None = None
 ) -> StreamingQuery:
-    """Run ``apply_changes`` on a stream of change rows.
+    """Take in a stream of change rows (scenario_id, attr_id, new_value, is_revert, user_id, and the order).
 
-    Within a micro-batch the last row of a key by ``order`` wins. Each micro-batch reads the change table
-    its predecessor left and writes its own version and its own log folder, so a repeated micro-batch
-    overwrites its first attempt instead of counting twice.
+    Within a micro-batch the last row of a key by ``order`` wins. A micro-batch writes only its own delta and
+    log folder, whatever the size of the change table, and a repeated micro-batch overwrites its first
+    attempt instead of counting twice. ``current_changes`` reads the outcome.
     """
 
     def one_batch(rows: DataFrame, batch_id: int) -> None:
-        stored = read_change_table(t, root, batch_id - 1 if batch_id > 0 else None)
-        result = apply_changes(t.replace(scenario_change=stored), latest_changes(rows, order), now)
-        result.scenario_change.write.mode("overwrite").parquet(f"{root}/changes/version={batch_id}")
-        result.log.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
+        delta = latest_changes(rows, order).select("scenario_id", "attr_id", "new_value", "is_revert", "user_id")
+        delta.write.mode("overwrite").parquet(f"{root}/delta/batch={batch_id}")
+        stored = t.scenario_change.sparkSession.read.parquet(f"{root}/delta/batch={batch_id}")
+        apply_changes(t, stored, now).log.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
 
     return (
         feed.writeStream.foreachBatch(one_batch)
@@ -49,6 +41,12 @@ def apply_changes_stream(
     )
 
 
+def current_changes(t: Tables, root: str, now: Column) -> DataFrame:
+    """The change table with all deltas so far: the last micro-batch that names a key decides."""
+    deltas = t.scenario_change.sparkSession.read.parquet(f"{root}/delta")
+    return apply_changes(t, latest_changes(deltas, ["batch"]), now).scenario_change
+
+
 def append_facts_stream(feed: DataFrame, path: str, progress: str, trigger: dict | None = None) -> StreamingQuery:
     """Append a stream of audit entries to their history; the file sink writes each micro-batch once."""
     return (
@@ -61,12 +59,6 @@ def append_facts_stream(feed: DataFrame, path: str, progress: str, trigger: dict
     )
 
 
-def last_version(query: StreamingQuery) -> int | None:
-    """Number of the last micro-batch a query ran, None if it ran none."""
-    progress = query.lastProgress
-    return None if progress is None else progress["batchId"]
-
-
 def audit_rows(events: DataFrame) -> DataFrame:
     """Event rows as audit entries."""
     return events.select(
