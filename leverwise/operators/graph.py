@@ -12,6 +12,9 @@ from leverwise.operators.merge import splice
 from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables
 
+# Steps of a graph walk planned in one job.
+STEPS_PER_BLOCK = 4
+
 
 class StructureTables(NamedTuple):
     """Tree tables after an import."""
@@ -77,16 +80,23 @@ def import_structure(t: Tables, structures: DataFrame, nodes: DataFrame, edges:
 def reachable_nodes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) for every node at or below each root, once.
 
-    A frontier walk: each step joins the newly reached nodes with the edges and drops pairs seen before, so
-    shared branches are walked once and cycles end. Every step is checkpointed; the plan stays flat.
+    A frontier walk, a block of steps per job. Pairs are made distinct at every step and dropped if an earlier
+    block saw them, so shared branches are walked once and cycles end. Each block is checkpointed; the plan
+    stays flat however deep the graph is.
     """
-    links = edges.select(F.col("parent_id").alias("node"), "child_id").distinct()
+    links = edges.select(F.col("parent_id").alias("node"), "child_id")
     frontier = cut_lineage(roots.select("root", F.col("root").alias("node")).distinct())
     seen = frontier
     while not frontier.isEmpty():
-        reached = frontier.join(links, "node").select("root", F.col("child_id").alias("node")).distinct()
-        frontier = cut_lineage(reached.join(seen, ["root", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
+        step, steps = frontier, None
+        for number in range(1, STEPS_PER_BLOCK + 1):
+            step = step.join(links, "node").select("root", F.col("child_id").alias("node")).distinct()
+            numbered = step.withColumn("step", F.lit(number))
+            steps = numbered if steps is None else steps.unionByName(numbered)
+        first = steps.groupBy("root", "node").agg(F.min("step").alias("step"))
+        fresh = cut_lineage(first.join(seen, ["root", "node"], "left_anti"))
+        seen = seen.unionByName(fresh.drop("step"))
+        frontier = fresh.where(F.col("step") == STEPS_PER_BLOCK).drop("step")
     return seen
 
 

@@ -120,7 +120,9 @@ SAMPLE: dict[str, str] = {
         select 2 * p_partkey + 1, 2 * cast(floor(p_partkey / 3) as bigint) + 1, 2 * p_partkey + 1, cast(1 as bigint)
         from {part} where p_partkey > 2 and p_partkey % 5 = 0
         union all
-        select 5000000000 + p_partkey, 2 * (p_partkey - 30) + 2, 2 * p_partkey + 2, 2 + p_partkey % 5
+        select 5000000000 + p_partkey,
+               2 * (30 * cast(floor(p_partkey / 60) as bigint) + p_partkey % 30) + 2, 2 * p_partkey + 2,
+               2 + p_partkey % 5
         from {part} where p_partkey % 6 = 1 and p_partkey >= 30""",
     "attribute_dependency": """
         select p_partkey as attr_id, cast(floor(p_partkey / 2) as bigint) as depends_on_attr_id,
