@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
+from leverwise.functions.sizes import broadcast_if_small
 from leverwise.operators.merge import splice, unique_by
 from leverwise.operators.overlay import with_attr_ids, with_override, with_stored
 from leverwise.operators.security import may_see, with_level
@@ -28,7 +29,9 @@ class RunImport(NamedTuple):
 
 def sensitivity_impacts(t: Tables, requests: DataFrame) -> DataFrame:
     """Impact of raising and lowering each visible attribute, per (dataset_id, user_id)."""
-    runs = with_level(t, requests).join(t.sensitivity.select("sensitivity_id", "dataset_id"), "dataset_id")
+    runs = broadcast_if_small(
+        with_level(t, requests).join(t.sensitivity.select("sensitivity_id", "dataset_id"), "dataset_id")
+    )
     return (
         t.sensitivity_value.join(runs, "sensitivity_id")
         .join(t.attribute, "attr_id")
@@ -48,7 +51,7 @@ def attribution_impacts(t: Tables, requests: DataFrame) -> DataFrame:
     """
     pair = ["base_dataset_id", "benchmark_dataset_id"]
     views = t.scenario.select(F.col("view_dataset_id").alias("base_dataset_id"), "scenario_id")
-    runs = with_level(t, requests).join(t.attribution.select("attribution_id", *pair), pair)
+    runs = broadcast_if_small(with_level(t, requests).join(t.attribution.select("attribution_id", *pair), pair))
     visible = t.attribute.select("attr_id", "sec_level")
     cells = t.attribution_value.join(runs, "attribution_id").join(visible, "attr_id").where(may_see())
     cells = with_stored(cells, t, "base_dataset_id", "base_stored")
@@ -125,7 +128,9 @@ def _import_runs(
         )
         .unionByName(complete_rows(fresh.withColumn("last_update", now), table))
     )
-    numbered = found.select("run_id", id_column).unionByName(fresh.select("run_id", id_column))
+    numbered = broadcast_if_small(
+        found.select("run_id", id_column).unionByName(fresh.select("run_id", id_column))
+    )
     details = with_attr_ids(t, rows, False).join(numbered, "run_id")
     detail_table = f"{table}_value"
     return RunImport(

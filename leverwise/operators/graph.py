@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
+from leverwise.functions.sizes import broadcast_if_small
 from leverwise.operators.merge import splice
 from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables
@@ -47,7 +48,7 @@ def import_structure(t: Tables, structures: DataFrame, nodes: DataFrame, edges:
         names.join(t.vdt_structure, "name", "left_anti"), "vdt_id", ["name"], next_id(t.vdt_structure, "vdt_id")
     )
     structure = t.vdt_structure.unionByName(numbered.select("vdt_id", "name"))
-    targets = (
+    targets = broadcast_if_small(
         structure.join(names, "name", "left_semi")
         .groupBy(F.col("name").alias("structure_name"))
         .agg(F.min("vdt_id").alias("vdt_structure_id"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import is_usable_path, path_levels
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.operators.overlay import with_override, with_stored
+from leverwise.functions.sizes import broadcast_if_small
+from leverwise.operators.overlay import base_views, with_override, with_stored
 from leverwise.operators.security import may_see, with_level
 from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables
@@ -96,7 +97,7 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
     """
     grouping = grouping_named(t, grouping_name)
     columns = category_level_columns(t, grouping).select("category_id", "L1", "L2", "L3")
-    shown = (
+    shown = broadcast_if_small(
         t.attribute_category.join(grouping, "grouping_id", "left_semi")
         .select("attr_id", "category_id")
         .join(columns, "category_id")
@@ -107,15 +108,12 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
     bases = t.scenario.groupBy(F.col("view_dataset_id").alias("dataset_id")).agg(
         F.min("base_dataset_id").alias("base_dataset_id")
     )
-    base_views = t.scenario.select(
-        F.col("view_dataset_id").alias("base_dataset_id"), F.col("scenario_id").alias("base_scenario_id")
-    )
-    asked = (
+    asked = broadcast_if_small(
         with_level(t, requests)
         .join(bases, "dataset_id", "left")
         .withColumn("base_dataset_id", F.coalesce("base_dataset_id", "dataset_id"))
         .join(views, "dataset_id", "left")
-        .join(base_views, "base_dataset_id", "left")
+        .join(base_views(t), "base_dataset_id", "left")
     )
     cells = t.value.drop("is_calc_redundant").join(asked, "dataset_id").join(shown, ["attr_id", "screen"]).where(may_see())
     cells = with_stored(cells, t, "base_dataset_id", "base_stored", how="inner")

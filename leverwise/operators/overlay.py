@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import external_path, relative_change
 from leverwise.functions.ids import assign_ids, next_id
+from leverwise.functions.sizes import broadcast_if_small
 from leverwise.operators.merge import missing_from, unique_by, upsert
 from leverwise.operators.security import may_see, with_level
 from leverwise.sources.tables import Tables, complete_rows
@@ -56,17 +57,16 @@ class MergeResult(NamedTuple):
     dataset: DataFrame
 
 
-def scenario_heads(t: Tables) -> DataFrame:
-    """Each dataset with the scenario viewed through it and the base side of that scenario."""
-    own = t.scenario.select(F.col("view_dataset_id").alias("dataset_id"), "scenario_id", "base_dataset_id")
-    base = t.scenario.select(
+def own_views(t: Tables) -> DataFrame:
+    """Scenario and base of a dataset that is the view of a scenario."""
+    return t.scenario.select(F.col("view_dataset_id").alias("dataset_id"), "scenario_id", "base_dataset_id")
+
+
+def base_views(t: Tables) -> DataFrame:
+    """Scenario a base dataset is itself the view of."""
+    return t.scenario.select(
         F.col("view_dataset_id").alias("base_dataset_id"), F.col("scenario_id").alias("base_scenario_id")
     )
-    return (
-        t.dataset.select("dataset_id", F.col("dataset_name").alias("dataset"))
-        .join(own, "dataset_id", "left")
-        .join(base, "base_dataset_id", "left")
-    )
 
 
 def with_override(cells: DataFrame, t: Tables, scenario: str, name: str) -> DataFrame:
@@ -83,26 +83,43 @@ def with_stored(cells: DataFrame, t: Tables, dataset: str, name: str, how: str =
     return cells.join(stored, [dataset, "attr_id"], how)
 
 
-def _base_cells(t: Tables, heads: DataFrame, attributes: DataFrame | None) -> DataFrame:
+def _base_lane() -> Column:
+    """The base's scenario as a join key. A base is the view of scenarios or of none, so 0 is free for "none"."""
+    return F.coalesce("base_scenario_id", F.lit(0)).alias("base_lane")
+
+
+def _base_cells(t: Tables, datasets: DataFrame | None, attributes: DataFrame | None) -> DataFrame:
     """What the base datasets show: stored values under their own scenario's overrides.
 
-    Only datasets that serve as a base take part. Putting both lookups behind one key saves the large side
-    a shuffle of its own for the base overrides.
+    Only datasets that serve as a base take part. Both lookups end up behind one key, and the grouping leaves
+    the rows partitioned by it, ready for the join: the large side is shuffled once for both.
     """
-    bases = heads.where("base_dataset_id is not null").select("base_dataset_id", "base_scenario_id").distinct()
+    scenarios = t.scenario
+    if datasets is not None:
+        asked = datasets.select(F.col("dataset_id").alias("view_dataset_id"))
+        scenarios = scenarios.join(asked, "view_dataset_id", "left_semi")
+    bases = scenarios.select("base_dataset_id")
     value, changes = t.value, t.scenario_change
     if attributes is not None:
         value = value.join(attributes, "attr_id", "left_semi")
         changes = changes.join(attributes, "attr_id", "left_semi")
-    stored = value.select(
-        F.col("dataset_id").alias("base_dataset_id"), "attr_id", F.col("value").alias("base_stored")
-    ).join(bases, "base_dataset_id")
-    overridden = changes.select(
-        F.col("scenario_id").alias("base_scenario_id"), "attr_id", F.col("new_value").alias("base_override")
-    ).join(bases, "base_scenario_id")
-    return stored.join(overridden, ["base_dataset_id", "base_scenario_id", "attr_id"], "full_outer").select(
-        "base_dataset_id", "base_scenario_id", "attr_id",
-        F.coalesce("base_override", "base_stored").alias("base_shown"),
+    nothing = F.lit(None).cast("double")
+    stored = (
+        value.select(F.col("dataset_id").alias("base_dataset_id"), "attr_id", F.col("value").alias("stored"))
+        .join(bases, "base_dataset_id", "left_semi")
+        .join(base_views(t), "base_dataset_id", "left")
+        .select("base_dataset_id", _base_lane(), "attr_id", "stored", nothing.alias("changed"))
+    )
+    changed = (
+        changes.select(F.col("scenario_id").alias("base_scenario_id"), "attr_id", F.col("new_value").alias("changed"))
+        .join(base_views(t), "base_scenario_id")
+        .join(bases, "base_dataset_id", "left_semi")
+        .select("base_dataset_id", _base_lane(), "attr_id", nothing.alias("stored"), "changed")
+    )
+    return (
+        stored.unionByName(changed)
+        .groupBy("base_dataset_id", "base_lane", "attr_id")
+        .agg(F.coalesce(F.max("changed"), F.max("stored")).alias("base_shown"))
     )
 
 
@@ -111,26 +128,21 @@ def resolved_values(
 ) -> DataFrame:
     """Every stored value as its scenario shows it, next to what its base shows.
 
-    ``datasets`` and ``attributes`` restrict the facts before any fact join.
+    ``datasets`` and ``attributes`` restrict the facts before any fact join. The dimensions join one by one
+    as plain scans, whose size the planner knows: small ones are broadcast, others are not.
     """
-    heads, cells = scenario_heads(t), t.value
+    cells = t.value
     if datasets is not None:
-        heads = heads.join(datasets, "dataset_id", "left_semi")
         cells = cells.join(datasets, "dataset_id", "left_semi")
     if attributes is not None:
         cells = cells.join(attributes, "attr_id", "left_semi")
-    cells = with_override(cells.join(heads, "dataset_id"), t, "scenario_id", "override_value")
-    base = _base_cells(t, heads, attributes).select(
-        F.col("base_dataset_id").alias("_dataset"), F.col("base_scenario_id").alias("_scenario"),
-        F.col("attr_id").alias("_attr"), "base_shown",
-    )
-    cells = cells.join(
-        base,
-        (F.col("base_dataset_id") == F.col("_dataset"))
-        & F.col("base_scenario_id").eqNullSafe(F.col("_scenario"))
-        & (F.col("attr_id") == F.col("_attr")),
-        "left",
+    cells = (
+        cells.join(t.dataset.select("dataset_id", F.col("dataset_name").alias("dataset")), "dataset_id")
+        .join(own_views(t), "dataset_id", "left")
+        .join(base_views(t), "base_dataset_id", "left")
     )
+    cells = with_override(cells.select("*", _base_lane()), t, "scenario_id", "override_value")
+    cells = cells.join(_base_cells(t, datasets, attributes), ["base_dataset_id", "base_lane", "attr_id"], "left")
     return cells.join(t.attribute, "attr_id").select(
         "dataset_id", "scenario_id", "dataset", "attr_id",
         *[F.col(old).alias(new) for old, new in VIEW_ATTRIBUTES.items()],
@@ -174,7 +186,7 @@ def calc_inputs(t: Tables, scope_by_model: bool = False) -> DataFrame:
 
 def _seen_by(t: Tables, rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Overlay rows for each (dataset, user) request, as far as the user's level reaches."""
-    asked = with_level(t, requests.select("dataset_id", "user_id"))
+    asked = broadcast_if_small(with_level(t, requests.select("dataset_id", "user_id")))
     return rows.join(asked, "dataset_id").where(may_see("attribute_sec_level"))
 
 
@@ -187,8 +199,8 @@ def values_for(t: Tables, requests: DataFrame, attr_ids: DataFrame) -> DataFrame
 def assumptions(t: Tables, requests: DataFrame) -> DataFrame:
     """Overlay rows of the attributes a scenario overrides, per (dataset, scenario, user) request."""
     overridden = t.scenario_change.select(F.col("scenario_id").alias("asked_scenario_id"), "attr_id")
-    asked = with_level(
-        t, requests.select("dataset_id", "user_id", F.col("scenario_id").alias("asked_scenario_id"))
+    asked = broadcast_if_small(
+        with_level(t, requests.select("dataset_id", "user_id", F.col("scenario_id").alias("asked_scenario_id")))
     )
     return (
         resolved_values(t, datasets=requests)
@@ -239,11 +251,10 @@ def compare_datasets(t: Tables, requests: DataFrame, mask_changes: bool = False)
     ``requests``: (dataset_id, benchmark_id, structure_id, user_id). Actual and target are stored values.
     Values above the user's level are NULL; the change columns are too with ``mask_changes``.
     """
-    views = t.scenario.select(F.col("view_dataset_id").alias("dataset_id"), "scenario_id", "base_dataset_id")
-    asked = (
+    asked = broadcast_if_small(
         with_level(t, requests)
         .join(t.dataset.select("dataset_id"), "dataset_id", "left_semi")
-        .join(views, "dataset_id", "left")
+        .join(own_views(t), "dataset_id", "left")
     )
     nodes = t.vdt_node.select(
         F.col("attribute_id").alias("attr_id"), F.col("vdt_structure_id").alias("structure_id"),
@@ -286,7 +297,7 @@ def copy_dataset(t: Tables, requests: DataFrame, now: Column) -> NewDataset:
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("base_dataset_id"))
     cells = (
         t.value.select(F.col("dataset_id").alias("base_dataset_id"), "attr_id", "value")
-        .join(copies.select("base_dataset_id", "dataset_id"), "base_dataset_id")
+        .join(broadcast_if_small(copies.select("base_dataset_id", "dataset_id")), "base_dataset_id")
         .join(views, "base_dataset_id", "left")
     )
     shown = with_override(cells, t, "scenario_id", "new_value").select(
@@ -349,7 +360,7 @@ def apply_changes(t: Tables, changes: DataFrame, now: Column) -> ChangeResult:
 def mark_redundant(t: Tables, scenarios: DataFrame, marks: DataFrame) -> DataFrame:
     """All value rows of the scenarios' view datasets, redundant exactly where marked (scenario_id, attr_id)."""
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
-    asked = views.join(scenarios, "scenario_id", "left_semi")
+    asked = broadcast_if_small(views.join(scenarios, "scenario_id", "left_semi"))
     marked = (
         marks.join(asked, "scenario_id").select("dataset_id", "attr_id").distinct().withColumn("_marked", F.lit(True))
     )
@@ -389,7 +400,7 @@ def with_attr_ids(t: Tables, rows: DataFrame, scope_by_model: bool = False) -> D
 
 def merge_calculated(t: Tables, results: DataFrame, now: Column, scope_by_model: bool = False) -> MergeResult:
     """Upsert calculated values (dataset_id, object_path, attr_name, value) and stamp their datasets."""
-    touched = results.select("dataset_id").distinct()
+    touched = broadcast_if_small(results.select("dataset_id").distinct())
     if scope_by_model:
         results = results.join(t.dataset.select("dataset_id", "model_id"), "dataset_id")
     source = with_attr_ids(t, results, scope_by_model).select("dataset_id", "attr_id", "value")
