@@ -106,9 +106,10 @@ def _import_runs(
     target value and date.
     """
     stored = getattr(t, table)
-    targets = t.external_attr.groupBy(
-        F.col("object_path").alias("target_path"), F.col("attr_name").alias("target_attr")
-    ).agg(F.min("attr_id").alias("target_attr_id"))
+    paths = t.external_attr.select(
+        F.col("object_path").alias("target_path"), F.col("attr_name").alias("target_attr"), "attr_id"
+    ).join(runs, ["target_path", "target_attr"], "left_semi")
+    targets = paths.groupBy("target_path", "target_attr").agg(F.min("attr_id").alias("target_attr_id"))
     aimed = runs.join(targets, ["target_path", "target_attr"], "left")
     rejected = aimed.where("target_attr_id is null").select(*runs.columns)
     accepted = unique_by(aimed.where("target_attr_id is not null"), header_key)

@@ -18,7 +18,7 @@ CATALOGUE_COLUMNS = [
 def catalogue_rows(t: Tables) -> DataFrame:
     """Every dataset that is not deleted and has its top-of-tree value, whoever looks.
 
-    Dimensions meet first; the value table is read once, cut to one attribute per dataset.
+    The value table is cut to top-of-tree attributes before it meets the datasets.
     """
     scenario = t.scenario.select(
         F.col("view_dataset_id").alias("dataset_id"), "scenario_id", "base_dataset_id", "created_by", "editing_by",
@@ -31,7 +31,10 @@ def catalogue_rows(t: Tables) -> DataFrame:
     owner = t.user.select(F.col("user_id").alias("created_by"), F.col("login").alias("owner_login"))
     model = t.model.select("model_id", "is_active", F.col("top_of_tree_attr_id").alias("attr_id"))
     heads = t.dataset.where("not deleted").join(model, "model_id").join(scenario, "dataset_id", "left")
-    tops = t.value.select("dataset_id", "attr_id", F.col("value").alias("top_value"))
+    top_attrs = t.model.select(F.col("top_of_tree_attr_id").alias("attr_id"))
+    tops = t.value.select("dataset_id", "attr_id", F.col("value").alias("top_value")).join(
+        top_attrs, "attr_id", "left_semi"
+    )
     units = t.attribute.select("attr_id", "unit")
     formats = t.unit_format.select("unit", F.col("format").alias("top_format"))
     active = F.col("is_active")

@@ -133,9 +133,10 @@ def reload_model_datasets(
 
 def set_top_of_tree(t: Tables, imports: DataFrame) -> DataFrame:
     """The model table with the file name and the top attribute (given by external id) of each import."""
-    ids = t.external_attr.groupBy("model_id", F.col("ext_attr_id").alias("top_ext_attr_id")).agg(
-        F.min("attr_id").alias("top_of_tree_attr_id")
+    named = t.external_attr.withColumnRenamed("ext_attr_id", "top_ext_attr_id").join(
+        imports, ["model_id", "top_ext_attr_id"], "left_semi"
     )
+    ids = named.groupBy("model_id", "top_ext_attr_id").agg(F.min("attr_id").alias("top_of_tree_attr_id"))
     patches = imports.join(ids, ["model_id", "top_ext_attr_id"], "left").select(
         "model_id", _stored_filename(F.col("filename")).alias("filename"), "top_of_tree_attr_id"
     )

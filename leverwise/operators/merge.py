@@ -69,7 +69,8 @@ def upsert(
 
 def splice(table: DataFrame, slice_rows: DataFrame, touched: DataFrame, key: str | list[str]) -> DataFrame:
     """The table with all rows of the touched groups exchanged for ``slice_rows``."""
-    return table.join(touched, key, "left_anti").unionByName(slice_rows.select(*table.columns))
+    kept = table.join(touched, key, "left_anti").select(*table.columns)
+    return kept.unionByName(slice_rows.select(*table.columns))
 
 
 def reconcile(

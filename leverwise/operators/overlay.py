@@ -349,9 +349,9 @@ def apply_changes(t: Tables, changes: DataFrame, now: Column) -> ChangeResult:
         *key, F.col("_given").alias("new_value")
     )
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
+    stored = t.value.select("dataset_id", "attr_id", F.col("value").alias("old_value"))
     log = (
-        changes.join(views, "scenario_id")
-        .join(t.value.select("dataset_id", "attr_id", F.col("value").alias("old_value")), ["dataset_id", "attr_id"])
+        stored.join(broadcast_if_small(changes.join(views, "scenario_id")), ["dataset_id", "attr_id"])
         .select("scenario_id", "attr_id", "user_id", now.alias("change_date"), "old_value", "new_value")
     )
     return ChangeResult(kept.unionByName(added), log)
