@@ -42,13 +42,6 @@ class NewDataset(NamedTuple):
     scenario: DataFrame
 
 
-class ChangeResult(NamedTuple):
-    """The change table after a batch, and the log rows of the batch."""
-
-    scenario_change: DataFrame
-    log: DataFrame
-
-
 class MergeResult(NamedTuple):
     """All value rows of the datasets a batch touched, the touched ids, and the dataset table."""
 
@@ -324,37 +317,42 @@ def latest_changes(feed: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def apply_changes(t: Tables, changes: DataFrame, now: Column) -> ChangeResult:
-    """Insert, replace or revert overrides, and log them.
+CHANGE_KEY = ["scenario_id", "attr_id"]
 
-    ``changes``: (scenario_id, attr_id, new_value, is_revert, user_id), one row per scenario and attribute.
-    The log holds the stored value of the view dataset as old value; a change to an attribute without a
-    stored value is applied but not logged.
+
+def apply_changes(t: Tables, changes: DataFrame) -> DataFrame:
+    """The change table after inserting, replacing or reverting overrides.
+
+    ``changes``: (scenario_id, attr_id, new_value, is_revert), one row per scenario and attribute.
     """
-    key = ["scenario_id", "attr_id"]
-    changes = unique_by(changes.select(*key, "new_value", "is_revert", "user_id"), key)
+    changes = unique_by(changes.select(*CHANGE_KEY, "new_value", "is_revert"), CHANGE_KEY)
     reverted = F.coalesce("is_revert", F.lit(False))
     given = F.when(reverted, F.col("new_value")).otherwise(
         F.coalesce("new_value", F.raise_error(F.lit("new_value is required")).cast("double"))
     )
-    marked = changes.select(
-        *key, given.alias("_given"), reverted.alias("_revert"), F.lit(True).alias("_hit")
-    )
+    marked = changes.select(*CHANGE_KEY, given.alias("_given"), reverted.alias("_revert"), F.lit(True).alias("_hit"))
+    hit = F.col("_hit").isNotNull()
     kept = (
-        t.scenario_change.join(marked, key, "left")
-        .where("_hit is null or not _revert")
-        .select(*key, F.when(F.col("_hit").isNotNull(), F.col("_given")).otherwise(F.col("new_value")).alias("new_value"))
-    )
-    added = missing_from(marked.where("not _revert"), t.scenario_change, key).select(
-        *key, F.col("_given").alias("new_value")
+        t.scenario_change.join(marked, CHANGE_KEY, "left")
+        .where(~hit | ~F.col("_revert"))
+        .select(*CHANGE_KEY, F.when(hit, F.col("_given")).otherwise(F.col("new_value")).alias("new_value"))
     )
+    added = missing_from(marked.where("not _revert"), t.scenario_change, CHANGE_KEY)
+    return kept.unionByName(added.select(*CHANGE_KEY, F.col("_given").alias("new_value")))
+
+
+def change_log(t: Tables, changes: DataFrame, now: Column) -> DataFrame:
+    """Log rows of a batch of changes (scenario_id, attr_id, new_value, user_id).
+
+    The old value is the stored one of the view dataset, not the former override. A change to an attribute
+    without a stored value is not logged.
+    """
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
+    asked = broadcast_if_small(changes.select(*CHANGE_KEY, "new_value", "user_id").join(views, "scenario_id"))
     stored = t.value.select("dataset_id", "attr_id", F.col("value").alias("old_value"))
-    log = (
-        stored.join(broadcast_if_small(changes.join(views, "scenario_id")), ["dataset_id", "attr_id"])
-        .select("scenario_id", "attr_id", "user_id", now.alias("change_date"), "old_value", "new_value")
+    return stored.join(asked, ["dataset_id", "attr_id"]).select(
+        "scenario_id", "attr_id", "user_id", now.alias("change_date"), "old_value", "new_value"
     )
-    return ChangeResult(kept.unionByName(added), log)
 
 
 def mark_redundant(t: Tables, scenarios: DataFrame, marks: DataFrame) -> DataFrame:

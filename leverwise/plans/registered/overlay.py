@@ -49,7 +49,7 @@ def _change_stream(t) -> DataFrame:
         (F.col("event_type") == "error").alias("is_revert"), "user_id",
     )
     apply_changes_stream(t, feed, root, now(), ["ts", "event_id"]).awaitTermination()
-    return current_changes(t, root, now())
+    return current_changes(t, root)
 
 
 def _typed_batch(t) -> DataFrame:
@@ -179,9 +179,9 @@ QUERIES = {
         left join {scenario} s on s.view_dataset_id = n.base_dataset_id
         left join {scenario_change} c on c.scenario_id = s.scenario_id and c.attr_id = v.attr_id""",
     ),
-    "apply_changes": (lambda t: op.apply_changes(t, _latest(t), now()).scenario_change, CHANGED_SQL),
+    "apply_changes": (lambda t: op.apply_changes(t, _latest(t)), CHANGED_SQL),
     "change_log": (
-        lambda t: op.apply_changes(t, _latest(t), now()).log,
+        lambda t: op.change_log(t, _latest(t), now()),
         f"""with {LATEST_SQL}
         select l.scenario_id, l.attr_id, l.user_id, {NOW_SQL} as change_date, v.value as old_value, l.new_value
         from latest l join {{scenario}} s on s.scenario_id = l.scenario_id

@@ -18,7 +18,7 @@ def what_if_round(
 
     ``calculate`` is the external model: from calculator input to (dataset_id, object_path, attr_name, value).
     """
-    t = t.replace(scenario_change=apply_changes(t, changes, now).scenario_change)
+    t = t.replace(scenario_change=apply_changes(t, changes))
     merged = merge_calculated(t, calculate(calc_inputs(t)), now)
     t = t.replace(value=splice(t.value, merged.value, merged.touched, "dataset_id"), dataset=merged.dataset)
     return t, resolved_values(t, datasets=merged.touched)

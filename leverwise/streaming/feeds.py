@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leverwise.operators.overlay import apply_changes, latest_changes
+from leverwise.operators.overlay import apply_changes, change_log, latest_changes
 from leverwise.sources.tables import Tables
 
 def start_change_feed(t: Tables, root: str) -> None:
@@ -31,7 +31,7 @@ def apply_changes_stream(
         delta = latest_changes(rows, order).select("scenario_id", "attr_id", "new_value", "is_revert", "user_id")
         delta.write.mode("overwrite").parquet(f"{root}/delta/batch={batch_id}")
         stored = t.scenario_change.sparkSession.read.parquet(f"{root}/delta/batch={batch_id}")
-        apply_changes(t, stored, now).log.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
+        change_log(t, stored, now).write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
 
     return (
         feed.writeStream.foreachBatch(one_batch)
@@ -41,10 +41,10 @@ def apply_changes_stream(
     )
 
 
-def current_changes(t: Tables, root: str, now: Column) -> DataFrame:
+def current_changes(t: Tables, root: str) -> DataFrame:
     """The change table with all deltas so far: the last micro-batch that names a key decides."""
     deltas = t.scenario_change.sparkSession.read.parquet(f"{root}/delta")
-    return apply_changes(t, latest_changes(deltas, ["batch"]), now).scenario_change
+    return apply_changes(t, latest_changes(deltas, ["batch"]))
 
 
 def append_facts_stream(feed: DataFrame, path: str, progress: str, trigger: dict | None = None) -> StreamingQuery:

@@ -9,9 +9,6 @@ from leverwise.operators.catalogue import create_status, name_status
 from leverwise.plans.registered.common import now
 from leverwise.plans.what_if import what_if_round
 
-AT = "2024-01-01 00:00:00"
-
-
 def attribute(attr_id, level=1, calculated=False, lever=True, kpi=False, name=None):
     return (attr_id, name or f"a{attr_id}", "t", level, False, lever, calculated, False, False, kpi)
 
@@ -125,15 +122,15 @@ def test_apply_changes(tables, frame):
         scenario_change=[(1, 10, 5.0), (2, 10, 1.0)],
     )
     batch = frame(CHANGES, (1, 10, 7.0, False, 3), (1, 11, 3.0, False, 3), (1, 12, 9.0, True, 3))
-    result = op.apply_changes(t, batch, now())
-    assert rows_of(result.scenario_change) == [(1, 10, 7.0), (1, 11, 3.0), (2, 10, 1.0)]
-    assert rows_of(result.log, "attr_id", "user_id", "old_value", "new_value") == [(10, 3, 4.0, 7.0), (12, 3, 6.0, 9.0)]
-    again = op.apply_changes(t.replace(scenario_change=result.scenario_change), batch, now())
-    assert rows_of(again.scenario_change) == rows_of(result.scenario_change)
+    changed = op.apply_changes(t, batch)
+    assert rows_of(changed) == [(1, 10, 7.0), (1, 11, 3.0), (2, 10, 1.0)]
+    log = op.change_log(t, batch, now())
+    assert rows_of(log, "attr_id", "user_id", "old_value", "new_value") == [(10, 3, 4.0, 7.0), (12, 3, 6.0, 9.0)]
+    assert rows_of(op.apply_changes(t.replace(scenario_change=changed), batch)) == rows_of(changed)
 
 
 def test_revert_brings_the_stored_value_back(t, frame):
-    gone = op.apply_changes(t, frame(CHANGES, (30, 11, None, True, 1)), now()).scenario_change
+    gone = op.apply_changes(t, frame(CHANGES, (30, 11, None, True, 1)))
     shown = op.resolved_values(t.replace(scenario_change=gone)).where("dataset_id = 3 and attr_id = 11")
     assert rows_of(shown, "value", "override_value") == [(60.0, None)]
 
@@ -143,7 +140,7 @@ def test_revert_brings_the_stored_value_back(t, frame):
 )
 def test_bad_changes_stop_the_job(t, frame, rows):
     with pytest.raises(Exception, match="duplicate key|new_value is required"):
-        op.apply_changes(t, frame(CHANGES, *rows), now()).scenario_change.collect()
+        op.apply_changes(t, frame(CHANGES, *rows)).collect()
 
 
 def test_mark_redundant_clears_earlier_marks(tables, frame):
