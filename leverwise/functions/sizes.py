@@ -1,4 +1,4 @@
-"""Broadcasting behind a measured size."""
+"""Joining facts with request-sized and dimension frames: broadcast behind a measured size, else salted."""
 
 from __future__ import annotations
 
@@ -6,21 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# A frame up to this size is sent to every executor; above it the join shuffles.
+# A frame up to this size is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Above it, rows of one key are spread over this many partitions.
+SALTS = 32
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a request-sized frame for broadcast if its measured size allows.
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the frame's measured size (rows counted, texts added up) is within the limit.
 
     The planner estimates a join as the product of its inputs, so a small frame made by a join never looks
-    small to it and the fact table on the other side would be shuffled for nothing. The rows are counted and
-    their texts measured instead. A frame above the limit is returned as it is, for a shuffled join.
+    small to it, and the fact table on the other side would be shuffled for nothing.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    fixed = 16 + 8 * len(df.columns)
-    size = F.count("*") * F.lit(fixed)
+    size = F.count("*") * F.lit(16 + 8 * len(df.columns))
     for name in texts:
         size = size + F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
-    measured = df.agg(size.alias("bytes")).first().bytes
-    return F.broadcast(df) if measured <= limit else df
+    return df.agg(size.alias("bytes")).first().bytes <= limit
+
+
+def join_dimension(
+    facts: DataFrame, dim: DataFrame, key: list[str], spread: str, how: str = "inner", small: bool | None = None
+) -> DataFrame:
+    """Join facts (left) with a frame of one or few rows per key (right); inner, left or left_semi.
+
+    A small frame is broadcast and the facts stay where they are. Otherwise both sides shuffle by the key
+    and a salt taken from ``spread``, a fact column that varies within a key: one key may hold a third of all
+    facts, and adaptive execution cannot split it where a later join needs the same partitioning.
+    ``small`` is given when the size is known already.
+    """
+    if is_small(dim) if small is None else small:
+        return facts.join(F.broadcast(dim), key, how)
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = facts.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
+    return salted.join(copies, [*key, "_salt"], how).drop("_salt")

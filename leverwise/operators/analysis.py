@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import broadcast_if_small
+from leverwise.functions.sizes import join_dimension
 from leverwise.operators.merge import splice, unique_by
 from leverwise.operators.overlay import with_attr_ids, with_override, with_stored
 from leverwise.operators.security import may_see, with_level
+from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables, complete_rows
 
 # Fixed value: dimension list shown with every run.
@@ -29,11 +30,9 @@ class RunImport(NamedTuple):
 
 def sensitivity_impacts(t: Tables, requests: DataFrame) -> DataFrame:
     """Impact of raising and lowering each visible attribute, per (dataset_id, user_id)."""
-    runs = broadcast_if_small(
-        with_level(t, requests).join(t.sensitivity.select("sensitivity_id", "dataset_id"), "dataset_id")
-    )
+    runs = with_level(t, requests).join(t.sensitivity.select("sensitivity_id", "dataset_id"), "dataset_id")
     return (
-        t.sensitivity_value.join(runs, "sensitivity_id")
+        join_dimension(t.sensitivity_value, runs, ["sensitivity_id"], "attr_id")
         .join(t.attribute, "attr_id")
         .where(may_see())
         .select(
@@ -51,9 +50,10 @@ def attribution_impacts(t: Tables, requests: DataFrame) -> DataFrame:
     """
     pair = ["base_dataset_id", "benchmark_dataset_id"]
     views = t.scenario.select(F.col("view_dataset_id").alias("base_dataset_id"), "scenario_id")
-    runs = broadcast_if_small(with_level(t, requests).join(t.attribution.select("attribution_id", *pair), pair))
+    runs = with_level(t, requests).join(t.attribution.select("attribution_id", *pair), pair)
     visible = t.attribute.select("attr_id", "sec_level")
-    cells = t.attribution_value.join(runs, "attribution_id").join(visible, "attr_id").where(may_see())
+    cells = join_dimension(t.attribution_value, runs, ["attribution_id"], "attr_id")
+    cells = cells.join(visible, "attr_id").where(may_see())
     cells = with_stored(cells, t, "base_dataset_id", "base_stored")
     cells = with_stored(cells, t, "benchmark_dataset_id", "benchmark_value")
     # The scenario belongs to the stored scenario value: where that is missing there is no overlay either.
@@ -112,7 +112,8 @@ def _import_runs(
     targets = paths.groupBy("target_path", "target_attr").agg(F.min("attr_id").alias("target_attr_id"))
     aimed = runs.join(targets, ["target_path", "target_attr"], "left")
     rejected = aimed.where("target_attr_id is null").select(*runs.columns)
-    accepted = unique_by(aimed.where("target_attr_id is not null"), header_key)
+    # Headers are few and read several times below.
+    accepted = cut_lineage(unique_by(aimed.where("target_attr_id is not null"), header_key))
     known = stored.join(accepted, header_key, "left_semi").groupBy(*header_key).agg(F.min(id_column).alias(id_column))
     fresh = assign_ids(accepted.join(known, header_key, "left_anti"), id_column, header_key, next_id(stored, id_column))
     found = accepted.join(known, header_key)
@@ -129,10 +130,8 @@ def _import_runs(
         )
         .unionByName(complete_rows(fresh.withColumn("last_update", now), table))
     )
-    numbered = broadcast_if_small(
-        found.select("run_id", id_column).unionByName(fresh.select("run_id", id_column))
-    )
-    details = with_attr_ids(t, rows, False).join(numbered, "run_id")
+    numbered = found.select("run_id", id_column).unionByName(fresh.select("run_id", id_column))
+    details = join_dimension(with_attr_ids(t, rows, False), numbered, ["run_id"], "attr_id")
     detail_table = f"{table}_value"
     return RunImport(
         headers, complete_rows(details, detail_table), numbered.select(id_column), rejected

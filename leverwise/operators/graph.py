@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import broadcast_if_small
+from leverwise.functions.sizes import is_small, join_dimension
 from leverwise.operators.merge import splice
 from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables
@@ -48,18 +48,19 @@ def import_structure(t: Tables, structures: DataFrame, nodes: DataFrame, edges:
         names.join(t.vdt_structure, "name", "left_anti"), "vdt_id", ["name"], next_id(t.vdt_structure, "vdt_id")
     )
     structure = t.vdt_structure.unionByName(numbered.select("vdt_id", "name"))
-    targets = broadcast_if_small(
+    targets = (
         structure.join(names, "name", "left_semi")
         .groupBy(F.col("name").alias("structure_name"))
         .agg(F.min("vdt_id").alias("vdt_structure_id"))
     )
+    small = is_small(targets)
     new_nodes = assign_ids(
-        nodes.join(targets, "structure_name"), "vdt_node_id",
+        join_dimension(nodes, targets, ["structure_name"], "node_id", small=small), "vdt_node_id",
         ["vdt_structure_id", "node_id", "attribute_id", "name"], next_id(t.vdt_node, "vdt_node_id"),
     )
     ends = new_nodes.select("vdt_structure_id", "node_id", "vdt_node_id")
     linked = (
-        edges.join(targets, "structure_name")
+        join_dimension(edges, targets, ["structure_name"], "child_id", small=small)
         .select("vdt_structure_id", F.col("parent_id").alias("_parent"), F.col("child_id").alias("_child"))
         .join(
             ends.withColumnsRenamed({"node_id": "_parent", "vdt_node_id": "parent_id"}), ["vdt_structure_id", "_parent"]

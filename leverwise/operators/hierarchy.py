@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import is_usable_path, path_levels
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import broadcast_if_small
+from leverwise.functions.sizes import join_dimension
 from leverwise.operators.overlay import base_views, with_override, with_stored
 from leverwise.operators.security import may_see, with_level
 from leverwise.session import cut_lineage
@@ -97,7 +97,7 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
     """
     grouping = grouping_named(t, grouping_name)
     columns = category_level_columns(t, grouping).select("category_id", "L1", "L2", "L3")
-    shown = broadcast_if_small(
+    shown = (
         t.attribute_category.join(grouping, "grouping_id", "left_semi")
         .select("attr_id", "category_id")
         .join(columns, "category_id")
@@ -108,14 +108,15 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
     bases = t.scenario.groupBy(F.col("view_dataset_id").alias("dataset_id")).agg(
         F.min("base_dataset_id").alias("base_dataset_id")
     )
-    asked = broadcast_if_small(
+    asked = (
         with_level(t, requests)
         .join(bases, "dataset_id", "left")
         .withColumn("base_dataset_id", F.coalesce("base_dataset_id", "dataset_id"))
         .join(views, "dataset_id", "left")
         .join(base_views(t), "base_dataset_id", "left")
     )
-    cells = t.value.drop("is_calc_redundant").join(asked, "dataset_id").join(shown, ["attr_id", "screen"]).where(may_see())
+    cells = join_dimension(t.value.drop("is_calc_redundant"), asked, ["dataset_id"], "attr_id")
+    cells = join_dimension(cells, shown, ["attr_id", "screen"], "dataset_id").where(may_see())
     cells = with_stored(cells, t, "base_dataset_id", "base_stored", how="inner")
     cells = with_override(cells, t, "scenario_id", "override_value")
     cells = with_override(cells, t, "base_scenario_id", "base_override")

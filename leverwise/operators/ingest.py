@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import external_path, external_path_or_blank, type_flags
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import broadcast_if_small
+from leverwise.functions.sizes import join_dimension
 from leverwise.operators.merge import patch_rows, splice, unique_by
 from leverwise.operators.overlay import with_attr_ids
 from leverwise.sources.tables import Tables, complete_rows
@@ -126,8 +126,8 @@ def reload_model_datasets(
             "dataset",
         )
     )
-    touched = broadcast_if_small(found.unionByName(fresh.select("dataset_id", "model_id")))
-    values = with_attr_ids(t, rows, scope_by_model).join(touched, "model_id")
+    touched = found.unionByName(fresh.select("dataset_id", "model_id"))
+    values = join_dimension(with_attr_ids(t, rows, scope_by_model), touched, ["model_id"], "attr_id")
     return DatasetReload(dataset, complete_rows(values, "value"), touched)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import external_path, relative_change
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import broadcast_if_small
+from leverwise.functions.sizes import is_small, join_dimension
 from leverwise.operators.merge import missing_from, unique_by, upsert
 from leverwise.operators.security import may_see, with_level
 from leverwise.sources.tables import Tables, complete_rows
@@ -76,38 +76,40 @@ def with_stored(cells: DataFrame, t: Tables, dataset: str, name: str, how: str =
     return cells.join(stored, [dataset, "attr_id"], how)
 
 
-def _base_lane() -> Column:
-    """The base's scenario as a join key. A base is the view of scenarios or of none, so 0 is free for "none"."""
-    return F.coalesce("base_scenario_id", F.lit(0)).alias("base_lane")
+def scenario_heads(t: Tables, datasets: DataFrame | None = None) -> DataFrame:
+    """Each dataset with the scenario viewed through it and the base side of that scenario.
+
+    ``base_lane`` is the base's scenario as a join key. A base is the view of scenarios or of none, so within
+    one base 0 is free for "none".
+    """
+    named = t.dataset.select("dataset_id", F.col("dataset_name").alias("dataset"))
+    if datasets is not None:
+        named = named.join(datasets, "dataset_id", "left_semi")
+    heads = named.join(own_views(t), "dataset_id", "left").join(base_views(t), "base_dataset_id", "left")
+    return heads.withColumn("base_lane", F.coalesce("base_scenario_id", F.lit(0)))
 
 
-def _base_cells(t: Tables, datasets: DataFrame | None, attributes: DataFrame | None) -> DataFrame:
+def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame | None) -> DataFrame:
     """What the base datasets show: stored values under their own scenario's overrides.
 
     Only datasets that serve as a base take part. Both lookups end up behind one key, and the grouping leaves
     the rows partitioned by it, ready for the join: the large side is shuffled once for both.
     """
-    scenarios = t.scenario
-    if datasets is not None:
-        asked = datasets.select(F.col("dataset_id").alias("view_dataset_id"))
-        scenarios = scenarios.join(asked, "view_dataset_id", "left_semi")
-    bases = scenarios.select("base_dataset_id")
-    value, changes = t.value, t.scenario_change
+    # No more rows than heads, so small if these are.
+    bases = heads.where("base_dataset_id is not null").select("base_dataset_id", "base_scenario_id", "base_lane").distinct()
+    value = t.value.select(F.col("dataset_id").alias("base_dataset_id"), "attr_id", F.col("value").alias("stored"))
+    changes = t.scenario_change.select(
+        F.col("scenario_id").alias("base_scenario_id"), "attr_id", F.col("new_value").alias("changed")
+    )
     if attributes is not None:
         value = value.join(attributes, "attr_id", "left_semi")
         changes = changes.join(attributes, "attr_id", "left_semi")
     nothing = F.lit(None).cast("double")
-    stored = (
-        value.select(F.col("dataset_id").alias("base_dataset_id"), "attr_id", F.col("value").alias("stored"))
-        .join(bases, "base_dataset_id", "left_semi")
-        .join(base_views(t), "base_dataset_id", "left")
-        .select("base_dataset_id", _base_lane(), "attr_id", "stored", nothing.alias("changed"))
-    )
-    changed = (
-        changes.select(F.col("scenario_id").alias("base_scenario_id"), "attr_id", F.col("new_value").alias("changed"))
-        .join(base_views(t), "base_scenario_id")
-        .join(bases, "base_dataset_id", "left_semi")
-        .select("base_dataset_id", _base_lane(), "attr_id", nothing.alias("stored"), "changed")
+    stored = join_dimension(
+        value, bases.select("base_dataset_id", "base_lane"), ["base_dataset_id"], "attr_id", small=small
+    ).select("base_dataset_id", "base_lane", "attr_id", "stored", nothing.alias("changed"))
+    changed = join_dimension(changes, bases, ["base_scenario_id"], "attr_id", small=small).select(
+        "base_dataset_id", "base_lane", "attr_id", nothing.alias("stored"), "changed"
     )
     return (
         stored.unionByName(changed)
@@ -121,21 +123,16 @@ def resolved_values(
 ) -> DataFrame:
     """Every stored value as its scenario shows it, next to what its base shows.
 
-    ``datasets`` and ``attributes`` restrict the facts before any fact join. The dimensions join one by one
-    as plain scans, whose size the planner knows: small ones are broadcast, others are not.
+    ``datasets`` and ``attributes`` restrict the facts before any fact join.
     """
+    heads = scenario_heads(t, datasets)
+    small = is_small(heads)
     cells = t.value
-    if datasets is not None:
-        cells = cells.join(datasets, "dataset_id", "left_semi")
     if attributes is not None:
         cells = cells.join(attributes, "attr_id", "left_semi")
-    cells = (
-        cells.join(t.dataset.select("dataset_id", F.col("dataset_name").alias("dataset")), "dataset_id")
-        .join(own_views(t), "dataset_id", "left")
-        .join(base_views(t), "base_dataset_id", "left")
-    )
-    cells = with_override(cells.select("*", _base_lane()), t, "scenario_id", "override_value")
-    cells = cells.join(_base_cells(t, datasets, attributes), ["base_dataset_id", "base_lane", "attr_id"], "left")
+    cells = join_dimension(cells, heads, ["dataset_id"], "attr_id", small=small)
+    cells = with_override(cells, t, "scenario_id", "override_value")
+    cells = cells.join(_base_cells(t, heads, small, attributes), ["base_dataset_id", "base_lane", "attr_id"], "left")
     return cells.join(t.attribute, "attr_id").select(
         "dataset_id", "scenario_id", "dataset", "attr_id",
         *[F.col(old).alias(new) for old, new in VIEW_ATTRIBUTES.items()],
@@ -149,38 +146,29 @@ def resolved_values(
 def calc_inputs(t: Tables, scope_by_model: bool = False) -> DataFrame:
     """Input of the external calculator: shown values of plain attributes, overrides of calculated ones."""
     paths = t.external_attr.select("attr_id", "object_path", "attr_name", F.col("model_id").alias("path_model"))
-    kinds = t.attribute.select("attr_id", "is_calculated")
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
-    models = t.dataset.select("dataset_id", "model_id")
-    plain = (
-        t.value.join(kinds.where("not is_calculated"), "attr_id", "left_semi")
-        .join(models, "dataset_id")
-        .join(views, "dataset_id", "left")
-    )
-    plain = (
-        with_override(plain, t, "scenario_id", "new_value")
-        .join(paths, "attr_id")
-        .where((F.col("model_id") == F.col("path_model")) if scope_by_model else F.lit(True))
-        .select(
-            "dataset_id", "object_path", "attr_name", F.coalesce("new_value", "value").alias("value"),
-            F.lit(0).alias("is_override"),
-        )
-    )
-    forced = (
-        t.scenario_change.join(kinds.where("is_calculated"), "attr_id", "left_semi")
-        .join(views, "scenario_id")
-        .join(paths, "attr_id")
-        .select(
-            "dataset_id", "object_path", "attr_name", F.col("new_value").alias("value"), F.lit(1).alias("is_override")
-        )
+    heads = t.dataset.select("dataset_id", "model_id").join(views, "dataset_id", "left")
+
+    def paths_where(kind: str) -> DataFrame:
+        return paths.join(t.attribute.where(kind).select("attr_id"), "attr_id", "left_semi")
+
+    cells = join_dimension(t.value, heads, ["dataset_id"], "attr_id")
+    plain = with_override(cells, t, "scenario_id", "new_value").join(paths_where("not is_calculated"), "attr_id")
+    if scope_by_model:
+        plain = plain.where("model_id = path_model")
+    forced = join_dimension(t.scenario_change, views, ["scenario_id"], "attr_id").join(
+        paths_where("is_calculated"), "attr_id"
     )
-    return plain.unionByName(forced)
+    columns = ["dataset_id", "object_path", "attr_name"]
+    return plain.select(
+        *columns, F.coalesce("new_value", "value").alias("value"), F.lit(0).alias("is_override")
+    ).unionByName(forced.select(*columns, F.col("new_value").alias("value"), F.lit(1).alias("is_override")))
 
 
 def _seen_by(t: Tables, rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Overlay rows for each (dataset, user) request, as far as the user's level reaches."""
-    asked = broadcast_if_small(with_level(t, requests.select("dataset_id", "user_id")))
-    return rows.join(asked, "dataset_id").where(may_see("attribute_sec_level"))
+    asked = with_level(t, requests.select("dataset_id", "user_id"))
+    return join_dimension(rows, asked, ["dataset_id"], "attr_id").where(may_see("attribute_sec_level"))
 
 
 def values_for(t: Tables, requests: DataFrame, attr_ids: DataFrame) -> DataFrame:
@@ -192,12 +180,9 @@ def values_for(t: Tables, requests: DataFrame, attr_ids: DataFrame) -> DataFrame
 def assumptions(t: Tables, requests: DataFrame) -> DataFrame:
     """Overlay rows of the attributes a scenario overrides, per (dataset, scenario, user) request."""
     overridden = t.scenario_change.select(F.col("scenario_id").alias("asked_scenario_id"), "attr_id")
-    asked = broadcast_if_small(
-        with_level(t, requests.select("dataset_id", "user_id", F.col("scenario_id").alias("asked_scenario_id")))
-    )
+    asked = with_level(t, requests.select("dataset_id", "user_id", F.col("scenario_id").alias("asked_scenario_id")))
     return (
-        resolved_values(t, datasets=requests)
-        .join(asked, "dataset_id")
+        join_dimension(resolved_values(t, datasets=requests), asked, ["dataset_id"], "attr_id")
         .where(may_see("attribute_sec_level"))
         .join(overridden, ["asked_scenario_id", "attr_id"], "left_semi")
         .select("dataset_id", F.col("asked_scenario_id").alias("scenario_id"), "user_id", *VIEW_COLUMNS)
@@ -244,7 +229,7 @@ def compare_datasets(t: Tables, requests: DataFrame, mask_changes: bool = False)
     ``requests``: (dataset_id, benchmark_id, structure_id, user_id). Actual and target are stored values.
     Values above the user's level are NULL; the change columns are too with ``mask_changes``.
     """
-    asked = broadcast_if_small(
+    asked = (
         with_level(t, requests)
         .join(t.dataset.select("dataset_id"), "dataset_id", "left_semi")
         .join(own_views(t), "dataset_id", "left")
@@ -253,7 +238,7 @@ def compare_datasets(t: Tables, requests: DataFrame, mask_changes: bool = False)
         F.col("attribute_id").alias("attr_id"), F.col("vdt_structure_id").alias("structure_id"),
         F.col("vdt_node_id").alias("node_id"), F.col("name").alias("node_name"),
     )
-    cells = t.value.join(asked, "dataset_id").join(nodes, ["attr_id", "structure_id"])
+    cells = join_dimension(t.value, asked, ["dataset_id"], "attr_id").join(nodes, ["attr_id", "structure_id"])
     cells = with_override(cells, t, "scenario_id", "override_value")
     cells = with_stored(cells, t, "base_dataset_id", "base_stored")
     cells = with_stored(cells, t, "benchmark_id", "target_stored")
@@ -288,10 +273,10 @@ def copy_dataset(t: Tables, requests: DataFrame, now: Column) -> NewDataset:
     )
     copies = assign_ids(known, "dataset_id", order, next_id(t.dataset, "dataset_id"))
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("base_dataset_id"))
-    cells = (
-        t.value.select(F.col("dataset_id").alias("base_dataset_id"), "attr_id", "value")
-        .join(broadcast_if_small(copies.select("base_dataset_id", "dataset_id")), "base_dataset_id")
-        .join(views, "base_dataset_id", "left")
+    sources = copies.select("base_dataset_id", "dataset_id").join(views, "base_dataset_id", "left")
+    cells = join_dimension(
+        t.value.select(F.col("dataset_id").alias("base_dataset_id"), "attr_id", "value"), sources,
+        ["base_dataset_id"], "attr_id",
     )
     shown = with_override(cells, t, "scenario_id", "new_value").select(
         "dataset_id", "attr_id", F.coalesce("new_value", "value").alias("value")
@@ -348,9 +333,9 @@ def change_log(t: Tables, changes: DataFrame, now: Column) -> DataFrame:
     without a stored value is not logged.
     """
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
-    asked = broadcast_if_small(changes.select(*CHANGE_KEY, "new_value", "user_id").join(views, "scenario_id"))
+    asked = changes.select(*CHANGE_KEY, "new_value", "user_id").join(views, "scenario_id")
     stored = t.value.select("dataset_id", "attr_id", F.col("value").alias("old_value"))
-    return stored.join(asked, ["dataset_id", "attr_id"]).select(
+    return join_dimension(stored, asked, ["dataset_id", "attr_id"], "attr_id").select(
         "scenario_id", "attr_id", "user_id", now.alias("change_date"), "old_value", "new_value"
     )
 
@@ -358,13 +343,12 @@ def change_log(t: Tables, changes: DataFrame, now: Column) -> DataFrame:
 def mark_redundant(t: Tables, scenarios: DataFrame, marks: DataFrame) -> DataFrame:
     """All value rows of the scenarios' view datasets, redundant exactly where marked (scenario_id, attr_id)."""
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
-    asked = broadcast_if_small(views.join(scenarios, "scenario_id", "left_semi"))
+    asked = views.join(scenarios, "scenario_id", "left_semi")
     marked = (
         marks.join(asked, "scenario_id").select("dataset_id", "attr_id").distinct().withColumn("_marked", F.lit(True))
     )
     return (
-        t.value.drop("is_calc_redundant")
-        .join(asked, "dataset_id", "left_semi")
+        join_dimension(t.value.drop("is_calc_redundant"), asked, ["dataset_id"], "attr_id", "left_semi")
         .join(marked, ["dataset_id", "attr_id"], "left")
         .select("dataset_id", "attr_id", "value", F.col("_marked").isNotNull().alias("is_calc_redundant"))
     )
@@ -398,11 +382,11 @@ def with_attr_ids(t: Tables, rows: DataFrame, scope_by_model: bool = False) -> D
 
 def merge_calculated(t: Tables, results: DataFrame, now: Column, scope_by_model: bool = False) -> MergeResult:
     """Upsert calculated values (dataset_id, object_path, attr_name, value) and stamp their datasets."""
-    touched = broadcast_if_small(results.select("dataset_id").distinct())
+    touched = results.select("dataset_id").distinct()
     if scope_by_model:
         results = results.join(t.dataset.select("dataset_id", "model_id"), "dataset_id")
     source = with_attr_ids(t, results, scope_by_model).select("dataset_id", "attr_id", "value")
-    present = t.value.join(touched, "dataset_id", "left_semi")
+    present = join_dimension(t.value, touched, ["dataset_id"], "attr_id", "left_semi")
     stamped = t.dataset.join(touched.withColumn("_hit", F.lit(True)), "dataset_id", "left").select(
         *[F.when(F.col("_hit").isNotNull(), now).otherwise(F.col(c)).alias(c) if c == "last_update" else F.col(c)
           for c in t.dataset.columns]

@@ -7,7 +7,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import broadcast_if_small
+from leverwise.functions.sizes import is_small, join_dimension
 from leverwise.operators import merge as op
 from leverwise.operators import registry, security
 from leverwise.plans.registered.common import now
@@ -158,13 +158,28 @@ def test_seed_rows(spark):
     }
 
 
-def test_broadcast_only_up_to_the_limit(spark):
-    df = spark.range(1000)
-    facts = spark.range(10).withColumnRenamed("id", "k")
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_dimension_joins_agree_above_and_below_the_limit(spark, how):
+    # A third of all facts has one key.
+    facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    dim = spark.range(0, 2000, 2).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    assert is_small(dim) and not is_small(dim, limit=1000)
+    near = join_dimension(facts, dim, ["k"], "id", how)
+    far = join_dimension(facts, dim, ["k"], "id", how, small=False)
+    assert rows_of(near) == rows_of(far) == rows_of(facts.join(dim, "k", how))
+    assert near.columns == far.columns
+    assert "broadcast" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in far._jdf.queryExecution().optimizedPlan().toString()
 
-    def plan(dim):
-        joined = facts.join(dim, facts.k == dim.id)
-        return joined._jdf.queryExecution().optimizedPlan().toString()
 
-    assert "broadcast" in plan(broadcast_if_small(df))
-    assert "broadcast" not in plan(broadcast_if_small(df, limit=100))
+def test_a_hot_key_is_spread(spark):
+    facts = spark.range(4000).select(F.lit(1).alias("k"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = join_dimension(facts, spark.range(3).select(F.col("id").alias("k")), ["k"], "id", small=False)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 4000
