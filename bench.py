@@ -38,7 +38,7 @@ def stored_tables(spark, sf_dir: str, root: str) -> SampleTables:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     spark = build_session(
         "bench", f"local[{cpus}]",

@@ -83,10 +83,17 @@ def list_requested(t: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
-def name_status(names: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """For each name 'True' if exactly one row bears it, else 'False'."""
-    counts = rows.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("_n"))
-    return names.join(counts, "name", "left").select(
+def name_status(names: DataFrame, rows: DataFrame, column: str, ignore_case: bool = False) -> DataFrame:
+    """For each name 'True' if exactly one row bears it, else 'False'.
+
+    With ``ignore_case`` names also equal each other across case and trailing blanks.
+    """
+
+    def key(name: str) -> Column:
+        return (F.collate(name, "UTF8_LCASE_RTRIM") if ignore_case else F.col(name)).alias("_key")
+
+    counts = rows.groupBy(key(column)).agg(F.count("*").alias("_n"))
+    return names.select("name", key("name")).join(counts, "_key", "left").select(
         "name", F.when(F.col("_n") == 1, "True").otherwise("False").alias("is_unique")
     )
 

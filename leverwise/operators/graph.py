@@ -115,9 +115,9 @@ def descendants(t: Tables, requests: DataFrame, structure_ids: DataFrame | None
     asked = requests.select("attr_id", "scenario_id").distinct().join(starts, "attr_id")
     below = reachable_nodes(edges, asked.select("root").distinct())
     children = t.vdt_node.join(t.attribute.withColumnRenamed("attr_id", "attribute_id"), "attribute_id", "left_semi")
+    # Both sides are distinct, so their join is.
     branch = (
-        below.join(edges.select(F.col("parent_id").alias("node"), "child_id"), "node")
-        .distinct()
+        below.join(edges.select(F.col("parent_id").alias("node"), "child_id").distinct(), "node")
         .join(children.withColumnRenamed("vdt_node_id", "child_id"), "child_id")
         .select(
             "root", F.col("child_id").alias("vdt_node_id"), "child_id", F.col("node").alias("parent_id"),

@@ -111,42 +111,42 @@ def _as_text(columns: tuple[str, ...] | list[str]) -> Column:
 
 
 def check_keys(t: Tables, tables: list[str]) -> DataFrame:
-    """Broken keys, unique columns, references and required values as rows (table, rule, columns, key)."""
+    """Broken keys, unique columns, references and required values as rows (table, rule, columns, key).
+
+    Required values and references of a table are checked in one pass over it: each row lists what it lacks
+    and what it points at, and these lists shrink to distinct entries before they meet the referenced tables.
+    """
     found: list[DataFrame] = []
 
-    def report(df: DataFrame, table: str, rule: str, columns: list[str] | tuple[str, ...], key: Column) -> None:
-        found.append(
-            df.select(
-                F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                F.lit(",".join(columns)).alias("columns"), key.alias("key"),
-            )
-        )
+    def finding(table: str, rule: str, column: Column, key: Column) -> list[Column]:
+        return [
+            F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), column.alias("columns"), key.alias("key")
+        ]
 
     for table in tables:
         df = getattr(t, table)
         uniques = ([KEYS[table]] if table in KEYS else []) + [(c,) for name, c in UNIQUE if name == table]
         for columns in uniques:
             repeated = df.na.drop(subset=list(columns)).groupBy(*columns).count().where("count > 1")
-            report(repeated, table, "unique", columns, _as_text(columns))
+            found.append(repeated.select(*finding(table, "unique", F.lit(",".join(columns)), _as_text(columns))))
         required = [part.split()[0] for part in TABLES[table].split(", ") if part.endswith("not null")]
-        absent = df.select(
-            F.explode(
-                F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]), lambda c: c.isNotNull())
-            ).alias("_column"),
+        absent = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required])
+        lacking = df.select(
+            F.explode(F.filter(absent, lambda c: c.isNotNull())).alias("_column"),
             _as_text(KEYS.get(table, required)).alias("_key"),
         )
-        found.append(
-            absent.select(
-                F.lit(table).alias("table_name"), F.lit("required").alias("rule"),
-                F.col("_column").alias("columns"), F.col("_key").alias("key"),
-            )
-        )
-        for name, column, other, other_column in REFERENCES:
-            if name == table and other in tables:
-                known = getattr(t, other).select(F.col(other_column).alias(column))
-                orphans = df.where(F.col(column).isNotNull()).join(known, column, "left_anti")
-                report(orphans.select(column).distinct(), table, "reference", [column], _as_text([column]))
-    result = found[0]
-    for df in found[1:]:
-        result = result.unionByName(df)
-    return result
+        found.append(lacking.select(*finding(table, "required", F.col("_column"), F.col("_key"))))
+        references = [(c, other, o) for name, c, other, o in REFERENCES if name == table and other in tables]
+        if references:
+            pointers = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_id")) for c, _, _ in references])
+            used = df.select(F.explode(pointers).alias("_p")).select("_p.*").where("_id is not null").distinct()
+            known = None
+            for column, other, other_column in references:
+                ids = getattr(t, other).select(F.lit(column).alias("_column"), F.col(other_column).alias("_id"))
+                known = ids if known is None else known.unionByName(ids)
+            orphans = used.join(known, ["_column", "_id"], "left_anti")
+            found.append(orphans.select(*finding(table, "reference", F.col("_column"), F.col("_id").cast("string"))))
+    # Paired up level by level: the plan is analyzed anew at each union, so a long chain would be slow.
+    while len(found) > 1:
+        found = [a[0].unionByName(a[1]) if len(a) == 2 else a[0] for a in (found[i:i + 2] for i in range(0, len(found), 2))]
+    return found[0]

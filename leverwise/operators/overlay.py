@@ -84,7 +84,7 @@ def scenario_heads(t: Tables, datasets: DataFrame | None = None) -> DataFrame:
     """
     named = t.dataset.select("dataset_id", F.col("dataset_name").alias("dataset"))
     if datasets is not None:
-        named = named.join(datasets, "dataset_id", "left_semi")
+        named = named.join(datasets.select("dataset_id").distinct(), "dataset_id", "left_semi")
     heads = named.join(own_views(t), "dataset_id", "left").join(base_views(t), "base_dataset_id", "left")
     return heads.withColumn("base_lane", F.coalesce("base_scenario_id", F.lit(0)))
 
@@ -92,8 +92,9 @@ def scenario_heads(t: Tables, datasets: DataFrame | None = None) -> DataFrame:
 def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame | None) -> DataFrame:
     """What the base datasets show: stored values under their own scenario's overrides.
 
-    Only datasets that serve as a base take part. Both lookups end up behind one key, and the grouping leaves
-    the rows partitioned by it, ready for the join: the large side is shuffled once for both.
+    Only datasets that serve as a base take part. Both lookups end up behind one key, so the large side is
+    shuffled once for both. Keys are unique on both sides of the full outer join, so none can be hot here;
+    and its result is shuffled anew for the lookup, which leaves that join open to a split of hot keys.
     """
     # No more rows than heads, so small if these are.
     bases = heads.where("base_dataset_id is not null").select("base_dataset_id", "base_scenario_id", "base_lane").distinct()
@@ -104,18 +105,12 @@ def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame
     if attributes is not None:
         value = value.join(attributes, "attr_id", "left_semi")
         changes = changes.join(attributes, "attr_id", "left_semi")
-    nothing = F.lit(None).cast("double")
+    key = ["base_dataset_id", "base_lane", "attr_id"]
     stored = join_dimension(
         value, bases.select("base_dataset_id", "base_lane"), ["base_dataset_id"], "attr_id", small=small
-    ).select("base_dataset_id", "base_lane", "attr_id", "stored", nothing.alias("changed"))
-    changed = join_dimension(changes, bases, ["base_scenario_id"], "attr_id", small=small).select(
-        "base_dataset_id", "base_lane", "attr_id", nothing.alias("stored"), "changed"
-    )
-    return (
-        stored.unionByName(changed)
-        .groupBy("base_dataset_id", "base_lane", "attr_id")
-        .agg(F.coalesce(F.max("changed"), F.max("stored")).alias("base_shown"))
     )
+    changed = join_dimension(changes, bases, ["base_scenario_id"], "attr_id", small=small)
+    return stored.join(changed, key, "full_outer").select(*key, F.coalesce("changed", "stored").alias("base_shown"))
 
 
 def resolved_values(
@@ -189,14 +184,17 @@ def assumptions(t: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
-def search_values(t: Tables, requests: DataFrame, text: str, pattern: bool = False) -> DataFrame:
+def search_values(
+    t: Tables, requests: DataFrame, text: str, pattern: bool = False, ignore_case: bool = False
+) -> DataFrame:
     """Levers (no KPIs) whose own or category name contains ``text``, by name.
 
     With ``pattern`` the text may hold SQL wildcards. Attributes without a category do not appear.
     """
 
     def matches(column: str) -> Column:
-        return F.col(column).like(f"%{text}%") if pattern else F.col(column).contains(text)
+        name = F.collate(column, "UTF8_LCASE") if ignore_case else F.col(column)
+        return name.like(f"%{text}%") if pattern else name.contains(text)
 
     found = (
         t.attribute_category.select("attr_id", "category_id")
@@ -214,7 +212,8 @@ def search_values(t: Tables, requests: DataFrame, text: str, pattern: bool = Fal
 def export_attributes(t: Tables, requests: DataFrame, attr_ids: DataFrame) -> DataFrame:
     """Base value and override of chosen attributes, shaped for a spreadsheet."""
     rows = _seen_by(t, resolved_values(t, datasets=requests, attributes=attr_ids), requests)
-    return rows.join(t.external_attr.select("attr_id", "object_path"), "attr_id").select(
+    paths = t.external_attr.select("attr_id", "object_path")
+    return join_dimension(rows, paths, ["attr_id"], "dataset_id").select(
         "dataset_id", "user_id", "attr_id", "attribute", F.col("attribute_unit").alias("unit"),
         F.col("attribute_is_cost").alias("is_cost"), F.col("attribute_is_lever").alias("is_lever"),
         F.col("attribute_is_aggregate").alias("is_aggregate"), F.col("attribute_is_kpi").alias("is_kpi"),

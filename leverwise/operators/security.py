@@ -77,7 +77,7 @@ def model_groups(t: Tables, group_names: DataFrame | None = None) -> DataFrame:
         granted = granted.join(group_names.select(F.col("item").alias("ad_name")), "ad_name", "left_semi")
     return (
         t.model.where("is_active and upload_complete")
-        .join(granted.select("model_group_id"), "model_group_id", "left_semi")
+        .join(granted.select("model_group_id").distinct(), "model_group_id", "left_semi")
         .join(t.model_group, "model_group_id")
         .select(
             "model_group_id", F.col("name").alias("model_group_name"), "model_id", "filename",
@@ -103,8 +103,8 @@ def model_group_details(t: Tables, groups: DataFrame) -> DataFrame:
     )
     wanted = (
         t.model_group.join(groups, "model_group_id", "left_semi")
-        .join(access, "model_group_id", "left_semi")
-        .join(supers, "model_group_id", "left_semi")
+        .join(access.select("model_group_id").distinct(), "model_group_id", "left_semi")
+        .join(supers.select("model_group_id").distinct(), "model_group_id", "left_semi")
     )
     return (
         wanted.join(t.model.where("is_active"), "model_group_id")

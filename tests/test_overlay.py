@@ -157,6 +157,9 @@ def test_name_status_wants_exactly_one(tables, frame):
     assert rows_of(name_status(names, t.dataset, "dataset_name")) == [
         ("none", "False"), ("one", "True"), ("two", "False")
     ]
+    loud = frame("name string", ("ONE ",))
+    assert rows_of(name_status(loud, t.dataset, "dataset_name")) == [("ONE ", "False")]
+    assert rows_of(name_status(loud, t.dataset, "dataset_name", ignore_case=True)) == [("ONE ", "True")]
 
 
 def test_create_status(tables, frame):
@@ -182,6 +185,8 @@ def test_search_is_literal_unless_a_pattern_is_asked_for(tables, frame):
     asked = frame("dataset_id bigint, user_id bigint", (1, 1))
     assert rows_of(op.search_values(t, asked, "50%"), "attr_id") == [(10,)]
     assert rows_of(op.search_values(t, asked, "50%", pattern=True), "attr_id") == [(10,), (11,)]
+    assert rows_of(op.search_values(t, asked, "ORE"), "attr_id") == []
+    assert rows_of(op.search_values(t, asked, "ORE", ignore_case=True), "attr_id") == [(10,), (11,)]
 
 
 def test_copy_dataset(t, frame):
