@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leverwise.llm import minhash, packing, token_counts, token_files
+from leverwise.llm import decontaminate, minhash, packing, token_counts, token_files
 from leverwise.llm.common import read_table
 
 
@@ -24,11 +24,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_files": op2_token_files,
     "op10_token_counts": op10_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,4 +66,36 @@ select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept
 from sets join least on least.x = sets.doc_id
 """
 
-SQL: dict[str, str] = {"op1_minhash_near_dedup": NEAR_DUPLICATES_SQL}
+CONTAMINATION_SQL = f"""
+with said as (
+    select doc_id, regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+),
+asked as (
+    select item_id, regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark
+),
+phrases as (
+    select distinct item_id, least(10, len(w)) as size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as phrase
+    from (select *, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from asked where len(w) > 0)
+),
+places as (
+    select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as phrase
+    from (select *, unnest(range(1, len(w) - size + 2)) as i from said, (select distinct size from phrases))
+),
+found as (select doc_id, i, size, item_id from places join phrases using (size, phrase)),
+hit as (
+    select doc_id, count(distinct word) as n_hit
+    from (select doc_id, unnest(range(i, i + size)) as word from found) group by doc_id
+),
+items as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as named
+    from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(named, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from said left join hit using (doc_id) left join items using (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": NEAR_DUPLICATES_SQL,
+    "op5_benchmark_decontamination": CONTAMINATION_SQL,
+}
