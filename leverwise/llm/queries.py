@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leverwise.llm import decontaminate, minhash, packing, token_counts, token_files
+from leverwise.llm import decontaminate, minhash, packing, pii, token_counts, token_files
 from leverwise.llm.common import read_table
 
 
@@ -29,12 +29,17 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("spans")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.identifiers(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_files": op2_token_files,
     "op10_token_counts": op10_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op4_pii": op4_pii,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
