@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leverwise.llm import decontaminate, minhash, packing, pii, token_counts, token_files
+from leverwise.llm import decontaminate, minhash, packing, pii, token_counts, token_files, toxicity
 from leverwise.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.identifiers(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -40,6 +44,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op4_pii": op4_pii,
+    "op7_toxicity": op7_toxicity,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
