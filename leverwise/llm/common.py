@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from leverwise.session import shared_dir
 
 # What a Python worker gets at once: rows and bytes of one Arrow batch.
-BATCH_ROWS = 4000
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_ROWS = 2000
+BATCH_BYTES = 16 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:

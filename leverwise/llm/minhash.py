@@ -3,10 +3,10 @@
 Each distinct set of word shingles becomes one node; documents with equal sets share it. A node's sketch has 128
 buckets; a bucket keeps the leading-zero count and ten mantissa bits of its smallest hash, sixteen bits in all. Empty
 buckets borrow from a filled one in a fixed random order, for banding only. Nodes that share a band of four registers
-are candidates. Candidates are compared in rounds: in every bucket of candidates one pivot meets all members of other
-components, so a group of near copies costs about one comparison for each member and not one for each pair; members
-that stay in different components are finally compared block by block. A candidate pair is first judged by the
-collision-corrected estimate of its Jaccard similarity, with five standard errors of slack, then on the full sets.
+are candidates. In every band one pivot meets all other members: such a pair is first judged by the collision-corrected
+estimate of its Jaccard similarity, with five standard errors of slack, then on the full sets. Members that this leaves
+in different components are compared block by block on their full sets; what is already connected is not compared
+again. So a group of near copies costs about one comparison for each member, and no pairs of a group are listed.
 
 A pair at the threshold shares no band with a probability of about 5e-6.
 """
@@ -14,11 +14,10 @@ A pair at the threshold shares no band with a probability of about 5e-6.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.sizes import is_small
@@ -33,10 +32,10 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 ROWS_PER_BAND = 4
 BANDS = BUCKETS // ROWS_PER_BAND
-# Rounds with a pivot in each bucket before what is left is compared block by block.
-PIVOT_ROUNDS = 3
-# Members of a bucket that are compared with each other in one block.
+# Members of a band, and shingles of these, that make one block; and shingles that are multiplied at once.
 BLOCK = 512
+BLOCK_SHINGLES = 400_000
+COLUMNS = 4096
 SLACK = 5.0
 
 _U = np.uint64
@@ -201,28 +200,42 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return stage(map_arrow(joined.select("a", "b", "x", "y"), "a long, b long", _confirm), "links")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs of each block pair; rows come sorted by (band, i, j) and a block pair never spans two tasks."""
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        node, comp, side = (rows.column(c).to_numpy() for c in ("node", "component", "block"))
-        sizes = rows.column("n_shingles").to_numpy()
-        table = _table(rows.column("sketch").combine_chunks())
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        one, two = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        a, b = [], []
-        for p in one:
-            rest = two[(node[two] > node[p]) & (comp[two] != comp[p])] if i == j else two[comp[two] != comp[p]]
-            if len(rest):
-                ok = plausible(table[p][None, :], table[rest], np.full(len(rest), sizes[p]), sizes[rest])
-                b.append(node[rest[ok]])
-                a.append(np.full(int(ok.sum()), node[p]))
-        none = [np.zeros(0, np.int64)]
-        return pa.record_batch(
-            [pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], names=["a", "b"]
-        )
+def _links_within(rows: pa.Table) -> pa.RecordBatch:
+    """Links that join components of one pair of blocks, at most one for each merge.
+
+    Intersections of all sets come from products of 0/1 matrices over the shingles that occur more than once.
+    """
+    node, component, block = (rows.column(c).to_numpy().copy() for c in ("node", "component", "block"))
+    sets = [s for chunk in rows.column("text").chunks for s in _sets(chunk)]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    one = np.flatnonzero(block == rows.column("i")[0].as_py())
+    two = np.flatnonzero(block == rows.column("j")[0].as_py())
+    both = np.zeros((len(one), len(two)), np.float64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        first, last = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[first:last], column[first:last] - low] = 1
+        both += part[one] @ part[two].T
+    union = size[one][:, None] + size[two][None, :] - both
+    linked = (both > 0) & (100 * both >= PERCENT * union) & (component[one][:, None] != component[two][None, :])
+    a, b = [], []
+    for x, y in np.argwhere(linked):
+        p, q = one[x], two[y]
+        if component[p] != component[q]:
+            a.append(max(node[p], node[q]))
+            b.append(min(node[p], node[q]))
+            component[component == component[q]] = component[p]
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (band, i, j), and a pair of blocks never spans two tasks."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -233,24 +246,49 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             key = tuple(keys[:, low])
             if held and key != last:
-                yield compare(pa.Table.from_batches(held))
+                yield _links_within(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(low, high - low))
             last = key
     if held:
-        yield compare(pa.Table.from_batches(held))
+        yield _links_within(pa.Table.from_batches(held))
+
 
+def _remaining_links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components among the members (band, node, component) of each band.
 
-def _remaining_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Plausible pairs of different components among the members (band, node, component) of each band."""
-    parts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    placed = members.join(parts, "band").withColumn("block", block)
-    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = copies.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = keyed.join(nodes, "node").select("band", "i", "j", "block", "node", "component", "sketch", "n_shingles")
-    sorted_rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return map_arrow(sorted_rows, "a long, b long", _blocks).distinct()
+    The largest component of a band is only compared with the rest, not with itself. Both are cut into blocks of
+    bounded size, and every pair of blocks that needs it is one unit of work.
+    """
+    sized = members.join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
+    per = sized.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    band = per.groupBy("band").agg(
+        F.count("*").alias("components"), F.max(F.struct("n", "component", "weight")).alias("top"),
+        F.sum("n").alias("n"), F.sum("weight").alias("weight"),
+    ).where("components > 1")
+
+    def parts(n: Column, weight: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
+
+    band = band.select(
+        "band", F.col("top.component").alias("largest"), parts(F.col("top.n"), F.col("top.weight")).alias("many"),
+        parts(F.col("n") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("few"),
+    )
+    inside = F.col("component") == F.col("largest")
+    turn = F.xxhash64("node")
+    placed = sized.join(band, "band").withColumn(
+        "block", F.when(inside, F.col("few") + F.pmod(turn, "many")).otherwise(F.pmod(turn, "few")).cast("int")
+    )
+    others = F.sequence(F.lit(0), F.when(inside, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))
+    copies = placed.withColumn("other", F.explode(others))
+    keyed = stage(copies.select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
+        "component",
+    ), "blocks")
+    own = _only(texts, keyed.select("node").distinct())
+    rows = keyed.join(own, "node").select("band", "i", "j", "block", "node", "component", "text")
+    ordered = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return stage(map_arrow(ordered, "a long, b long", _blocks), "links")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -272,39 +310,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = stage(bands.join(shared, "band").distinct(), "bands")
     texts = ids_and_texts(documents).select(F.col("doc_id").alias("node"), "text").where("node is not null")
-    links: list[DataFrame] = []
-    checked: list[DataFrame] = []
-    found = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        grouped = members.withColumn("component", F.col("node")) if found is None else members.join(
-            found, "node", "left"
-        ).select("band", "node", F.coalesce("component", "node").alias("component"))
-        per = grouped.groupBy("band", "component").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("first")
-        )
-        pivots = per.groupBy("band").agg(
-            F.count("*").alias("parts"), F.min(F.struct("n", "first", "component")).alias("least")
-        ).where("parts > 1")
-        pivots = pivots.select(
-            "band", F.col("least.first.node").alias("pivot"), F.col("least.component").alias("own")
-        )
-        opened = stage(grouped.join(pivots, "band"), "open")
-        if opened.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            other = opened.where("component <> own")
-            pairs = other.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-            members = opened.where("node <> pivot").select("band", "node")
-        else:
-            plain = _remaining_pairs(opened.select("band", "node", "component"), nodes)
-            pairs = plain.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        for before in checked:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        checked.append(pairs)
-        links.append(_verified(pairs, nodes, texts))
-        found = stage(components(reduce(DataFrame.union, links)), "components")
-    every = components(reduce(DataFrame.union, links, tied))
+    pivots = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("first"))
+    met = stage(members.join(pivots.select("band", F.col("first.node").alias("pivot")), "band"), "pivots")
+    rest = met.where("node <> pivot")
+    star = rest.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    links = _verified(star, nodes, texts)
+    found = stage(components(links), "components")
+    open_members = rest.select("band", "node").join(found, "node", "left").select(
+        "band", "node", F.coalesce("component", "node").alias("component")
+    )
+    more = _remaining_links(open_members, nodes, texts)
+    every = components(links.union(more).union(tied))
     out = sketched.join(every, sketched.doc_id == every.node, "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
