@@ -222,7 +222,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` with every benchmark passage replaced by a mark; all other columns and clean texts unchanged.
 
-    The mark is a word that no item holds, so no window can go across it.
+    The mark is a word that no item holds, so no window can go across it. A document of nothing but passages goes.
     """
     paths = write_blocks(benchmark)
     held = pa.array([f"{MARK}{n or ''}" for n in range(1000)])
@@ -238,8 +238,9 @@ def remove_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         word = mark().encode()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            column, texts = batch.column(at), []
+            column, texts, stays = batch.column(at), [], []
             for row, found in enumerate(find(column, paths)):
+                stays.append(found.n_hit < max(found.n_words, 1))
                 if not found.spans:
                     texts.append(column[row].as_py())
                     continue
@@ -248,6 +249,6 @@ def remove_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     parts += [raw[done:begin], word]
                     done = end
                 texts.append(b"".join([*parts, raw[done:]]).decode())
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type)).filter(pa.array(stays))
 
     return map_arrow(documents, documents.schema, work)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leverwise.functions.sizes import is_small
@@ -326,3 +326,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that are kept, with all columns: one for each component, and all rows without id.
+
+    Of rows that repeat a kept id the one with the least text (by hash, then by content) stays.
+    """
+    kept = stage(near_duplicates(documents).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    first = named.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
+    return first.select(documents.columns).union(documents.where("doc_id is null"))
