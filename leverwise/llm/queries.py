@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leverwise.llm import decontaminate, minhash, packing, pii, token_counts, token_files, toxicity
+from leverwise.llm import decontaminate, embeddings, minhash, packing, pii, token_counts, token_files, toxicity
 from leverwise.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -45,6 +49,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,7 +110,29 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from said left join hit using (doc_id) left join items using (doc_id)
 """
 
+NEAR_VECTORS_SQL = """
+with recursive usable as (
+    select vec_id, label, [cast(x as double) for x in embedding] as v from embeddings
+    where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+        and len([x for x in embedding if x <> 0]) > 0
+),
+links as (
+    select a.vec_id as x, b.vec_id as y from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id
+    where len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reached(x, y) as (
+    select vec_id, vec_id from embeddings
+    union
+    select reached.x, links.y from reached join links on links.x = reached.y
+),
+least as (select x, min(y) as component_id from reached group by x),
+many as (select x, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings left join least on least.x = vec_id left join many on many.x = vec_id
+"""
+
 SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": NEAR_VECTORS_SQL,
     "op1_minhash_near_dedup": NEAR_DUPLICATES_SQL,
     "op5_benchmark_decontamination": CONTAMINATION_SQL,
 }
