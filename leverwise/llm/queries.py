@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leverwise.llm import decontaminate, embeddings, minhash, packing, pii, token_counts, token_files, toxicity
+from leverwise.llm import decontaminate, embeddings, language, minhash, packing, pii, token_counts, token_files, toxicity
 from leverwise.llm.common import read_table
 
 
@@ -41,6 +41,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
