@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leverwise.llm import decontaminate, embeddings, language, minhash, packing, pii, token_counts, token_files, toxicity
+from leverwise.llm import decontaminate, embeddings, language, minhash, packing, pii, quality, token_counts, token_files, toxicity
 from leverwise.llm.common import read_table
 
 
@@ -45,6 +45,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_quality_resampling": op9_quality_resampling,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
