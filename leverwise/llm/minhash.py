@@ -336,5 +336,6 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     kept = stage(near_duplicates(documents).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
     named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = named.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
+    turn = "_".join(["turn", *documents.columns])
+    first = named.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
     return first.select(documents.columns).union(documents.where("doc_id is null"))
