@@ -9,8 +9,9 @@ Each distinct chunk of a slice goes through the tokenizer once; a bounded cache
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from leverwise.llm.text import WHITE, slices, view
 
 # Text whose tokens a worker holds at once (more only for a single longer text).
 SLICE = 10 * 1024 * 1024
-# Chunks kept from one slice to the next, and the longest one kept.
+# Chunks kept from one slice to the next (in each of two generations), and the longest one kept.
 CACHED = 400_000
 CACHED_BYTES = 48
 # Chunks given to the tokenizer at once.
@@ -78,11 +79,18 @@ class Distinct:
         self.index = found.indices.to_numpy()
 
 
-def distinct_chunks(texts: pa.Array) -> Iterator[tuple[int, int, Distinct]]:
-    """Slice by slice: first and last row, chunks."""
+def distinct_chunks(
+    texts: pa.Array, change: Callable[[np.ndarray], np.ndarray] = lambda raw: raw
+) -> Iterator[tuple[int, int, Distinct]]:
+    """Slice by slice: first and last row, chunks of the changed bytes (as many as before)."""
     raw, offsets = view(texts)
     for low, high in slices(offsets, SLICE):
-        yield low, high, Distinct(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        part = change(raw[offsets[low] : offsets[high]])
+        yield low, high, Distinct(part, offsets[low : high + 1] - offsets[low])
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class Encoder:
@@ -90,25 +98,50 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        # Where the file's normalizer lower-cases, capitals are folded first: fewer chunks are distinct.
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _fold(self, raw: np.ndarray) -> np.ndarray:
+        """Small letters for A-Z, unless that could make a special token out of other text."""
+        if not self.folds or not len(raw):
+            return raw
+        data = raw.tobytes()
+        if any(s[:2] in data for s in self.special):
+            return raw
+        return _LOWER[raw]
 
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        out = [self.known.get(c) for c in chunks]
-        missing = [i for i, found in enumerate(out) if found is None]
-        if len(self.known) + len(missing) > CACHED:
-            self.known.clear()
+        known, older = self.known, self.older
+        out = [known.get(c) for c in chunks]
+        missing = []
+        for i, found in enumerate(out):
+            if found is None:
+                held = older.get(chunks[i])
+                if held is None:
+                    missing.append(i)
+                else:
+                    out[i] = known[chunks[i]] = held
         for low in range(0, len(missing), GROUP):
             part = missing[low : low + GROUP]
             texts = [chunks[i].decode("utf-8", "replace") for i in part]
-            for i, one in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                out[i] = np.array(one.ids, np.uint32).tobytes()
-                if len(chunks[i]) <= CACHED_BYTES and len(self.known) < CACHED:
-                    self.known[chunks[i]] = out[i]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            data = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+            at = 0
+            for i, own in zip(part, ids, strict=True):
+                out[i] = data[at : at + 4 * len(own)]
+                at += 4 * len(own)
+                if len(chunks[i]) <= CACHED_BYTES:
+                    known[chunks[i]] = out[i]
+        if len(known) > CACHED:
+            self.older, self.known = known, {}
         return out
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Slice by slice: first and last row, all ids in a row (uint32), and each text's first id (n + 1)."""
-        for low, high, found in distinct_chunks(texts):
+        for low, high, found in distinct_chunks(texts, self._fold):
             own = self._ids(found.chunks)
             flat = np.frombuffer(b"".join(own), np.uint32)
             sizes = np.array([len(x) // 4 for x in own], np.int64)

@@ -32,7 +32,7 @@ FILE = "word_bpe_49k.json"
 END_ID = 1
 # Ids in a frame; a longer document goes on in the next frame.
 FRAME_IDS = 64 * 1024
-LEVEL = 3
+LEVEL = 1
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
