@@ -34,13 +34,13 @@ def type_flags(code: Column) -> dict[str, Column]:
     }
 
 
-def path_levels(path: Column, max_name_len: int = 30) -> Column:
+def path_levels(path: Column, max_name_len: int | None = None) -> Column:
     """The names along a delimited category path, root first; one trailing delimiter is ignored."""
     parts = F.split(path, SEPARATOR)
     kept = F.when(
         (F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)
     ).otherwise(parts)
-    return F.transform(kept, lambda name: F.substring(name, 1, max_name_len))
+    return kept if max_name_len is None else F.transform(kept, lambda name: F.substring(name, 1, max_name_len))
 
 
 def is_usable_path(path: Column) -> Column:

@@ -117,9 +117,9 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
     )
     cells = join_dimension(t.value.drop("is_calc_redundant"), asked, ["dataset_id"], "attr_id")
     cells = join_dimension(cells, shown, ["attr_id", "screen"], "dataset_id").where(may_see())
-    cells = with_stored(cells, t, "base_dataset_id", "base_stored", how="inner")
-    cells = with_override(cells, t, "scenario_id", "override_value")
-    cells = with_override(cells, t, "base_scenario_id", "base_override")
+    cells = with_stored(cells, t, "base_dataset_id", "base_stored", how="inner", asked=asked)
+    cells = with_override(cells, t, "scenario_id", "override_value", asked)
+    cells = with_override(cells, t, "base_scenario_id", "base_override", asked)
     return cells.drop("sec_level").join(t.attribute, "attr_id").select(
         "screen", "dataset_id", "user_id",
         F.coalesce("L2", F.lit("Summary")).alias("tab_name"), F.coalesce("L3", F.lit("Summary")).alias("panel"),
@@ -171,11 +171,16 @@ def filter_groupings(t: Tables) -> DataFrame:
     return t.grouping.where("is_filter").select("grouping_id", "grouping_name")
 
 
-def explode_paths(categories: DataFrame, max_name_len: int = 30) -> DataFrame:
+def rejected_paths(categories: DataFrame) -> DataFrame:
+    """The rows whose path cannot be used: NULL, empty, or with a stray ``~`` at the end."""
+    return categories.where(~is_usable_path(F.col("category_path")))
+
+
+def explode_paths(categories: DataFrame, max_name_len: int | None = None) -> DataFrame:
     """One row per level of each usable category path; the last level carries the external id.
 
-    Kept columns: everything but the path and its id. Unusable paths (NULL, empty, a stray ``~`` at the end)
-    give no row.
+    Kept columns: everything but the path and its id. ``rejected_paths`` gives the rows left out here. Names are
+    whole unless ``max_name_len`` cuts them, as older deliveries did at 30 characters.
     """
     others = [c for c in categories.columns if c not in ("ext_category_id", "category_path")]
     levels = path_levels(F.col("category_path"), max_name_len)
@@ -202,7 +207,7 @@ def add_groupings(t: Tables, categories: DataFrame) -> DataFrame:
 
 
 def resolve_categories(
-    t: Tables, categories: DataFrame, max_name_len: int = 30
+    t: Tables, categories: DataFrame, max_name_len: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Find or create every category on the batch's paths: (grouping, category, id map).
 

@@ -21,7 +21,7 @@ BATCH = "model_id bigint, ext_category_id bigint, grouping_name string, category
         ("", []),
         (None, []),
         ("A~", []),
-        ("A" * 40, [(1, "A" * 30, 7)]),
+        ("A" * 40, [(1, "A" * 40, 7)]),
     ],
 )
 def test_explode_paths(frame, path, expected):
@@ -29,6 +29,16 @@ def test_explode_paths(frame, path, expected):
     assert rows_of(got, "level", "category_name", "ext_category_id") == expected
 
 
+def test_names_are_cut_only_on_demand(frame):
+    got = op.explode_paths(frame(BATCH, (1, 7, "G", "A" * 40)), max_name_len=30)
+    assert rows_of(got, "category_name") == [("A" * 30,)]
+
+
+def test_unusable_paths_are_returned(frame):
+    rows = [(1, 1, "G", "A~"), (1, 2, "G", ""), (1, 3, "G", None), (1, 4, "G", "A~~"), (1, 5, "G", "A~~B~~~")]
+    assert rows_of(op.rejected_paths(frame(BATCH, *rows)), "ext_category_id") == [(1,), (2,), (3,), (5,)]
+
+
 def test_resolve_categories_keeps_parents_apart(tables, frame):
     t = tables(grouping=[(1, False, "Geo")], category=[(1, "X", None, 1), (2, "Z", 1, 1)])
     batch = frame(BATCH, (1, 70, "Geo", "X~~Z"), (1, 71, "Geo", "Y~~Z"), (1, 72, "Geo", "X"), (1, 73, "New", "X"))
