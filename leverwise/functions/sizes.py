@@ -1,15 +1,19 @@
-"""Joining facts with request-sized and dimension frames: broadcast behind a measured size, else salted."""
+"""Joining facts with request-sized and dimension frames: broadcast behind a measured size, else split at hot keys."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leverwise.session import cut_lineage
+
 # A frame up to this size is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Above it, rows of one key are spread over this many partitions.
-SALTS = 32
+# Above it, a key with more facts than this is split into parts of about this many.
+PART_ROWS = 500_000
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -28,15 +32,30 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 def join_dimension(
     facts: DataFrame, dim: DataFrame, key: list[str], spread: str, how: str = "inner", small: bool | None = None
 ) -> DataFrame:
-    """Join facts (left) with a frame of one or few rows per key (right); inner, left or left_semi.
+    """Join facts (left) with a frame of one or few rows per key (right); inner, left, left_semi or left_anti.
 
-    A small frame is broadcast and the facts stay where they are. Otherwise both sides shuffle by the key
-    and a salt taken from ``spread``, a fact column that varies within a key: one key may hold a third of all
-    facts, and adaptive execution cannot split it where a later join needs the same partitioning.
-    ``small`` is given when the size is known already.
+    A small frame is broadcast and the facts stay where they are. Otherwise both sides shuffle by the key. Keys with
+    many facts are counted first and split by ``spread``, a fact column that varies within a key: one key may hold a
+    third of all facts, and adaptive execution cannot split it where a later join needs the same partitioning. Only
+    their rows of the frame are copied, once for each part; there are at most facts / PART_ROWS such keys. Where
+    ``spread`` belongs to the key nothing can be split. ``small`` is given when the size is known already.
     """
     if is_small(dim) if small is None else small:
         return facts.join(F.broadcast(dim), key, how)
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
-    return salted.join(copies, [*key, "_salt"], how).drop("_salt")
+    if spread in key:
+        return facts.join(dim, key, how)
+    counted = facts.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > PART_ROWS)
+    hot = cut_lineage(counted.select(*key, F.ceil(F.col("_n") / PART_ROWS).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    # Facts without a key match nothing and may go anywhere.
+    no_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in key])
+    turn = F.pmod(F.hash(spread), F.when(no_key, F.lit(1024)).otherwise(parts))
+    salted = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", turn).drop("_parts")
+    copies = dim.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(copies.drop("_parts"), [*key, "_salt"], how).drop("_salt")
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows, materialised once, and whether they are small enough to broadcast."""
+    held = cut_lineage(df)
+    return held, is_small(held)

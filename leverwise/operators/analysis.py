@@ -50,17 +50,17 @@ def attribution_impacts(t: Tables, requests: DataFrame) -> DataFrame:
     """
     pair = ["base_dataset_id", "benchmark_dataset_id"]
     views = t.scenario.select(F.col("view_dataset_id").alias("base_dataset_id"), "scenario_id")
+    # The scenario comes with the run, so the facts need no join on a key that most of them may lack.
     runs = with_level(t, requests).join(t.attribution.select("attribution_id", *pair), pair)
+    runs = runs.join(views, "base_dataset_id", "left")
     visible = t.attribute.select("attr_id", "sec_level")
     cells = join_dimension(t.attribution_value, runs, ["attribution_id"], "attr_id")
     cells = cells.join(visible, "attr_id").where(may_see())
-    cells = with_stored(cells, t, "base_dataset_id", "base_stored")
-    cells = with_stored(cells, t, "benchmark_dataset_id", "benchmark_value")
+    cells = with_stored(cells, t, "base_dataset_id", "base_stored", asked=runs)
+    cells = with_stored(cells, t, "benchmark_dataset_id", "benchmark_value", asked=runs)
     # The scenario belongs to the stored scenario value: where that is missing there is no overlay either.
-    cells = cells.withColumn(
-        "_overlaid", F.when(F.col("base_stored").isNotNull(), F.col("base_dataset_id"))
-    ).join(views.withColumnRenamed("base_dataset_id", "_overlaid"), "_overlaid", "left")
-    cells = with_override(cells, t, "scenario_id", "new_value")
+    cells = with_override(cells, t, "scenario_id", "changed", runs)
+    cells = cells.withColumn("new_value", F.when(F.col("base_stored").isNotNull(), F.col("changed")))
     return (
         cells.drop("sec_level")
         .join(t.attribute, "attr_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leverwise.functions.ids import assign_ids, next_id
 from leverwise.functions.sizes import is_small, join_dimension
 from leverwise.operators.merge import splice
+from leverwise.operators.overlay import cut_to
 from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables
 
@@ -125,9 +126,11 @@ def descendants(t: Tables, requests: DataFrame, structure_ids: DataFrame | None
         )
     )
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
-    flags = t.value.select("dataset_id", F.col("attr_id").alias("attribute_id"), "is_calc_redundant")
+    viewed = asked.join(views, "scenario_id")
+    flags = cut_to(t.value.select("dataset_id", "attr_id", "is_calc_redundant"), viewed, "dataset_id")
+    flags = flags.withColumnRenamed("attr_id", "attribute_id")
     return (
-        asked.join(views, "scenario_id")
+        viewed
         .join(branch, "root")
         .join(flags, ["dataset_id", "attribute_id"])
         .select(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
+from leverwise.functions.sizes import join_dimension, measured
 from leverwise.sources.schemas import KEYS, REFERENCES, TABLES, UNIQUE
 from leverwise.sources.tables import Tables, complete_rows
 
@@ -43,9 +44,13 @@ def patch_rows(target: DataFrame, patches: DataFrame, key: list[str]) -> DataFra
     )
 
 
-def missing_from(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
-    """Source rows whose key the target lacks. The target is first cut to the keys of the source."""
-    present = target.select(*key).join(source.select(*key), key, "left_semi")
+def missing_from(source: DataFrame, target: DataFrame, key: list[str], small: bool = False) -> DataFrame:
+    """Source rows whose key the target lacks. The target is first cut to the keys of the source.
+
+    A ``small`` source is broadcast for that, so the target stays where it is.
+    """
+    keys = source.select(*key)
+    present = target.select(*key).join(F.broadcast(keys) if small else keys, key, "left_semi")
     return source.join(present, key, "left_anti")
 
 
@@ -53,15 +58,15 @@ def upsert(
     target: DataFrame, source: DataFrame, key: list[str], update: list[str], table: str, with_action: bool = False
 ) -> DataFrame:
     """Update ``update`` columns where the key matches, insert the other source rows with defaults."""
-    source = unique_by(source, key)
+    source, small = measured(unique_by(source, key))
     marked = source.select(*key, *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
-    kept = target.join(marked, key, "left").select(
+    kept = target.join(F.broadcast(marked) if small else marked, key, "left").select(
         *[F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update else F.col(c)
           for c in target.columns],
         *([F.when(hit, "U").otherwise("keep").alias("action")] if with_action else []),
     )
-    added = complete_rows(missing_from(source, target, key), table).select(*target.columns)
+    added = complete_rows(missing_from(source, target, key, small), table).select(*target.columns)
     if with_action:
         added = added.withColumn("action", F.lit("I"))
     return kept.unionByName(added)
@@ -69,7 +74,9 @@ def upsert(
 
 def splice(table: DataFrame, slice_rows: DataFrame, touched: DataFrame, key: str | list[str]) -> DataFrame:
     """The table with all rows of the touched groups exchanged for ``slice_rows``."""
-    kept = table.join(touched, key, "left_anti").select(*table.columns)
+    key = [key] if isinstance(key, str) else key
+    spread = next(c for c in ("attr_id", *table.columns) if c in table.columns and c not in key)
+    kept = join_dimension(table, touched.select(*key).distinct(), key, spread, "left_anti").select(*table.columns)
     return kept.unionByName(slice_rows.select(*table.columns))
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import external_path, relative_change
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import is_small, join_dimension
+from leverwise.functions.sizes import is_small, join_dimension, measured
 from leverwise.operators.merge import missing_from, unique_by, upsert
 from leverwise.operators.security import may_see, with_level
+from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables, complete_rows
 
 VIEW_ATTRIBUTES = {
@@ -62,17 +63,34 @@ def base_views(t: Tables) -> DataFrame:
     )
 
 
-def with_override(cells: DataFrame, t: Tables, scenario: str, name: str) -> DataFrame:
-    """Add the override a scenario column puts on the attribute, NULL where there is none."""
+def cut_to(facts: DataFrame, asked: DataFrame | None, key: str) -> DataFrame:
+    """The facts of the asked ids only; all facts if none are given."""
+    if asked is None:
+        return facts
+    ids = asked.select(key).where(F.col(key).isNotNull()).distinct()
+    return join_dimension(facts, ids, [key], "attr_id", "left_semi")
+
+
+def with_override(
+    cells: DataFrame, t: Tables, scenario: str, name: str, asked: DataFrame | None = None
+) -> DataFrame:
+    """Add the override a scenario column puts on the attribute, NULL where there is none.
+
+    ``asked`` holds the scenarios that occur, in a column of the same name; only their overrides take part.
+    """
     changes = t.scenario_change.select(
         F.col("scenario_id").alias(scenario), "attr_id", F.col("new_value").alias(name)
     )
+    changes = cut_to(changes, asked, scenario)
     return cells.join(changes, [scenario, "attr_id"], "left")
 
 
-def with_stored(cells: DataFrame, t: Tables, dataset: str, name: str, how: str = "left") -> DataFrame:
-    """Add the stored value a dataset column has for the attribute."""
+def with_stored(
+    cells: DataFrame, t: Tables, dataset: str, name: str, how: str = "left", asked: DataFrame | None = None
+) -> DataFrame:
+    """Add the stored value a dataset column has for the attribute; ``asked`` as for ``with_override``."""
     stored = t.value.select(F.col("dataset_id").alias(dataset), "attr_id", F.col("value").alias(name))
+    stored = cut_to(stored, asked, dataset)
     return cells.join(stored, [dataset, "attr_id"], how)
 
 
@@ -102,14 +120,14 @@ def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame
     changes = t.scenario_change.select(
         F.col("scenario_id").alias("base_scenario_id"), "attr_id", F.col("new_value").alias("changed")
     )
-    if attributes is not None:
-        value = value.join(attributes, "attr_id", "left_semi")
-        changes = changes.join(attributes, "attr_id", "left_semi")
     key = ["base_dataset_id", "base_lane", "attr_id"]
     stored = join_dimension(
         value, bases.select("base_dataset_id", "base_lane"), ["base_dataset_id"], "attr_id", small=small
     )
     changed = join_dimension(changes, bases, ["base_scenario_id"], "attr_id", small=small)
+    if attributes is not None:
+        stored = join_dimension(stored, attributes, ["attr_id"], "base_dataset_id", "left_semi")
+        changed = join_dimension(changed, attributes, ["attr_id"], "base_dataset_id", "left_semi")
     return stored.join(changed, key, "full_outer").select(*key, F.coalesce("changed", "stored").alias("base_shown"))
 
 
@@ -122,11 +140,11 @@ def resolved_values(
     """
     heads = scenario_heads(t, datasets)
     small = is_small(heads)
-    cells = t.value
+    cells = join_dimension(t.value, heads, ["dataset_id"], "attr_id", small=small)
     if attributes is not None:
-        cells = cells.join(attributes, "attr_id", "left_semi")
-    cells = join_dimension(cells, heads, ["dataset_id"], "attr_id", small=small)
-    cells = with_override(cells, t, "scenario_id", "override_value")
+        attributes = attributes.select("attr_id").distinct()
+        cells = join_dimension(cells, attributes, ["attr_id"], "dataset_id", "left_semi")
+    cells = with_override(cells, t, "scenario_id", "override_value", None if datasets is None else heads)
     cells = cells.join(_base_cells(t, heads, small, attributes), ["base_dataset_id", "base_lane", "attr_id"], "left")
     return cells.join(t.attribute, "attr_id").select(
         "dataset_id", "scenario_id", "dataset", "attr_id",
@@ -176,6 +194,7 @@ def assumptions(t: Tables, requests: DataFrame) -> DataFrame:
     """Overlay rows of the attributes a scenario overrides, per (dataset, scenario, user) request."""
     overridden = t.scenario_change.select(F.col("scenario_id").alias("asked_scenario_id"), "attr_id")
     asked = with_level(t, requests.select("dataset_id", "user_id", F.col("scenario_id").alias("asked_scenario_id")))
+    overridden = cut_to(overridden, asked, "asked_scenario_id")
     return (
         join_dimension(resolved_values(t, datasets=requests), asked, ["dataset_id"], "attr_id")
         .where(may_see("attribute_sec_level"))
@@ -238,9 +257,9 @@ def compare_datasets(t: Tables, requests: DataFrame, mask_changes: bool = False)
         F.col("vdt_node_id").alias("node_id"), F.col("name").alias("node_name"),
     )
     cells = join_dimension(t.value, asked, ["dataset_id"], "attr_id").join(nodes, ["attr_id", "structure_id"])
-    cells = with_override(cells, t, "scenario_id", "override_value")
-    cells = with_stored(cells, t, "base_dataset_id", "base_stored")
-    cells = with_stored(cells, t, "benchmark_id", "target_stored")
+    cells = with_override(cells, t, "scenario_id", "override_value", asked)
+    cells = with_stored(cells, t, "base_dataset_id", "base_stored", asked=asked)
+    cells = with_stored(cells, t, "benchmark_id", "target_stored", asked=asked)
     cells = cells.join(t.attribute, "attr_id").join(
         t.unit_format.select("unit", F.col("unit").alias("value_unit"), F.col("format").alias("value_format")),
         "unit", "left",
@@ -270,17 +289,18 @@ def copy_dataset(t: Tables, requests: DataFrame, now: Column) -> NewDataset:
     known = requests.join(
         t.dataset.select(F.col("dataset_id").alias("base_dataset_id"), "model_id"), "base_dataset_id"
     )
-    copies = assign_ids(known, "dataset_id", order, next_id(t.dataset, "dataset_id"))
+    first_dataset = next_id(t.dataset, "dataset_id")
+    copies = assign_ids(known, "dataset_id", order, first_dataset)
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("base_dataset_id"))
     sources = copies.select("base_dataset_id", "dataset_id").join(views, "base_dataset_id", "left")
     cells = join_dimension(
         t.value.select(F.col("dataset_id").alias("base_dataset_id"), "attr_id", "value"), sources,
         ["base_dataset_id"], "attr_id",
     )
-    shown = with_override(cells, t, "scenario_id", "new_value").select(
+    shown = with_override(cells, t, "scenario_id", "new_value", sources).select(
         "dataset_id", "attr_id", F.coalesce("new_value", "value").alias("value")
     )
-    first_scenario = next_id(t.scenario, "scenario_id") - next_id(t.dataset, "dataset_id")
+    first_scenario = next_id(t.scenario, "scenario_id") - first_dataset
     stamped = copies.select(
         "*", F.lit("user").alias("origin"), now.alias("last_update"), now.alias("created"),
         (F.col("dataset_id") + first_scenario).alias("scenario_id"), F.col("dataset_id").alias("view_dataset_id"),
@@ -309,7 +329,7 @@ def apply_changes(t: Tables, changes: DataFrame) -> DataFrame:
 
     ``changes``: (scenario_id, attr_id, new_value, is_revert), one row per scenario and attribute.
     """
-    changes = unique_by(changes.select(*CHANGE_KEY, "new_value", "is_revert"), CHANGE_KEY)
+    changes, small = measured(unique_by(changes.select(*CHANGE_KEY, "new_value", "is_revert"), CHANGE_KEY))
     reverted = F.coalesce("is_revert", F.lit(False))
     given = F.when(reverted, F.col("new_value")).otherwise(
         F.coalesce("new_value", F.raise_error(F.lit("new_value is required")).cast("double"))
@@ -317,11 +337,11 @@ def apply_changes(t: Tables, changes: DataFrame) -> DataFrame:
     marked = changes.select(*CHANGE_KEY, given.alias("_given"), reverted.alias("_revert"), F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
     kept = (
-        t.scenario_change.join(marked, CHANGE_KEY, "left")
+        t.scenario_change.join(F.broadcast(marked) if small else marked, CHANGE_KEY, "left")
         .where(~hit | ~F.col("_revert"))
         .select(*CHANGE_KEY, F.when(hit, F.col("_given")).otherwise(F.col("new_value")).alias("new_value"))
     )
-    added = missing_from(marked.where("not _revert"), t.scenario_change, CHANGE_KEY)
+    added = missing_from(marked.where("not _revert"), t.scenario_change, CHANGE_KEY, small)
     return kept.unionByName(added.select(*CHANGE_KEY, F.col("_given").alias("new_value")))
 
 
@@ -379,9 +399,22 @@ def with_attr_ids(t: Tables, rows: DataFrame, scope_by_model: bool = False) -> D
     return rows.join(paths, key)
 
 
-def merge_calculated(t: Tables, results: DataFrame, now: Column, scope_by_model: bool = False) -> MergeResult:
-    """Upsert calculated values (dataset_id, object_path, attr_name, value) and stamp their datasets."""
-    touched = results.select("dataset_id").distinct()
+def merge_calculated(
+    t: Tables, results: DataFrame, now: Column, scope_by_model: bool = False, dataset_ids: DataFrame | None = None
+) -> MergeResult:
+    """Upsert calculated values (dataset_id, object_path, attr_name, value) and stamp their datasets.
+
+    ``dataset_ids`` are the datasets that were calculated; they are stamped even if no value came back, and values of
+    others are left out. Without them the datasets of the results count. A dataset that does not exist stops the job.
+    """
+    touched = (results if dataset_ids is None else dataset_ids).select("dataset_id").distinct()
+    known = t.dataset.select("dataset_id", F.lit(True).alias("_known"))
+    missing = F.raise_error(F.concat(F.lit("no dataset "), F.col("dataset_id").cast("string"))).cast("bigint")
+    touched = cut_lineage(touched.join(known, "dataset_id", "left").select(
+        F.when(F.col("_known").isNull(), missing).otherwise(F.col("dataset_id")).alias("dataset_id")
+    ))
+    if dataset_ids is not None:
+        results = join_dimension(results, touched, ["dataset_id"], "attr_name", "left_semi")
     if scope_by_model:
         results = results.join(t.dataset.select("dataset_id", "model_id"), "dataset_id")
     source = with_attr_ids(t, results, scope_by_model).select("dataset_id", "attr_id", "value")
