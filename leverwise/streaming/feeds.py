@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,42 +11,62 @@ from pyspark.sql.streaming import StreamingQuery
 from leverwise.operators.overlay import apply_changes, change_log, latest_changes
 from leverwise.sources.tables import Tables
 
-def start_change_feed(t: Tables, root: str) -> None:
+DELTA = ["scenario_id", "attr_id", "new_value", "is_revert", "user_id"]
+
+
+def start_change_feed(t: Tables, feed: DataFrame, root: str, order: list[str]) -> None:
     """Prepare the delta folder, so it can be read before the first micro-batch."""
+    fields = {f.name: f.dataType for f in feed.schema.fields}
     empty = t.scenario_change.limit(0).select(
-        "scenario_id", "attr_id", "new_value", F.lit(False).alias("is_revert"), F.col("scenario_id").alias("user_id")
+        *[F.lit(None).cast(fields[c]).alias(c) for c in dict.fromkeys([*DELTA, *order])]
     )
     empty.write.mode("overwrite").parquet(f"{root}/delta/batch=-1")
 
 
 def apply_changes_stream(
-    t: Tables, feed: DataFrame, root: str, now: Column, order: list[str], trigger: dict | None = None
+    tables: Callable[[], Tables], feed: DataFrame, root: str, now: Column, order: list[str],
+    trigger: dict | None = None, progress: str | None = None,
 ) -> StreamingQuery:
     """Take in a stream of change rows (scenario_id, attr_id, new_value, is_revert, user_id, and the order).
 
-    Within a micro-batch the last row of a key by ``order`` wins. A micro-batch writes only its own delta and
-    log folder, whatever the size of the change table, and a repeated micro-batch overwrites its first
-    attempt instead of counting twice. ``current_changes`` reads the outcome.
+    The last row of a key by ``order`` wins, in whatever micro-batch it comes; so the delta keeps the order. A
+    micro-batch writes only its own delta and log folder, whatever the size of the change table, and a repeated
+    micro-batch overwrites its first attempt instead of counting twice. ``tables`` is asked anew for each
+    micro-batch, so its log sees the values of that time. ``current_changes`` reads the outcome.
     """
 
     def one_batch(rows: DataFrame, batch_id: int) -> None:
-        delta = latest_changes(rows, order).select("scenario_id", "attr_id", "new_value", "is_revert", "user_id")
+        t = tables()
+        delta = latest_changes(rows, order).select(*dict.fromkeys([*DELTA, *order]))
         delta.write.mode("overwrite").parquet(f"{root}/delta/batch={batch_id}")
         stored = t.scenario_change.sparkSession.read.parquet(f"{root}/delta/batch={batch_id}")
         change_log(t, stored, now).write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
 
     return (
         feed.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", f"{root}/progress")
+        .option("checkpointLocation", progress or f"{root}/progress")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def current_changes(t: Tables, root: str) -> DataFrame:
-    """The change table with all deltas so far: the last micro-batch that names a key decides."""
-    deltas = t.scenario_change.sparkSession.read.parquet(f"{root}/delta")
-    return apply_changes(t, latest_changes(deltas, ["batch"]))
+def _deltas(t: Tables, root: str) -> DataFrame:
+    return t.scenario_change.sparkSession.read.parquet(f"{root}/delta")
+
+
+def current_changes(t: Tables, root: str, order: list[str]) -> DataFrame:
+    """The change table with all deltas so far: the last row of a key by ``order`` decides, then the micro-batch."""
+    return apply_changes(t, latest_changes(_deltas(t, root), [*order, "batch"]))
+
+
+def compact_changes(t: Tables, root: str, new_root: str, order: list[str]) -> None:
+    """Fold all deltas into one, the last row of each key, as the first delta of a new root.
+
+    Run it between two runs of the stream, and go on with the new root and the ``progress`` folder of the first one.
+    Rows stay with their order, so a late event is still judged rightly.
+    """
+    last = latest_changes(_deltas(t, root), [*order, "batch"]).drop("batch")
+    last.write.mode("overwrite").parquet(f"{new_root}/delta/batch=-1")
 
 
 def append_facts_stream(feed: DataFrame, path: str, progress: str, trigger: dict | None = None) -> StreamingQuery:

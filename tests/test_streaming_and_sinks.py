@@ -10,6 +10,7 @@ from leverwise.streaming.feeds import (
     append_facts_stream,
     apply_changes_stream,
     audit_rows,
+    compact_changes,
     current_changes,
     start_change_feed,
 )
@@ -31,22 +32,42 @@ def test_change_stream_over_several_batches_equals_one_batch(tables, frame, spar
     for number, rows in enumerate(files):
         frame(FEED, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/part={number}")
     root = f"{tmp_path}/out"
-    start_change_feed(t, root)
-    assert rows_of(current_changes(t, root)) == rows_of(t.scenario_change)
+    order = ["event_id"]
+    start_change_feed(t, frame(FEED), root, order)
+    assert rows_of(current_changes(t, root, order)) == rows_of(t.scenario_change)
 
     def run():
         feed = spark.readStream.schema(FEED + ", part int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        apply_changes_stream(t, feed.drop("part"), root, now(), ["event_id"]).awaitTermination()
+        apply_changes_stream(lambda: t, feed.drop("part"), root, now(), order).awaitTermination()
 
     run()
     together = latest_changes(frame(FEED, *[r for rows in files for r in rows]), ["event_id"]).drop("event_id")
-    assert rows_of(current_changes(t, root)) == rows_of(apply_changes(t, together))
-    assert rows_of(current_changes(t, root)) == [(1, 1, 4.0), (1, 2, 9.0)]
+    assert rows_of(current_changes(t, root, order)) == rows_of(apply_changes(t, together))
+    assert rows_of(current_changes(t, root, order)) == [(1, 1, 4.0), (1, 2, 9.0)]
     logged = spark.read.parquet(f"{root}/log").count()
     run()  # nothing new: nothing counted twice
     assert spark.read.parquet(f"{root}/log").count() == logged == 5
 
 
+def test_a_late_event_does_not_win(tables, frame, spark, tmp_path):
+    t = tables(scenario=[scenario(1, 8, 9)], value=[(9, 1, 1.0, False)])
+    later = tables(scenario=[scenario(1, 8, 9)], value=[(9, 1, 5.0, False)])
+    root, order = f"{tmp_path}/out", ["event_id"]
+    start_change_feed(t, frame(FEED), root, order)
+
+    def run(rows, bundle, target, progress):
+        frame(FEED, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        feed = spark.readStream.schema(FEED).parquet(f"{tmp_path}/in")
+        apply_changes_stream(lambda: bundle, feed, target, now(), order, progress=progress).awaitTermination()
+
+    run([(20, 1, 1, 200.0, False, 1)], t, root, f"{root}/progress")
+    compact_changes(t, root, f"{root}/2", order)
+    run([(10, 1, 1, 100.0, False, 1)], later, f"{root}/2", f"{root}/progress")
+    assert rows_of(current_changes(t, f"{root}/2", order)) == [(1, 1, 200.0)]
+    # The log of the second run sees the values of its time.
+    assert rows_of(spark.read.parquet(f"{root}/2/log"), "old_value", "new_value") == [(5.0, 100.0)]
+
+
 def test_audit_stream_appends(frame, spark, tmp_path):
     events = frame("event_id bigint, ts timestamp_ntz, user_id bigint").schema
     rows = spark.range(20).select("id", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("id")).toDF(*events.names)
