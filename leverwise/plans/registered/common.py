@@ -12,22 +12,31 @@ def now() -> Column:
     return F.lit(NOW_TEXT).cast("timestamp_ntz")
 
 
-RESOLVED_SQL = """
-    select v.dataset_id, s.scenario_id, d.dataset_name as dataset, a.attr_id, a.attr_name as attribute,
-           a.unit as attribute_unit, a.sec_level as attribute_sec_level, a.is_cost as attribute_is_cost,
-           a.is_lever as attribute_is_lever, a.is_aggregate as attribute_is_aggregate,
-           a.is_kpi as attribute_is_kpi, a.is_calculated as attribute_is_calculated,
-           v.is_calc_redundant as attribute_is_calc_redundant, a.is_non_driver as attribute_is_non_driver,
-           coalesce(c.new_value, v.value) as value, coalesce(bc.new_value, b.value, v.value) as base_value,
-           c.new_value as override_value
-    from {value} v
-    join {dataset} d on d.dataset_id = v.dataset_id
-    join {attribute} a on a.attr_id = v.attr_id
-    left join {scenario} s on s.view_dataset_id = v.dataset_id
-    left join {scenario} bs on bs.view_dataset_id = s.base_dataset_id
-    left join {scenario_change} c on c.scenario_id = s.scenario_id and c.attr_id = v.attr_id
-    left join {scenario_change} bc on bc.scenario_id = bs.scenario_id and bc.attr_id = v.attr_id
-    left join {value} b on b.dataset_id = s.base_dataset_id and b.attr_id = v.attr_id"""
+# Overrides by the dataset they are seen in, and everything a dataset holds or shows, one row for each attribute.
+OVERRIDES_SQL = """overrides as (
+    select view_dataset_id as dataset_id, attr_id, new_value from {scenario_change} join {scenario} using (scenario_id))"""
+
+CELLS_SQL = f"""{OVERRIDES_SQL},
+  held as (select dataset_id, attr_id, value as stored, is_calc_redundant, true as is_held from {{value}}),
+  cells as (
+    select dataset_id, attr_id, stored, is_calc_redundant, coalesce(is_held, false) as is_held, new_value,
+           coalesce(new_value, stored) as shown
+    from held full join overrides using (dataset_id, attr_id))"""
+
+RESOLVED_SQL = f"""
+    with {CELLS_SQL},
+    pairs as (
+        select own.*, s.scenario_id, base.shown as below
+        from cells own left join {{scenario}} s on s.view_dataset_id = own.dataset_id
+        left join cells base on base.dataset_id = s.base_dataset_id and base.attr_id = own.attr_id
+        where own.is_held)
+    select dataset_id, scenario_id, dataset_name as dataset, attr_id, attr_name as attribute, unit as attribute_unit,
+           sec_level as attribute_sec_level, is_cost as attribute_is_cost, is_lever as attribute_is_lever,
+           is_aggregate as attribute_is_aggregate, is_kpi as attribute_is_kpi,
+           is_calculated as attribute_is_calculated, is_calc_redundant as attribute_is_calc_redundant,
+           is_non_driver as attribute_is_non_driver, shown as value, coalesce(below, stored) as base_value,
+           new_value as override_value
+    from pairs join {{attribute}} using (attr_id) join (select dataset_id, dataset_name from {{dataset}}) using (dataset_id)"""
 
 VIEW_SQL = """r.attr_id, r.attribute, r.attribute_unit, r.attribute_sec_level, r.attribute_is_cost,
     r.attribute_is_lever, r.attribute_is_aggregate, r.attribute_is_kpi, r.attribute_is_calculated,

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from leverwise.operators import overlay as op
 from leverwise.operators.merge import splice
-from leverwise.plans.registered.common import NOW_SQL, RESOLVED_SQL, VIEW_SQL, now
+from leverwise.plans.registered.common import CELLS_SQL, NOW_SQL, OVERRIDES_SQL, RESOLVED_SQL, VIEW_SQL, now
 from leverwise.session import shared_dir
 from leverwise.sources.schemas import BATCHES
 from leverwise.sources.tables import as_input
-from leverwise.streaming.feeds import apply_changes_stream, current_changes, start_change_feed
+from leverwise.streaming.feeds import apply_changes_stream, compact_changes, current_changes, start_change_feed
 
 SEARCH_TEXT = "ring"
 
@@ -35,21 +35,47 @@ CHANGED_SQL = f"""with {LATEST_SQL}
     union all select scenario_id, attr_id, new_value from latest where not is_revert"""
 
 
-def _change_stream(t) -> DataFrame:
-    """The change feed run through the stream; the stream reads the raw event files."""
+STREAM_ORDER = ["ts", "event_id"]
+STREAM_FILES = 4
+
+
+def _streamed(t) -> str:
+    """The change feed run through the stream in several micro-batches, cut out of time order; its root."""
     spark = t.events.sparkSession
     root = f"{shared_dir(spark)}/change-feed-{uuid.uuid4().hex}"
-    start_change_feed(t, root)
-    events = (
-        spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    )
+    files = t.events.withColumn("part", F.col("event_id") % STREAM_FILES).repartition(STREAM_FILES, "part")
+    files.write.partitionBy("part").parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     feed = events.select(
         "event_id", "ts", (2 * (F.col("user_id") % 5) + 1000001).alias("scenario_id"),
         (F.col("event_id") % 200).alias("attr_id"), F.col("value").alias("new_value"),
         (F.col("event_type") == "error").alias("is_revert"), "user_id",
     )
-    apply_changes_stream(t, feed, root, now(), ["ts", "event_id"]).awaitTermination()
-    return current_changes(t, root)
+    start_change_feed(t, feed, root, STREAM_ORDER)
+    apply_changes_stream(lambda: t, feed, root, now(), STREAM_ORDER).awaitTermination()
+    return root
+
+
+def _change_stream(t) -> DataFrame:
+    """The outcome, read from compacted deltas."""
+    root = _streamed(t)
+    compact_changes(t, root, f"{root}/compact", STREAM_ORDER)
+    return current_changes(t, f"{root}/compact", STREAM_ORDER)
+
+
+def _change_stream_log(t) -> DataFrame:
+    return t.events.sparkSession.read.parquet(f"{_streamed(t)}/log").drop("batch")
+
+
+STREAM_LOG_SQL = f"""with ranked as (
+        select *, row_number() over (
+            partition by event_id % {STREAM_FILES}, scenario_id, attr_id order by ts desc, event_id desc) as rn
+        from {{change_feed}})
+    select l.scenario_id, l.attr_id, l.user_id, {NOW_SQL} as change_date, v.value as old_value, l.new_value
+    from ranked l join {{scenario}} s using (scenario_id)
+    join {{value}} v on v.dataset_id = s.view_dataset_id and v.attr_id = l.attr_id
+    where rn = 1"""
 
 
 def _typed_batch(t) -> DataFrame:
@@ -86,17 +112,14 @@ QUERIES = {
     "calc_inputs": (
         lambda t: op.calc_inputs(t),
         """
-        select v.dataset_id, e.object_path, e.attr_name, coalesce(c.new_value, v.value) as value, 0 as is_override
-        from {value} v join {attribute} a on a.attr_id = v.attr_id and not a.is_calculated
-        join {dataset} d on d.dataset_id = v.dataset_id
-        join {external_attr} e on e.attr_id = v.attr_id
-        left join {scenario} s on s.view_dataset_id = v.dataset_id
-        left join {scenario_change} c on c.scenario_id = s.scenario_id and c.attr_id = v.attr_id
-        union all
-        select s.view_dataset_id, e.object_path, e.attr_name, c.new_value, 1
-        from {scenario_change} c join {scenario} s on s.scenario_id = c.scenario_id
-        join {external_attr} e on e.attr_id = c.attr_id
-        join {attribute} a on a.attr_id = c.attr_id and a.is_calculated""",
+        with """ + CELLS_SQL + """,
+        amounts as (
+            select dataset_id, attr_id, shown as amount, 0 as forced from cells
+            where is_held and dataset_id in (select dataset_id from {dataset})
+            union all select dataset_id, attr_id, new_value, 1 from overrides)
+        select dataset_id, object_path, attr_name, amount as value, forced as is_override
+        from amounts join {external_attr} using (attr_id)
+        where forced = (select cast(is_calculated as int) from {attribute} a where a.attr_id = amounts.attr_id)""",
     ),
     "values_for_attributes": (
         lambda t: op.values_for(t, t.viewer, t.override_attr),
@@ -141,26 +164,31 @@ QUERIES = {
     ),
     "compare_datasets": (
         lambda t: op.compare_datasets(t, t.comparison),
-        """
-        select q.dataset_id, q.benchmark_id, q.structure_id, q.user_id, v.attr_id, f.format as value_format,
-               f.unit as value_unit, a.is_kpi, a.is_lever, a.is_calculated, a.is_non_driver, v.is_calc_redundant,
-               case when u.sec_level >= a.sec_level then coalesce(b.value, v.value) end as actual,
-               case when u.sec_level >= a.sec_level then m.value end as target,
-               (m.value - coalesce(b.value, v.value)) / nullif(coalesce(b.value, v.value), 0) as target_change,
-               (coalesce(c.new_value, v.value) - coalesce(b.value, v.value))
-                 / nullif(coalesce(b.value, v.value), 0) as whatif_change,
-               case when u.sec_level >= a.sec_level then coalesce(c.new_value, v.value) end as whatif,
-               c.new_value as override_value, 1 as increase_is_good, n.vdt_node_id as node_id, n.name as node_name
-        from {comparison} q join {dataset} d on d.dataset_id = q.dataset_id
-        join {value} v on v.dataset_id = q.dataset_id
-        join {attribute} a on a.attr_id = v.attr_id
-        join {vdt_node} n on n.attribute_id = v.attr_id and n.vdt_structure_id = q.structure_id
-        left join {user} u on u.user_id = q.user_id
-        left join {unit_format} f on f.unit = a.unit
-        left join {scenario} s on s.view_dataset_id = v.dataset_id
-        left join {scenario_change} c on c.scenario_id = s.scenario_id and c.attr_id = v.attr_id
-        left join {value} b on b.dataset_id = s.base_dataset_id and b.attr_id = v.attr_id
-        left join {value} m on m.dataset_id = q.benchmark_id and m.attr_id = v.attr_id""",
+        f"""with {OVERRIDES_SQL},
+        asked as (
+            select *, (select base_dataset_id from {{scenario}} s where s.view_dataset_id = q.dataset_id) as base_id
+            from {{comparison}} q where dataset_id in (select dataset_id from {{dataset}})),
+        numbers as (
+            select q.dataset_id, benchmark_id, structure_id, user_id, attr_id,
+                   max(value) filter (v.dataset_id = q.dataset_id) as own,
+                   max(value) filter (v.dataset_id = base_id) as base,
+                   max(value) filter (v.dataset_id = benchmark_id) as target,
+                   bool_or(is_calc_redundant) filter (v.dataset_id = q.dataset_id) as is_calc_redundant
+            from asked q join {{value}} v on v.dataset_id in (q.dataset_id, base_id, benchmark_id)
+            group by all having count(*) filter (v.dataset_id = q.dataset_id) > 0),
+        judged as (
+            select numbers.*, coalesce(base, own) as actual, coalesce(new_value, own) as whatif, new_value,
+                   coalesce((select u.sec_level from {{user}} u where u.user_id = numbers.user_id), -1) as reach
+            from numbers left join overrides using (dataset_id, attr_id))
+        select dataset_id, benchmark_id, structure_id, user_id, attr_id,
+               (select format from {{unit_format}} f where f.unit = a.unit) as value_format,
+               (select f.unit from {{unit_format}} f where f.unit = a.unit) as value_unit, is_kpi, is_lever,
+               is_calculated, is_non_driver, is_calc_redundant, if(reach >= sec_level, actual, null) as actual,
+               if(reach >= sec_level, target, null) as target, (target - actual) / nullif(actual, 0) as target_change,
+               (whatif - actual) / nullif(actual, 0) as whatif_change, if(reach >= sec_level, whatif, null) as whatif,
+               new_value as override_value, 1 as increase_is_good, vdt_node_id as node_id, name as node_name
+        from judged join {{attribute}} a using (attr_id)
+        join {{vdt_node}} n on n.attribute_id = judged.attr_id and n.vdt_structure_id = structure_id""",
     ),
     "copy_dataset": (
         _copied,
@@ -188,6 +216,7 @@ QUERIES = {
         join {{value}} v on v.dataset_id = s.view_dataset_id and v.attr_id = l.attr_id""",
     ),
     "change_stream": (_change_stream, CHANGED_SQL),
+    "change_stream_log": (_change_stream_log, STREAM_LOG_SQL),
     "batch_input_check": (_typed_batch, "select scenario_id, attr_id, new_value, is_revert from {change_feed}"),
     "mark_redundant": (
         lambda t: op.mark_redundant(t, t.scenario.select("scenario_id"), t.redundant_mark),

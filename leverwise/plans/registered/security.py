@@ -37,21 +37,22 @@ QUERIES = {
     "model_groups": (
         lambda t: op.model_groups(t, t.group_name),
         """
-        select distinct g.model_group_id, g.name as model_group_name, m.model_id, m.filename,
-               m.version as model_version, g.identifier, g.instances
-        from {model_group} g join {model} m on m.model_group_id = g.model_group_id
-        join {access_group} a on a.model_group_id = g.model_group_id
-        where m.is_active and m.upload_complete and a.ad_name in (select item from {group_name})
-        order by g.model_group_id""",
+        with open_models as (select * from {model} where is_active and upload_complete),
+        granted as (select model_group_id from {access_group} where ad_name in (select item from {group_name}))
+        select model_group_id, name as model_group_name, model_id, filename, version as model_version, identifier,
+               instances
+        from open_models join (select model_group_id, name, identifier, instances from {model_group})
+          using (model_group_id)
+        where model_group_id in (from granted)""",
     ),
     "model_groups_admin": (
         lambda t: op.model_groups(t),
         """
-        select distinct g.model_group_id, g.name as model_group_name, m.model_id, m.filename,
-               m.version as model_version, g.identifier, g.instances
-        from {model_group} g join {model} m on m.model_group_id = g.model_group_id
-        join {access_group} a on a.model_group_id = g.model_group_id
-        where m.is_active and m.upload_complete order by g.model_group_id""",
+        select model_group_id, any_value(g.name) as model_group_name, model_id, filename, version as model_version,
+               any_value(identifier) as identifier, any_value(instances) as instances
+        from {access_group} join {model_group} g using (model_group_id) join {model} using (model_group_id)
+        where is_active and upload_complete
+        group by model_group_id, model_id, filename, version""",
     ),
     "model_group_details": (
         lambda t: op.model_group_details(t, t.model_group.select("model_group_id")),
