@@ -98,7 +98,8 @@ def attribution_summary(t: Tables, pairs: DataFrame) -> DataFrame:
 
 
 def _import_runs(
-    t: Tables, runs: DataFrame, rows: DataFrame, now: Column, table: str, id_column: str, header_key: list[str]
+    t: Tables, runs: DataFrame, rows: DataFrame, now: Column, table: str, id_column: str, header_key: list[str],
+    scope_by_model: bool,
 ) -> RunImport:
     """Find or create the run headers, replace their detail rows, refresh target value and date.
 
@@ -106,12 +107,18 @@ def _import_runs(
     target value and date.
     """
     stored = getattr(t, table)
+    columns, target = runs.columns, ["target_path", "target_attr"]
+    if scope_by_model:
+        target = [*target, "model_id"]
+        models = t.dataset.select(F.col("dataset_id").alias(header_key[0]), "model_id")
+        runs = runs.join(models, header_key[0], "left")
+        rows = rows.join(runs.select("run_id", "model_id"), "run_id")
     paths = t.external_attr.select(
-        F.col("object_path").alias("target_path"), F.col("attr_name").alias("target_attr"), "attr_id"
-    ).join(runs, ["target_path", "target_attr"], "left_semi")
-    targets = paths.groupBy("target_path", "target_attr").agg(F.min("attr_id").alias("target_attr_id"))
-    aimed = runs.join(targets, ["target_path", "target_attr"], "left")
-    rejected = aimed.where("target_attr_id is null").select(*runs.columns)
+        F.col("object_path").alias("target_path"), F.col("attr_name").alias("target_attr"), "model_id", "attr_id"
+    ).join(runs, target, "left_semi")
+    targets = paths.groupBy(*target).agg(F.min("attr_id").alias("target_attr_id"))
+    aimed = runs.join(targets, target, "left")
+    rejected = aimed.where("target_attr_id is null").select(*columns)
     # Headers are few and read several times below.
     accepted = cut_lineage(unique_by(aimed.where("target_attr_id is not null"), header_key))
     known = stored.join(accepted, header_key, "left_semi").groupBy(*header_key).agg(F.min(id_column).alias(id_column))
@@ -131,22 +138,30 @@ def _import_runs(
         .unionByName(complete_rows(fresh.withColumn("last_update", now), table))
     )
     numbered = found.select("run_id", id_column).unionByName(fresh.select("run_id", id_column))
-    details = join_dimension(with_attr_ids(t, rows, False), numbered, ["run_id"], "attr_id")
+    details = join_dimension(with_attr_ids(t, rows, scope_by_model), numbered, ["run_id"], "attr_id")
     detail_table = f"{table}_value"
     return RunImport(
         headers, complete_rows(details, detail_table), numbered.select(id_column), rejected
     )
 
 
-def import_sensitivity(t: Tables, runs: DataFrame, rows: DataFrame, now: Column) -> RunImport:
-    """Import sensitivity runs; a run is known by dataset and target. Its percentage is kept when known."""
-    return _import_runs(t, runs, rows, now, "sensitivity", "sensitivity_id", ["dataset_id", "target_attr_id"])
+def import_sensitivity(
+    t: Tables, runs: DataFrame, rows: DataFrame, now: Column, scope_by_model: bool = False
+) -> RunImport:
+    """Import sensitivity runs; a run is known by dataset and target. Its percentage is kept when known.
+
+    With ``scope_by_model`` paths name attributes of the dataset's model only.
+    """
+    key = ["dataset_id", "target_attr_id"]
+    return _import_runs(t, runs, rows, now, "sensitivity", "sensitivity_id", key, scope_by_model)
 
 
-def import_attribution(t: Tables, runs: DataFrame, rows: DataFrame, now: Column) -> RunImport:
-    """Import attribution runs; a run is known by base, benchmark, target and kind."""
+def import_attribution(
+    t: Tables, runs: DataFrame, rows: DataFrame, now: Column, scope_by_model: bool = False
+) -> RunImport:
+    """Import attribution runs; a run is known by base, benchmark, target and kind. Scoped by the base's model."""
     key = ["base_dataset_id", "benchmark_dataset_id", "target_attr_id", "is_cumulative"]
-    return _import_runs(t, runs, rows, now, "attribution", "attribution_id", key)
+    return _import_runs(t, runs, rows, now, "attribution", "attribution_id", key, scope_by_model)
 
 
 def with_details(stored: DataFrame, imported: RunImport, id_column: str) -> DataFrame:

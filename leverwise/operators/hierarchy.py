@@ -16,6 +16,10 @@ from leverwise.sources.tables import Tables
 # Levels planned in one go; deeper trees continue with another block.
 LEVELS_PER_BLOCK = 4
 
+# Template and renderer of screens.
+SCREEN_TEMPLATE = "DrillDownTemplate"
+SCREEN_RENDERER = "LeverDashboard"
+
 
 def category_paths(t: Tables, groupings: DataFrame | None = None, one_grouping: bool = False) -> DataFrame:
     """Every category reachable from a root, with the ids and names from the root down to itself.
@@ -123,7 +127,7 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
     return cells.drop("sec_level").join(t.attribute, "attr_id").select(
         "screen", "dataset_id", "user_id",
         F.coalesce("L2", F.lit("Summary")).alias("tab_name"), F.coalesce("L3", F.lit("Summary")).alias("panel"),
-        F.lit("DrillDownTemplate").alias("template"),
+        F.lit(SCREEN_TEMPLATE).alias("template"),
         F.lit(f'{{"groupings":["{grouping_name}"]}}').alias("config"),
         "attr_id", F.col("attr_name").alias("label"), F.col("attr_name").alias("attribute"),
         F.col("unit").alias("attribute_unit"), F.col("sec_level").alias("attribute_sec_level"),
@@ -138,7 +142,7 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
 def screens(t: Tables, groupings: DataFrame) -> DataFrame:
     """Root categories of the groupings, one screen each."""
     return t.category.where("parent_category_id is null").join(groupings, "grouping_id", "left_semi").select(
-        F.col("category_name").alias("screen"), F.lit("LeverDashboard").alias("renderer")
+        F.col("category_name").alias("screen"), F.lit(SCREEN_RENDERER).alias("renderer")
     )
 
 

@@ -90,8 +90,14 @@ def replace_attribute_categories(
     return splice(t.attribute_category, added, touched, "attr_id")
 
 
+# Names of the data sets that hold a model's file.
+MODEL_DATA = "Model Data - "
+DEBUG_FILE = "_debug"
+DEBUG_NAME = MODEL_DATA + DEBUG_FILE
+
+
 def _stored_filename(filename: Column) -> Column:
-    return F.when(filename.startswith("_"), F.lit("_debug")).otherwise(filename)
+    return F.when(filename.startswith("_"), F.lit(DEBUG_FILE)).otherwise(filename)
 
 
 def reload_model_datasets(
@@ -99,12 +105,15 @@ def reload_model_datasets(
 ) -> DatasetReload:
     """Find or create the data set of each imported file and load its values anew.
 
-    Values go to every attribute of that path, whichever model it belongs to, unless scoped.
+    Values go to every attribute of that path, whichever model it belongs to, unless scoped. Of several files that all
+    go to the debug data set the one of the highest model id counts, as the last of several deliveries would.
     """
     named = imports.select(
-        "model_id", F.concat(F.lit("Model Data - "), _stored_filename(F.col("filename"))).alias("dataset_name")
+        "model_id", F.concat(F.lit(MODEL_DATA), _stored_filename(F.col("filename"))).alias("dataset_name")
     )
-    named = unique_by(named, ["dataset_name"])
+    debug = F.col("dataset_name") == DEBUG_NAME
+    last = named.where(debug).groupBy("dataset_name").agg(F.max("model_id").alias("model_id"))
+    named = unique_by(named.where(~debug).unionByName(last), ["dataset_name"])
     known = (
         t.dataset.where("origin = 'model'")
         .join(named, "dataset_name", "left_semi")

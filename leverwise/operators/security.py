@@ -25,14 +25,15 @@ def visible_attributes(t: Tables, user_id: int) -> DataFrame:
     return t.attribute.where(F.col("sec_level") <= level).select("attr_id", "attr_name")
 
 
-def visible_by_level(t: Tables) -> DataFrame:
-    """Attributes visible at each security level in use: the answer for all users at once.
+def visible_by_level(t: Tables, users: DataFrame | None = None) -> DataFrame:
+    """Attributes visible at each security level in use: the answer for all users, or all given ones, at once.
 
     Users with one level see the same attributes, so the answer is keyed by level and users look theirs up
     through ``user.sec_level``. The few level codes in use travel to the attributes as one array, so there
     is no inequality join; every attribute lists the codes at or above its own.
     """
-    held = t.user.agg(F.collect_set("sec_level").alias("levels")).scalar()
+    asked = t.user if users is None else t.user.join(users.select("user_id"), "user_id", "left_semi")
+    held = asked.agg(F.collect_set("sec_level").alias("levels")).scalar()
     listed = t.attribute.select(F.explode(held).alias("user_level"), "sec_level", "attr_id", "attr_name")
     return listed.where(may_see()).drop("sec_level")
 

@@ -12,7 +12,8 @@ from leverwise.operators.merge import splice
 from leverwise.plans.registered.common import CELLS_SQL, NOW_SQL, OVERRIDES_SQL, RESOLVED_SQL, VIEW_SQL, now
 from leverwise.session import shared_dir
 from leverwise.sources.schemas import BATCHES
-from leverwise.sources.tables import as_input
+from leverwise.sources.sinks import overwrite_groups, read_groups, write_bucketed_groups
+from leverwise.sources.tables import as_input, load_tables
 from leverwise.streaming.feeds import apply_changes_stream, compact_changes, current_changes, start_change_feed
 
 SEARCH_TEXT = "ring"
@@ -101,12 +102,63 @@ def _merged(t) -> DataFrame:
     return splice(t.value, merged.value, merged.touched, "dataset_id").join(stamps, "dataset_id")
 
 
+def _merged_stored(t) -> DataFrame:
+    """The same through a bucketed table: only touched folders are read and rewritten, then the whole is read back."""
+    spark = t.value.sparkSession
+    root = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = f"{root}/value"
+    write_bucketed_groups(t.value, path, "dataset_id", 16)
+    touched = t.calculated.select("dataset_id").distinct()
+    merged = op.merge_calculated(t.replace(value=read_groups(spark, path, touched)), t.calculated, now())
+    overwrite_groups(merged.value, merged.touched, path)
+    stamps = merged.dataset.select("dataset_id", "last_update")
+    return load_tables(spark, root, ["value"]).value.join(stamps, "dataset_id")
+
+
 def _assumption_requests(t) -> DataFrame:
     return t.scenario.select(
         F.col("view_dataset_id").alias("dataset_id"), "scenario_id", F.col("created_by").alias("user_id")
     )
 
 
+COMPARISON_SQL = f"""with {OVERRIDES_SQL},
+        asked as (
+            select *, (select base_dataset_id from {{scenario}} s where s.view_dataset_id = q.dataset_id) as base_id
+            from {{comparison}} q where dataset_id in (select dataset_id from {{dataset}})),
+        numbers as (
+            select q.dataset_id, benchmark_id, structure_id, user_id, attr_id,
+                   max(value) filter (v.dataset_id = q.dataset_id) as own,
+                   max(value) filter (v.dataset_id = base_id) as base,
+                   max(value) filter (v.dataset_id = benchmark_id) as target,
+                   bool_or(is_calc_redundant) filter (v.dataset_id = q.dataset_id) as is_calc_redundant
+            from asked q join {{value}} v on v.dataset_id in (q.dataset_id, base_id, benchmark_id)
+            group by all having count(*) filter (v.dataset_id = q.dataset_id) > 0),
+        judged as (
+            select numbers.*, coalesce(base, own) as actual, coalesce(new_value, own) as whatif, new_value,
+                   coalesce((select u.sec_level from {{user}} u where u.user_id = numbers.user_id), -1) as reach
+            from numbers left join overrides using (dataset_id, attr_id))
+        select dataset_id, benchmark_id, structure_id, user_id, attr_id,
+               (select format from {{unit_format}} f where f.unit = a.unit) as value_format,
+               (select f.unit from {{unit_format}} f where f.unit = a.unit) as value_unit, is_kpi, is_lever,
+               is_calculated, is_non_driver, is_calc_redundant, if(reach >= sec_level, actual, null) as actual,
+               if(reach >= sec_level, target, null) as target, (target - actual) / nullif(actual, 0) as target_change,
+               (whatif - actual) / nullif(actual, 0) as whatif_change, if(reach >= sec_level, whatif, null) as whatif,
+               new_value as override_value, 1 as increase_is_good, vdt_node_id as node_id, name as node_name
+        from judged join {{attribute}} a using (attr_id)
+        join {{vdt_node}} n on n.attribute_id = judged.attr_id and n.vdt_structure_id = structure_id"""
+
+
+MERGED_SQL = f"""with source as (
+            select c.dataset_id, e.attr_id, c.value from {{calculated}} c
+            join {{external_attr}} e on e.object_path = c.object_path and e.attr_name = c.attr_name)
+        select coalesce(v.dataset_id, s.dataset_id) as dataset_id, coalesce(v.attr_id, s.attr_id) as attr_id,
+               coalesce(s.value, v.value) as value, coalesce(v.is_calc_redundant, false) as is_calc_redundant,
+               case when d.dataset_id in (select dataset_id from {{calculated}}) then {NOW_SQL}
+                    else d.last_update end as last_update
+        from {{value}} v full outer join source s on s.dataset_id = v.dataset_id and s.attr_id = v.attr_id
+        join {{dataset}} d on d.dataset_id = coalesce(v.dataset_id, s.dataset_id)"""
+
+
 QUERIES = {
     "resolved_values": (lambda t: op.resolved_values(t), RESOLVED_SQL),
     "calc_inputs": (
@@ -162,33 +214,23 @@ QUERIES = {
         join {{external_attr}} e on e.attr_id = r.attr_id
         where r.attr_id in (select attr_id from {{override_attr}})""",
     ),
-    "compare_datasets": (
-        lambda t: op.compare_datasets(t, t.comparison),
-        f"""with {OVERRIDES_SQL},
-        asked as (
-            select *, (select base_dataset_id from {{scenario}} s where s.view_dataset_id = q.dataset_id) as base_id
-            from {{comparison}} q where dataset_id in (select dataset_id from {{dataset}})),
-        numbers as (
-            select q.dataset_id, benchmark_id, structure_id, user_id, attr_id,
-                   max(value) filter (v.dataset_id = q.dataset_id) as own,
-                   max(value) filter (v.dataset_id = base_id) as base,
-                   max(value) filter (v.dataset_id = benchmark_id) as target,
-                   bool_or(is_calc_redundant) filter (v.dataset_id = q.dataset_id) as is_calc_redundant
-            from asked q join {{value}} v on v.dataset_id in (q.dataset_id, base_id, benchmark_id)
-            group by all having count(*) filter (v.dataset_id = q.dataset_id) > 0),
-        judged as (
-            select numbers.*, coalesce(base, own) as actual, coalesce(new_value, own) as whatif, new_value,
-                   coalesce((select u.sec_level from {{user}} u where u.user_id = numbers.user_id), -1) as reach
-            from numbers left join overrides using (dataset_id, attr_id))
-        select dataset_id, benchmark_id, structure_id, user_id, attr_id,
-               (select format from {{unit_format}} f where f.unit = a.unit) as value_format,
-               (select f.unit from {{unit_format}} f where f.unit = a.unit) as value_unit, is_kpi, is_lever,
-               is_calculated, is_non_driver, is_calc_redundant, if(reach >= sec_level, actual, null) as actual,
-               if(reach >= sec_level, target, null) as target, (target - actual) / nullif(actual, 0) as target_change,
-               (whatif - actual) / nullif(actual, 0) as whatif_change, if(reach >= sec_level, whatif, null) as whatif,
-               new_value as override_value, 1 as increase_is_good, vdt_node_id as node_id, name as node_name
-        from judged join {{attribute}} a using (attr_id)
-        join {{vdt_node}} n on n.attribute_id = judged.attr_id and n.vdt_structure_id = structure_id""",
+    "compare_datasets": (lambda t: op.compare_datasets(t, t.comparison), COMPARISON_SQL),
+    "compare_datasets_masked": (
+        lambda t: op.compare_datasets(t, t.comparison, mask_changes=True),
+        COMPARISON_SQL.replace("(target - actual) /", "if(reach >= sec_level, target - actual, null) /").replace(
+            "(whatif - actual) /", "if(reach >= sec_level, whatif - actual, null) /"
+        ),
+    ),
+    "search_attributes_ignoring_case": (
+        lambda t: op.search_values(t, t.viewer, SEARCH_TEXT.upper(), ignore_case=True),
+        f"""
+        select distinct r.dataset_id, w.user_id, {VIEW_SQL}
+        from ({RESOLVED_SQL}) r join {{viewer}} w on w.dataset_id = r.dataset_id
+        join {{user}} u on u.user_id = w.user_id and u.sec_level >= r.attribute_sec_level
+        where r.attribute_is_lever and not r.attribute_is_kpi and r.attr_id in (
+            select attr_id from {{attribute_category}} join {{category}} using (category_id)
+            join {{attribute}} using (attr_id)
+            where category_name ilike '%{SEARCH_TEXT}%' or attr_name ilike '%{SEARCH_TEXT}%')""",
     ),
     "copy_dataset": (
         _copied,
@@ -238,16 +280,6 @@ QUERIES = {
         select s.view_dataset_id, min(s.base_dataset_id) as base_dataset_id
         from {scenario} s join {dataset} d on d.dataset_id = s.view_dataset_id group by s.view_dataset_id""",
     ),
-    "merge_calculated": (
-        _merged,
-        f"""with source as (
-            select c.dataset_id, e.attr_id, c.value from {{calculated}} c
-            join {{external_attr}} e on e.object_path = c.object_path and e.attr_name = c.attr_name)
-        select coalesce(v.dataset_id, s.dataset_id) as dataset_id, coalesce(v.attr_id, s.attr_id) as attr_id,
-               coalesce(s.value, v.value) as value, coalesce(v.is_calc_redundant, false) as is_calc_redundant,
-               case when d.dataset_id in (select dataset_id from {{calculated}}) then {NOW_SQL}
-                    else d.last_update end as last_update
-        from {{value}} v full outer join source s on s.dataset_id = v.dataset_id and s.attr_id = v.attr_id
-        join {{dataset}} d on d.dataset_id = coalesce(v.dataset_id, s.dataset_id)""",
-    ),
+    "merge_calculated": (_merged, MERGED_SQL),
+    "merge_calculated_stored": (_merged_stored, MERGED_SQL),
 }

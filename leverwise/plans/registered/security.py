@@ -12,6 +12,13 @@ QUERIES = {
         from (select distinct sec_level as user_level from {user} where sec_level is not null) u
         join {attribute} a on u.user_level >= a.sec_level""",
     ),
+    "visible_attributes_requested": (
+        lambda t: op.visible_by_level(t, t.viewer),
+        """
+        select level as user_level, attr_id, attr_name
+        from (select distinct sec_level as level from {user} where user_id in (select user_id from {viewer}))
+        join {attribute} on sec_level <= level""",
+    ),
     "visible_attributes_of_user": (
         lambda t: op.visible_attributes(t, 1),
         """

@@ -105,6 +105,9 @@ REFERENCES: list[tuple[str, str, str, str]] = [
     ("scenario", "editing_by", "user", "user_id"),
     ("scenario_change", "scenario_id", "scenario", "scenario_id"),
     ("scenario_change", "attr_id", "attribute", "attr_id"),
+    ("scenario_change_log", "scenario_id", "scenario", "scenario_id"),
+    ("scenario_change_log", "attr_id", "attribute", "attr_id"),
+    ("scenario_change_log", "user_id", "user", "user_id"),
     ("value", "dataset_id", "dataset", "dataset_id"),
     ("value", "attr_id", "attribute", "attr_id"),
     ("sensitivity", "dataset_id", "dataset", "dataset_id"),

@@ -33,9 +33,18 @@ class Tables:
 
 
 def load_tables(spark: SparkSession, path: str, names: list[str] | None = None) -> Tables:
-    """Scan the Parquet tables below ``path`` with their declared schemas (no inference)."""
-    wanted = names or list(TABLES)
-    return Tables(**{name: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}") for name in wanted})
+    """Scan the Parquet tables below ``path`` with their declared schemas (no inference).
+
+    Folder columns of a bucketed layout are left out, and so are the rows that mark an emptied folder.
+    """
+
+    def scan(name: str) -> DataFrame:
+        fields = _fields(TABLES[name])
+        held = spark.read.schema(TABLES[name]).parquet(f"{path}/{name}").select(*[f.name for f in fields])
+        required = [f.name for f in fields if not f.nullable]
+        return held.where(F.col(required[0]).isNotNull()) if required else held
+
+    return Tables(**{name: scan(name) for name in names or list(TABLES)})
 
 
 def _fields(schema: str | StructType):
@@ -72,9 +81,11 @@ def complete_rows(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
-def seed_reference(spark: SparkSession) -> dict[str, DataFrame]:
-    """The lookup rows every installation starts with."""
+def seed_reference(spark: SparkSession, first_grouping: str | None = None) -> dict[str, DataFrame]:
+    """The lookup rows every installation starts with; with a name also the first grouping, which is no filter."""
+    named = [] if first_grouping is None else [(1, False, first_grouping)]
     return {
+        "grouping": spark.createDataFrame(named, TABLES["grouping"]),
         "audit_category": spark.createDataFrame(
             list(enumerate(AUDIT_CATEGORIES, start=1)), TABLES["audit_category"]
         ),

@@ -131,3 +131,15 @@ def test_unknown_target_refuses_the_run(tables, frame):
         (5, 1, 0.1, 9.0), (6, 2, 0.3, 8.0)
     ]
     assert rows_of(analysis.with_details(t.sensitivity_value, done, "sensitivity_id")) == [(5, 11, 3.0, 4.0), (6, 10, 5.0, 6.0)]
+
+
+def test_of_several_debug_files_the_last_model_counts(tables, frame):
+    t = tables(
+        dataset_category=[(4, "Scenario")],
+        external_attr=[(1, 10, "p", 900, "a"), (2, 20, "p", 901, "a")],
+    )
+    imports = frame("model_id bigint, filename string", (1, "_one"), (2, "_two"))
+    rows = frame(ddl("model_rows"), row(1, 900, "a", 1.0), row(2, 901, "a", 2.0))
+    loaded = ingest.reload_model_datasets(t, imports, rows, now(), scope_by_model=True)
+    assert rows_of(loaded.dataset, "dataset_name", "model_id") == [("Model Data - _debug", 2)]
+    assert rows_of(loaded.value, "attr_id", "value") == [(20, 2.0)]

@@ -155,8 +155,9 @@ def test_typed_input(frame):
 def test_seed_rows(spark):
     seeds = seed_reference(spark)
     assert {name: df.count() for name, df in seeds.items()} == {
-        "audit_category": 28, "unit_format": 35, "dataset_category": 4
+        "audit_category": 28, "unit_format": 35, "dataset_category": 4, "grouping": 0
     }
+    assert rows_of(seed_reference(spark, "First")["grouping"]) == [(1, False, "First")]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

@@ -210,3 +210,14 @@ def test_what_if_round(t, frame):
     after, shown = what_if_round(t, frame(CHANGES, (20, 10, 8.0, False, 1)), twice, now())
     assert rows_of(after.value.where("dataset_id = 2"), "attr_id", "value") == [(10, 16.0), (11, 100.0)]
     assert rows_of(shown, "dataset_id", "attr_id", "value") == [(2, 10, 8.0), (2, 11, 100.0)]
+
+
+def test_merge_stamps_all_calculated_datasets_and_refuses_unknown_ones(tables, frame):
+    t = tables(dataset=[dataset(1), dataset(2)], external_attr=[(1, 10, "p", 900, "a")], value=[(1, 10, 1.0, False)])
+    ddl = "dataset_id bigint, object_path string, attr_name string, value double"
+    asked = frame("dataset_id bigint", (1,), (2,))
+    merged = op.merge_calculated(t, frame(ddl, (1, "p", "a", 5.0)), now(), dataset_ids=asked)
+    assert rows_of(merged.value, "dataset_id", "value") == [(1, 5.0)]
+    assert merged.dataset.where(F.col("last_update") == now()).count() == 2
+    with pytest.raises(Exception, match="no dataset 7"):
+        op.merge_calculated(t, frame(ddl, (7, "p", "a", 5.0)), now())

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from leverwise.operators.overlay import apply_changes, latest_changes
 from leverwise.plans.registered.common import now
-from leverwise.sources.sinks import append_facts, export_csv, overwrite_groups, write_bucketed_groups, write_snapshot
+from leverwise.sources.sinks import append_facts, export_csv, overwrite_groups, read_groups, write_bucketed_groups, write_snapshot
+from leverwise.sources.tables import load_tables
 from leverwise.streaming.feeds import (
     append_facts_stream,
     apply_changes_stream,
@@ -83,8 +84,14 @@ def test_overwrite_groups_rewrites_only_touched_folders(frame, spark, tmp_path):
     write_bucketed_groups(frame(ddl, (0, 1, 1.0), (4, 1, 2.0), (1, 1, 3.0), (2, 1, 4.0)), path, "dataset_id", 4)
     before = {r.f for r in spark.read.parquet(path).where("bucket = 1").select(F.input_file_name().alias("f")).collect()}
     touched = frame("dataset_id bigint", (0,), (2,))
-    overwrite_groups(frame(ddl, (0, 7, 9.0)), touched, path, "dataset_id", 4)
-    assert rows_of(spark.read.parquet(path).drop("bucket")) == [(0, 7, 9.0), (1, 1, 3.0), (4, 1, 2.0)]
+    overwrite_groups(frame(ddl, (0, 7, 9.0)), touched, path)
+    held = load_tables(spark, str(tmp_path), ["value"]).value
+    assert rows_of(held, "dataset_id", "attr_id", "value") == [(0, 7, 9.0), (1, 1, 3.0), (4, 1, 2.0)]
+    assert "bucket" not in held.columns
+    asked = read_groups(spark, path, frame("dataset_id bigint", (0,), (2,)))
+    assert rows_of(asked) == [(0, 7, 9.0)]
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:60]
     after = {r.f for r in spark.read.parquet(path).where("bucket = 1").select(F.input_file_name().alias("f")).collect()}
     assert before == after
 
