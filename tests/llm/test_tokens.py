@@ -11,7 +11,7 @@ from leverwise.llm import packing, token_counts, token_files
 from leverwise.llm.chunks import Encoder, tokenizer
 from leverwise.llm.common import new_folder
 
-PIECES = [*"aeth  \n\t'slre.,!?<|>0129éßñ中🙂", " ", " ", "　", "́", "<|endoftext|>", "<|startoftext|>", "'re", "'ll", " the", " OF", "\r\n  ", "\x1c"]
+PIECES = [*"aeth  \n\t'slre.,!?<|>0129éßñ中🙂", " ", " ", "　", "́", "<|endoftext|>", "<|startoftext|>", "'re", "'ll", " the", " OF", "\r\n  ", "\x1c", "a,b", "(c)", "it's", "x_y", "A.B", " t'll.", "w-", "$$"]
 
 
 def odd_texts(n: int, seed: int = 1) -> list[str | None]:
