@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leverwise.llm.chunks import Encoder
+from leverwise.llm.chunks import encoder
 from leverwise.llm.common import ids_and_texts, map_arrow, stage
 
 FILE = "byte_bpe_50k.json"
@@ -209,11 +209,11 @@ def pieces(documents: DataFrame, path: str, end_id: int, capacity: int) -> DataF
     """All pieces with their number among those of the same length in the same task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        held, part = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             names = batch.column(0)
-            for low, high, ids, of in encoder.encode(batch.column(1)):
+            for low, high, ids, of in held.encode(batch.column(1)):
                 row, piece, start, length, crc, rank = [], [], [], [], [], []
                 for i in range(high - low):
                     own = np.append(ids[of[i] : of[i + 1]], np.uint32(end_id)).astype("<u4", copy=False)

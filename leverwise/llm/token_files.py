@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leverwise.llm.chunks import Encoder
+from leverwise.llm.chunks import encoder
 from leverwise.llm.common import ids_and_texts, map_arrow, new_folder, prepare
 
 FILE = "word_bpe_49k.json"
@@ -157,7 +157,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str = FILE, end_id: in
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, stream = Encoder(path), None, None
+        held, writer, stream = encoder(path), None, None
         part = TaskContext.get().partitionId()
         place, base = _place(folder)
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.zst"
@@ -167,7 +167,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str = FILE, end_id: in
                 stream = place.open_output_stream(name, compression=None)
                 writer = Writer(stream)
             names = batch.column(0).to_pylist()
-            for low, high, ids, of in encoder.encode(batch.column(1)):
+            for low, high, ids, of in held.encode(batch.column(1)):
                 for row in range(low, high):
                     own = ids[of[row - low] : of[row - low + 1]]
                     writer.add(names[row], np.append(own, np.uint32(end_id)))
