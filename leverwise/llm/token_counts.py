@@ -24,14 +24,34 @@ from leverwise.llm.common import ids_and_texts, map_arrow
 
 FILE = "byte_bpe_50k.json"
 LIMIT = 1024
-# Entries of each table of partial results that a worker keeps.
-KEPT = 250_000
+# Entries of each table of partial results that a worker keeps, in each of two generations.
+KEPT = 350_000
 # White space of Unicode.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PART = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _CONTRACTION = ("'re", "'ve", "'ll")
 
 
+class Recent(dict):
+    """A table of bounded size: when it is full it becomes the older generation, and what is used again returns."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class PrefixCounter:
     """Counts at every byte prefix, for a byte-level BPE file of the tokenizers library."""
 
@@ -42,41 +62,40 @@ class PrefixCounter:
         for text in self.special:
             self.vocabulary.pop(text.decode(), None)
         self.longest = max(map(len, self.vocabulary))
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        # By both tokens with a blank between; the byte alphabet has no blank.
+        self.fits: Recent = Recent()
+        self.pieces: Recent = Recent()
+        self.totals: Recent = Recent()
 
     def _suits(self, before: str, token: str) -> bool:
         """Whether the encoding of both tokens' bytes is these two tokens (or the one, if nothing stands before)."""
-        found = self.fits.get((before, token))
-        if found is None:
-            made = [t.value for t in self.tokenizer.model.tokenize(before + token)]
-            found = made == ([before, token] if before else [token])
-            if len(self.fits) >= KEPT:
-                self.fits.clear()
-            self.fits[before, token] = found
+        made = [t.value for t in self.tokenizer.model.tokenize(before + token)]
+        found = made == ([before, token] if before else [token])
+        self.fits.keep(before + " " + token, found)
         return found
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Counts of the prefixes of 1, 2, ... bytes of one piece, given in the byte alphabet of the vocabulary."""
-        found = self.pieces.get(text)
+        found = self.pieces[text]
         if found is not None:
             return found
         counts, last = [0], [""]
+        vocabulary, fits, longest = self.vocabulary, self.fits, self.longest
         for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - self.longest), end):
+            for begin in range(end - longest if end > longest else 0, end):
                 token = text[begin:end]
-                if token in self.vocabulary and self._suits(last[begin], token):
-                    counts.append(counts[begin] + 1)
-                    last.append(token)
-                    break
+                if token in vocabulary:
+                    before = last[begin]
+                    known = fits[before + " " + token]
+                    if known or known is None and self._suits(before, token):
+                        counts.append(counts[begin] + 1)
+                        last.append(token)
+                        break
             else:
                 raise ValueError(f"no token of the vocabulary ends a prefix of {text[:40]!r}")
         found = tuple(counts[1:])
         if len(text) <= CACHED_BYTES:
-            if len(self.pieces) >= KEPT:
-                self.pieces.clear()
-            self.pieces[text] = found
+            self.pieces.keep(text, found)
         return found
 
     def _split(self, text: str) -> list[str]:
@@ -106,7 +125,7 @@ class PrefixCounter:
             rest, total = chunk[:end], 0
             while rest:
                 at, text = min(((p, t) for t in self.special if (p := rest.find(t)) >= 0), default=(len(rest), b""))
-                total += int(self.chunk(rest[:at])[-1]) if at else 0
+                total += self.total(rest[:at]) if at else 0
                 total += bool(text)
                 rest = rest[at + len(text) :]
             out.append(total)
@@ -114,21 +133,25 @@ class PrefixCounter:
 
     def chunk(self, chunk: bytes) -> np.ndarray:
         """Counts of the prefixes of 1, 2, ... bytes of a chunk."""
-        found = self.chunks.get(chunk)
-        if found is not None:
-            return np.frombuffer(found, np.uint32)
         if any(s in chunk for s in self.special):
             return self._with_special(chunk)
         counts: list[int] = []
         total = 0
         for part in _PART.findall(chunk.decode("utf-8", "replace")):
             counts, total = self._add(part, counts, total)
-        out = np.array(counts, np.uint32)
-        if len(chunk) <= CACHED_BYTES:
-            if len(self.chunks) >= KEPT:
-                self.chunks.clear()
-            self.chunks[chunk] = out.tobytes()
-        return out
+        return np.array(counts, np.uint32)
+
+    def total(self, chunk: bytes) -> int:
+        """Tokens of a whole chunk."""
+        found = self.totals[chunk]
+        if found is None:
+            if any(s in chunk for s in self.special):
+                return int(self._with_special(chunk)[-1])
+            parts = _PART.findall(chunk.decode("utf-8", "replace"))
+            found = sum(self.piece(piece)[-1] for part in parts for piece in self._split(part))
+            if len(chunk) <= CACHED_BYTES:
+                self.totals.keep(chunk, found)
+        return found
 
     def prefixes(self, text: bytes) -> np.ndarray:
         """Counts of the prefixes of 0, 1, 2, ... bytes of a whole text."""
@@ -176,7 +199,7 @@ def token_counts(documents: DataFrame, path: str = FILE, limit: int = LIMIT) ->
         counter = _counter(path)
         for batch in batches:
             for low, high, found in distinct_chunks(batch.column(1)):
-                own = np.array([int(counter.chunk(c)[-1]) if c else 0 for c in found.chunks], np.int64)
+                own = np.array([counter.total(c) if c else 0 for c in found.chunks], np.int64)
                 totals = np.concatenate([[0], np.cumsum(own[found.index])])
                 n = totals[found.of[1:]] - totals[found.of[:-1]]
                 size = found.ends[found.of[1:]] - found.ends[found.of[:-1]]
