@@ -127,10 +127,15 @@ _REWRITE = re.compile(
     re.IGNORECASE,
 )
 _ALIKE_CHARACTER = re.compile("[" + "".join(map(re.escape, map(chr, LOOK_ALIKES))) + "]")
+# All that Python's \s matches, and the letters that it takes for i and s without regard to case: the linear-time matcher
+# knows only the ASCII blanks and not every such letter.
+_BLANK = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_FOLDED = {ord("ı"): "i", ord("İ"): "i", ord("ſ"): "s"}
+_ANY_WORD = _WORD.replace("i", "[iıİ]").replace("s", "[sſ]")
 # What any rewriting needs, for the linear-time matcher over whole batches: no text is missed, few are read in vain.
 _SIGNS = (
-    rf"(?i)[\[({{<]\s*(at|dot)\s*[\])}}>]|\sdot\s|[{_HIDDEN}]|(?-i:{_ALIKE_CHARACTER.pattern})"
-    rf"|(({_WORD})([\s,-]+|\s*[\[({{<]?\s*dot\s*[\])}}>]?\s*)){{{DIGIT_RUN - 1}}}({_WORD})"
+    rf"(?i)[\[({{<][{_BLANK}]*(at|dot)[{_BLANK}]*[\])}}>]|[{_BLANK}]dot[{_BLANK}]|[{_HIDDEN}]|(?-i:{_ALIKE_CHARACTER.pattern})"
+    rf"|(({_ANY_WORD})([{_BLANK},-]+|[{_BLANK}]*[\[({{<]?[{_BLANK}]*dot[{_BLANK}]*[\])}}>]?[{_BLANK}]*)){{{DIGIT_RUN - 1}}}({_ANY_WORD})"
 )
 _STEP = re.compile(rf"(?P<word>{_WORD})|(?P<dot>dot)|(?P<plus>plus)", re.IGNORECASE)
 
@@ -150,7 +155,7 @@ class Normalised:
             self._add(text[done : match.start()], done, match.start(), False)
             if match.lastgroup == "digits":
                 for step in _STEP.finditer(match[0]):
-                    word = DIGIT_WORDS[step["word"].lower()] if step["word"] else "." if step["dot"] else "+"
+                    word = DIGIT_WORDS[step["word"].translate(_FOLDED).lower()] if step["word"] else "." if step["dot"] else "+"
                     self._add(word, match.start() + step.start(), match.start() + step.end(), True)
             elif match.lastgroup != "hidden":
                 self._add("@" if match.lastgroup == "at" else ".", match.start(), match.end(), True)

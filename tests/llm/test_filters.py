@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,34 @@ def test_disguises_are_mapped_back(text, kind, piece):
     assert piece not in pii.masked(text, every)
 
 
+def gated_and_ungated(text):
+    (_, plain, every), = pii.spans_of(pa.array([text]))
+    return every, sorted(plain + pii.hidden_spans(text, plain))
+
+
+def test_no_blank_is_missed_by_the_gate():
+    blanks = [c for c in map(chr, range(sys.maxunicode + 1)) if re.match(r"\s", c)]
+    assert len(blanks) > 20
+    for c in blanks:
+        for text, kind in (
+            (f"john at mail{c}dot{c}com", "email"),
+            (f"john{c}[{c}at{c}]{c}mail.com", "email"),
+            (f"john@mail({c}dot{c})com", "email"),
+            (f"plus{c}" + c.join("four nine one five one two three four five six".split()), "phone"),
+            (c.join("one two seven dot zero dot zero dot one".split()), "ip"),
+        ):
+            every, ungated = gated_and_ungated(text)
+            assert every == ungated == [(0, pii.KINDS.index(kind), len(text))], (hex(ord(c)), text)
+
+
+@pytest.mark.parametrize("letter", ["ı", "İ", "ſ", "I", "S"])
+def test_letters_that_fold_to_ascii_are_read_as_digits(letter):
+    text = "plus four nine one five one two three four six five"
+    text = text.replace("i" if letter in "ıİI" else "s", letter)
+    every, ungated = gated_and_ungated(text)
+    assert every == ungated and (every[0][1], every[0][2]) == (pii.KINDS.index("phone"), len(text))
+
+
 def test_ordinary_text_is_left_alone():
     for text in ("the house at the sea, one two three", "dot by dot", "la de un dos tres", "α and ω", "page 12 of 400", "a – b"):
         (_, plain, every), = pii.spans_of(pa.array([text]))
