@@ -4,6 +4,11 @@ Plain identifiers are found by fixed patterns. Then a chain of two transducers r
 look-alike characters one for one; the second rewrites at/dot disguises, runs of spelled digits and invisible
 characters, and keeps for each rewritten piece where it came from. The same patterns run over the normalised text; a
 match that holds a rewritten piece and touches no plain match is mapped back to source positions and added.
+
+At least DIGIT_RUN spelled digits in a row are a number of their own. Fewer count only where they touch figures; a last
+pass joins these, and what it finds is added if it touches no span of before. An ``at`` without brackets is rewritten
+only if a spelled dot follows in the domain, perhaps after labels with plain dots: ``john at mail.example.com`` is left,
+as it cannot be told from prose.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from leverwise.llm.common import ids_and_texts, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
-# Spelled digits in a row that count as a number.
+# Spelled digits in a row that count as a number if they touch no figure.
 DIGIT_RUN = 4
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,24 +123,33 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _HIDDEN = "​‌‍⁠﻿­"
 _DOT = r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
 _AT = r"\s*[\[({<]\s*at\s*[\])}>]\s*"
-_SPELLED = rf"\b(?:plus[\s,-]+)?(?:{_WORD})(?:(?:[\s,-]+|{_DOT})(?:{_WORD}))" + f"{{{DIGIT_RUN - 1},}}" + r"\b"
-_REWRITE = re.compile(
+_JOIN = rf"(?:[\s,-]+|{_DOT})"
+_START = r"\b(?:plus[\s,-]+)?"
+_SPELLED = rf"{_START}(?:{_WORD})(?:{_JOIN}(?:{_WORD}))" + f"{{{DIGIT_RUN - 1},}}" + r"\b"
+_CHAIN = (
     rf"(?P<digits>{_SPELLED})"
-    rf"|(?P<at>{_AT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9-]))"
+    rf"|(?P<at>{_AT}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9-]))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))"
-    rf"|(?P<hidden>(?<=\S)[{_HIDDEN}]+(?=\S))",
-    re.IGNORECASE,
+    rf"|(?P<hidden>(?<=\S)[{_HIDDEN}]+(?=\S))"
 )
+_REWRITE = re.compile(_CHAIN, re.IGNORECASE)
+# Spelled digits, whatever their number, with a figure before or after them.
+_SOME = rf"(?:{_WORD})(?:{_JOIN}(?:{_WORD}))*"
+_MIXED = rf"(?P<mixed>(?<=[0-9]){_JOIN}?{_SOME}(?:{_JOIN}?(?=[0-9])|\b)|{_START}{_SOME}{_JOIN}?(?=[0-9]))"
+_TOUCHING = re.compile(_MIXED, re.IGNORECASE)
+_REWRITE_MIXED = re.compile(f"{_MIXED}|{_CHAIN}", re.IGNORECASE)
 _ALIKE_CHARACTER = re.compile("[" + "".join(map(re.escape, map(chr, LOOK_ALIKES))) + "]")
 # All that Python's \s matches, and the letters that it takes for i and s without regard to case: the linear-time matcher
 # knows only the ASCII blanks and not every such letter.
-_BLANK = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _FOLDED = {ord("ı"): "i", ord("İ"): "i", ord("ſ"): "s"}
-_ANY_WORD = _WORD.replace("i", "[iıİ]").replace("s", "[sſ]")
+_ANY_WORD = "(" + _WORD.replace("i", "[iıİ]").replace("s", "[sſ]") + ")"
+_ANY_JOIN = rf"(({_BLANK}|[,-])+|{_BLANK}*[\[({{<]?{_BLANK}*dot{_BLANK}*[\])}}>]?{_BLANK}*)"
 # What any rewriting needs, for the linear-time matcher over whole batches: no text is missed, few are read in vain.
 _SIGNS = (
-    rf"(?i)[\[({{<][{_BLANK}]*(at|dot)[{_BLANK}]*[\])}}>]|[{_BLANK}]dot[{_BLANK}]|[{_HIDDEN}]|(?-i:{_ALIKE_CHARACTER.pattern})"
-    rf"|(({_ANY_WORD})([{_BLANK},-]+|[{_BLANK}]*[\[({{<]?[{_BLANK}]*dot[{_BLANK}]*[\])}}>]?[{_BLANK}]*)){{{DIGIT_RUN - 1}}}({_ANY_WORD})"
+    rf"(?i)[\[({{<]{_BLANK}*(at|dot){_BLANK}*[\])}}>]|{_BLANK}dot{_BLANK}|[{_HIDDEN}]|(?-i:{_ALIKE_CHARACTER.pattern})"
+    rf"|({_ANY_WORD}{_ANY_JOIN}){{{DIGIT_RUN - 1}}}{_ANY_WORD}"
+    rf"|[0-9]{_ANY_JOIN}?{_ANY_WORD}([^A-Za-z_]|$)|(^|[^0-9A-Za-z_]){_ANY_WORD}{_ANY_JOIN}?[0-9]"
 )
 _STEP = re.compile(rf"(?P<word>{_WORD})|(?P<dot>dot)|(?P<plus>plus)", re.IGNORECASE)
 
@@ -143,7 +157,7 @@ _STEP = re.compile(rf"(?P<word>{_WORD})|(?P<dot>dot)|(?P<plus>plus)", re.IGNOREC
 class Normalised:
     """A rewritten text with the way back: pieces (start in the new text, start and end in the source)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, rewrite: re.Pattern[str] = _REWRITE):
         text = source.translate(LOOK_ALIKES) if not source.isascii() else source
         self.changed = [m.start() for m in _ALIKE_CHARACTER.finditer(source)] if text != source else []
         self.parts: list[str] = []
@@ -151,12 +165,18 @@ class Normalised:
         self.old: list[tuple[int, int, bool]] = []
         self.size = 0
         done = 0
-        for match in _REWRITE.finditer(text):
+        for match in rewrite.finditer(text):
             self._add(text[done : match.start()], done, match.start(), False)
-            if match.lastgroup == "digits":
-                for step in _STEP.finditer(match[0]):
+            if match.lastgroup in ("digits", "mixed"):
+                steps = list(_STEP.finditer(match[0]))
+                # What stands between spelled digits and figures becomes one blank, which the patterns take.
+                if steps[0].start() and not steps[0]["dot"]:
+                    self._add(" ", match.start(), match.start() + steps[0].start(), True)
+                for step in steps:
                     word = DIGIT_WORDS[step["word"].translate(_FOLDED).lower()] if step["word"] else "." if step["dot"] else "+"
                     self._add(word, match.start() + step.start(), match.start() + step.end(), True)
+                if steps[-1].end() < len(match[0]) and not steps[-1]["dot"]:
+                    self._add(" ", match.start() + steps[-1].end(), match.end(), True)
             elif match.lastgroup != "hidden":
                 self._add("@" if match.lastgroup == "at" else ".", match.start(), match.end(), True)
             else:
@@ -185,14 +205,16 @@ class Normalised:
 
 def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that only the normalised text shows, in source positions; none touches a plain one."""
-    made = Normalised(text)
     taken = [(s, e) for s, _, e in plain]
     out: list[Span] = []
-    for begin, kind, end in plain_spans(made.text):
-        start, stop, rewritten = made.source(begin, end)
-        if rewritten and all(stop <= s or start >= e for s, e in taken):
-            out.append((start, kind, stop))
-            taken.append((start, stop))
+    mixed = _TOUCHING.search(text if text.isascii() else text.translate(LOOK_ALIKES))
+    for rewrite in (_REWRITE, _REWRITE_MIXED) if mixed else (_REWRITE,):
+        made = Normalised(text, rewrite)
+        for begin, kind, end in plain_spans(made.text):
+            start, stop, rewritten = made.source(begin, end)
+            if rewritten and all(stop <= s or start >= e for s, e in taken):
+                out.append((start, kind, stop))
+                taken.append((start, stop))
     return out
 
 

@@ -61,6 +61,48 @@ def test_disguises_are_mapped_back(text, kind, piece):
     assert piece not in pii.masked(text, every)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "piece"),
+    [
+        ("ask john at mail.example dot com", "email", "john at mail.example dot com"),
+        ("ask john at mail.example [dot] com", "email", "john at mail.example [dot] com"),
+        ("ask john at a.b-c.example (dot) co dot uk", "email", "john at a.b-c.example (dot) co dot uk"),
+        ("tel +49 151 two three 4567890!", "phone", "+49 151 two three 4567890"),
+        ("tel +49 151 two 3 four, 567890", "phone", "+49 151 two 3 four, 567890"),
+        ("tel plus four 9 151 23456 sept", "phone", "plus four 9 151 23456 sept"),
+        ("tel +49 1512eight34 567 now", "phone", "+49 1512eight34 567"),
+        ("at 10.0.0 dot one", "ip", "10.0.0 dot one"),
+        ("at ten dot or one dot 20.30.4 ok", "ip", "one dot 20.30.4"),
+        ("4111 1111, one one\xa0one one 1111", "card", "4111 1111, one one\xa0one one 1111"),
+    ],
+)
+def test_domains_with_plain_dots_and_digits_among_figures(text, kind, piece):
+    every, ungated = gated_and_ungated(text)
+    start = text.index(piece)
+    assert every == ungated == [(start, pii.KINDS.index(kind), start + len(piece))]
+
+
+def test_spelled_digits_that_touch_figures_take_nothing_away():
+    """A joined digit would break the checksum of the card or lengthen the number."""
+    card = "4111 1111 1111 11\u200b11"
+    for text, kind, piece in ((f"{card} one", "card", card), ("one 4111111111111111 un", "card", "4111111111111111"),
+                              ("+49 151 23\u200b45678 un ami", "phone", "+49 151 23\u200b45678")):
+        every, _ = gated_and_ungated(text)
+        start = text.index(piece)
+        assert every == [(start, pii.KINDS.index(kind), start + len(piece))]
+
+
+def test_the_gate_holds_all_that_can_be_rewritten():
+    chosen = random.Random(5)
+    parts = ["one", "ſıx", "fünf", "un", "plus", "dot", "[dot]", "at", "+", "1", "49", "2345678", ".", ",", "-", "a", "é", "_", "@", "x.co"]
+    texts = [
+        "".join(chosen.choice(parts) + chosen.choice(["", " ", "\xa0", "  "]) for _ in range(chosen.randrange(3, 14)))
+        for _ in range(20_000)
+    ]
+    for text, plain, every in pii.spans_of(pa.array(texts)):
+        assert every == sorted(plain + pii.hidden_spans(text, plain)), text
+
+
 def gated_and_ungated(text):
     (_, plain, every), = pii.spans_of(pa.array([text]))
     return every, sorted(plain + pii.hidden_spans(text, plain))
