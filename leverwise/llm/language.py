@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from leverwise.llm.common import fold, ids_and_texts, map_arrow, stage
 from leverwise.llm.text import ALPHANUMERIC, Words, mix, run_hashes, words_of
 
-# Labelled rows used for fitting, at most; above this they are thinned by a hash of their id.
+# Distinct labelled texts used for fitting, at most, but one of each language at least; see ``sampled``.
 FIT_ROWS = 3_000
 ROUNDS = 3
 TASKS = 6
@@ -197,19 +197,45 @@ def _train(model: Model, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray,
     return model.weights, model.moves, seen
 
 
+def _quota(sizes: list[int], rows: int) -> int:
+    """The most texts of one language, so that all together are ``rows`` at most; languages with fewer keep all."""
+    left = rows
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(left // (len(sizes) - k), 1)
+        left -= n
+    return max(sizes, default=0)
+
+
+def sampled(known: DataFrame, rows: int) -> DataFrame:
+    """Distinct texts of each language: all of rare languages, and of each other one an equal number by their hash.
+
+    Every language has one text at least, so the sample is bounded by ``rows`` or the number of languages.
+    """
+    key = F.xxhash64("text")
+    texts = stage(known.groupBy("lang", key.alias("key")).agg(F.min("doc_id").alias("doc_id")), "texts")
+    per = stage(texts.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
+    quota = _quota([r.n for r in per.select("n").collect()], rows)
+    # A little more than the quota by a threshold, so that no language is ranked as a whole; then exactly the quota.
+    near = quota + 6 * quota**0.5 + 20
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    some = texts.join(F.broadcast(per), "lang").where(place * F.col("n").cast("double") < F.lit(near * (1 << 40)))
+    first = Window.partitionBy("lang").orderBy(place, "key")
+    ids = some.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= quota).select("doc_id", "lang", "key")
+    chosen = known.withColumn("key", key).join(F.broadcast(stage(ids, "chosen")), ["doc_id", "lang", "key"], "left_semi")
+    return chosen.select("text", "lang").distinct()
+
+
 def fit(documents: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from text and language of documents outside the held-out fold.
 
     ``rows`` bounds the sample; the driver holds weights, a lexicon and the list of languages.
     """
-    known = ids_and_texts(documents, F.col("lang").cast("string")).where(
+    known = ids_and_texts(documents, F.col("lang").cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
         & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     )
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    sample = stage(known.select("text", "lang").repartition(TASKS, F.xxhash64("text")), "languages")
+    sample = stage(sampled(known, rows).repartition(TASKS, F.xxhash64("text")), "languages")
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     number = {name: k for k, name in enumerate(languages)}
 

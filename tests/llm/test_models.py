@@ -122,6 +122,25 @@ def test_languages_are_learned_and_mixed_texts_shared_out(docs):
     assert found[504].lang_pred == "aa" and found[None].lang_pred == "bb"
 
 
+def test_rare_languages_are_learned_beside_many_copies(docs):
+    chosen = np.random.default_rng(4)
+    stems = {"aa": ["kato", "rimu", "saro", "olin"], "bb": ["gwyth", "thrack", "brusk", "dwelm"], "cc": ["zuxxi", "pleqo", "jyvva"]}
+
+    def text(lang):
+        return " ".join(chosen.choice(stems[lang]) + chosen.choice(["", "a", "en"]) for _ in range(20))
+
+    copied = text("aa")
+    rows = [(i, text("bb"), "bb") for i in range(600)] + [(i, copied, "aa") for i in range(600, 1200)]
+    rows += [(i, text("aa"), "aa") for i in range(1200, 1240)] + [(i, text("cc"), "cc") for i in range(1240, 1248)]
+    table = docs(*rows)
+    sample = language.sampled(table.select("doc_id", "text", "lang"), 60).collect()
+    assert sorted(r.lang for r in sample) == ["aa"] * 26 + ["bb"] * 26 + ["cc"] * 8
+    assert len({r.text for r in sample}) == 60
+    found = language.languages(table, 60).collect()
+    assert [(r.doc_id, r.lang_pred) for r in found if r.lang_pred != rows[r.doc_id][2]] == []
+    assert {r.lang for r in language.sampled(table.select("doc_id", "text", "lang"), 2).collect()} == {"aa", "bb", "cc"}
+
+
 def test_languages_without_any_to_learn(docs):
     assert [r.lang_pred for r in language.languages(docs((1, "text", None))).collect()] == ["und"]
     assert language.languages(docs()).collect() == []
