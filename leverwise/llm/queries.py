@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leverwise.llm import decontaminate, embeddings, language, minhash, packing, pii, quality, token_counts, token_files, toxicity
+from leverwise.llm import conversations, decontaminate, embeddings, language, minhash, packing, pii, quality, token_counts, token_files, toxicity
 from leverwise.llm.common import read_table
 
 
@@ -49,6 +49,10 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_token_files": op2_token_files,
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality_resampling": op9_quality_resampling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,7 +146,68 @@ select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as
 from embeddings left join least on least.x = vec_id left join many on many.x = vec_id
 """
 
+# The CRC-32 is taken bit by bit; a prefix is named by the hash of its turns.
+CONVERSATION_TRIE_SQL = """
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+),
+placed as (
+    select conv_id, strlen(text) as size, sha256(strlen(role) || ':' || role || text) as mark,
+        row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(role) || ':' || role || text)) as place
+    from said
+),
+heads as (
+    select conv_id, conv_id - conv_id % 5 as head, xor(list_reduce(
+        list_concat([4294967295::bigint], [ord(c)::bigint for c in string_split(conv_id::varchar, '')]),
+        lambda crc, byte: list_reduce(
+            list_concat([xor(crc, byte)], [0::bigint for i in range(8)]),
+            lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))
+    ), 4294967295) % 9 as h
+    from (select distinct conv_id from said)
+),
+rebuilt as (
+    select c.conv_id, t.place, t.mark, t.size from heads c join placed t on t.conv_id = c.head and t.place <= c.h
+    union all
+    select c.conv_id, least(c.h, coalesce(n, 0)) + t.place - c.h, t.mark, t.size from heads c
+    join placed t on t.conv_id = c.conv_id and t.place > c.h
+    left join (select conv_id as head, count(*) as n from placed group by 1) using (head)
+),
+whole as (
+    select h.conv_id, coalesce(list(mark order by place) filter (mark is not null), []) as marks,
+        coalesce(list(size order by place) filter (mark is not null), []) as sizes
+    from heads h left join rebuilt r using (conv_id) group by 1
+),
+steps as (
+    select conv_id, d, sha256(array_to_string(marks[1:d], ',')) as node, sha256(array_to_string(marks[1:d - 1], ',')) as up,
+        case when d > 0 then sizes[d] else 0 end as size, d = len(marks) as last
+    from (select *, unnest(range(len(marks) + 1)) as d from whole)
+),
+nodes as (
+    select node, d, any_value(up) as up, any_value(size) as size, min(conv_id) as conv_id, count(*) as n_convs,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) as ends_sha256
+    from steps group by node, d
+),
+below as (select up, d - 1 as d, count(*) as n_children from nodes where d > 0 group by up, d),
+counted as (
+    select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * size as saved
+    from nodes n left join below b on b.up = n.node and b.d = n.d
+),
+inside as (
+    select a.node, a.d, b.node as lower, b.d as lower_d from steps a join steps b on a.conv_id = b.conv_id and a.d <= b.d
+    group by all
+),
+summed as (
+    select i.node, i.d, count(*) filter (c.n_children = 0) as n_leaves, sum(c.saved) as saved_tokens
+    from inside i join counted c on c.node = i.lower and c.d = i.lower_d group by i.node, i.d
+)
+select c.conv_id, c.d as depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves,
+    cast(saved_tokens as bigint) as saved_tokens, c.ends_sha256
+from counted c join summed s on s.node = c.node and s.d = c.d
+left join counted p on c.d > 0 and p.node = c.up and p.d = c.d - 1
+"""
+
 SQL: dict[str, str] = {
+    "op13_conversation_trie": CONVERSATION_TRIE_SQL,
     "op3_embedding_near_dedup": NEAR_VECTORS_SQL,
     "op1_minhash_near_dedup": NEAR_DUPLICATES_SQL,
     "op5_benchmark_decontamination": CONTAMINATION_SQL,

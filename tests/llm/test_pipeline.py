@@ -61,5 +61,5 @@ def test_query_equals_its_sql(spark, name):
 
 def test_all_are_registered():
     names = set(entry_module.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.QUERIES) <= names and set(queries.SQL) <= set(entry_module.oracle_sql())
