@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leverwise.llm import conversations, decontaminate, embeddings, language, minhash, packing, pii, quality, token_counts, token_files, toxicity
+from leverwise.llm import (
+    conversations, decontaminate, embeddings, language, minhash, packing, pii, quality, substrings, token_counts, token_files,
+    toxicity,
+)
 from leverwise.llm.common import read_table
 
 
@@ -49,6 +53,11 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -64,6 +73,7 @@ QUERIES = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality_resampling": op9_quality_resampling,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -206,7 +216,25 @@ from counted c join summed s on s.node = c.node and s.d = c.d
 left join counted p on c.d > 0 and p.node = c.up and p.d = c.d - 1
 """
 
+SUBSTRING_DEDUP_SQL = """
+with said as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+),
+windows as (
+    select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as phrase
+    from (select *, unnest(range(1, len(w) - 11)) as i from said where len(w) >= 13)
+),
+least as (select phrase, min(doc_id) as first from windows group by phrase),
+gone as (select distinct r, unnest(range(i, i + 13)) as i from windows join least using (phrase) where doc_id > first),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from said),
+kept as (select r, string_agg(word, ' ' order by i) as text from words anti join gone using (r, i) group by r),
+removed as (select r, count(*) as n from gone group by r)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from said left join kept using (r) left join removed using (r)
+"""
+
 SQL: dict[str, str] = {
+    "op12_substring_dedup": SUBSTRING_DEDUP_SQL,
     "op13_conversation_trie": CONVERSATION_TRIE_SQL,
     "op3_embedding_near_dedup": NEAR_VECTORS_SQL,
     "op1_minhash_near_dedup": NEAR_DUPLICATES_SQL,
