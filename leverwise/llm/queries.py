@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leverwise.llm import (
-    conversations, decontaminate, embeddings, language, minhash, packing, pii, quality, substrings, token_counts, token_files,
+    collocations, conversations, decontaminate, embeddings, language, minhash, packing, pii, quality, substrings, token_counts, token_files,
     toxicity,
 )
 from leverwise.llm.common import read_table
@@ -53,6 +53,10 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.without_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality_resampling": op9_quality_resampling,
+    "op11_collocations": op11_collocations,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_conversation_trie": op13_conversation_trie,
 }
@@ -216,6 +221,47 @@ from counted c join summed s on s.node = c.node and s.d = c.d
 left join counted p on c.d > 0 and p.node = c.up and p.d = c.d - 1
 """
 
+COLLOCATIONS_SQL = f"""
+with said as (
+    select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (
+        select coalesce(lang, 'und') as lang, unnest(string_split_regex({FOLDED}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents
+    )
+),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from said group by lang),
+counts as (
+    select lang, words, count(*) as f from (
+        select lang, w[i:i + m - 1] as words from (
+            select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from said, (select unnest(range(1, 6)) as m) where len(w) >= m
+        )
+    ) group by lang, words
+),
+candidates as (select lang, words, f as a from counts where len(words) > 1 and f >= 100),
+inner_phrases as (
+    select lang, words[i:i + m - 1] as words, max(a) as longest from (
+        select lang, words, a, m, unnest(range(1, len(words) - m + 2)) as i
+        from candidates, (select unnest(range(2, 5)) as m) where len(words) > m
+    ) group by all
+),
+kept as (
+    select c.* from candidates c left join inner_phrases i using (lang, words) where coalesce(i.longest, 0) < c.a
+),
+cuts as (
+    select k.lang, k.words, k.a, cut, x.f as l, y.f as r, t.n,
+        (1000::hugeint * k.a * t.n) // (x.f::hugeint * y.f) as score
+    from (select *, unnest(range(1, len(words))) as cut from kept) k
+    join counts x on x.lang = k.lang and x.words = k.words[1:cut]
+    join counts y on y.lang = k.lang and y.words = k.words[cut + 1:]
+    join totals t on t.lang = k.lang
+),
+weakest as (select * from cuts qualify row_number() over (partition by lang, words order by score, cut) = 1),
+ranked as (
+    select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(words, ' ')) as rank,
+        array_to_string(words, ' ') as phrase, a, l, r, n, cast(score as bigint) as score
+    from weakest
+)
+select * from ranked where rank <= 2000
+"""
+
 SUBSTRING_DEDUP_SQL = """
 with said as (
     select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
@@ -234,6 +280,7 @@ from said left join kept using (r) left join removed using (r)
 """
 
 SQL: dict[str, str] = {
+    "op11_collocations": COLLOCATIONS_SQL,
     "op12_substring_dedup": SUBSTRING_DEDUP_SQL,
     "op13_conversation_trie": CONVERSATION_TRIE_SQL,
     "op3_embedding_near_dedup": NEAR_VECTORS_SQL,

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.llm.common import ids_and_texts, map_arrow, new_folder, stage
+from leverwise.llm.packed import pack, unpack
 from leverwise.llm.text import WHITE, Alphabet, constants, mix, run_hashes, view, word_bounds
 
 WINDOW = 13
@@ -52,18 +52,6 @@ _VALUES = constants(256, 41), constants(256, 43)
 _FACTORS = constants(WINDOW, 45), constants(WINDOW, 47)
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers as compressed planes of bytes, the first byte of all before the second of all."""
-    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).reshape(-1).view(kind)
-
-
 class Windows:
     """All windows of some texts: place of the first word, id of the document, both hashes. Rows without id have none."""
 
