@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +41,52 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from one task to the next, made where it is missing; only one such thing is kept."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release(but: str | None = None) -> None:
+    """Let go of what earlier operators left in this worker, and hand freed memory back to the machine."""
+    for name in [n for n in _held if n != but]:
+        del _held[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_arrow(
-    df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None
 ) -> DataFrame:
+    """``mapInArrow`` whose workers hold nothing after a task but what is ``kept`` under the name ``keeps``."""
     prepare(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
+        yield from work(batches)
+        release(keeps)
+
+    return df.mapInArrow(run, schema)
+
+
+def tidied(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same work on groups of rows, whose workers hand freed memory back after each group."""
+
+    def run(*groups: pa.Table) -> pa.Table:
+        made = work(*groups)
+        release()
+        return made
+
+    # Spark tells by the signature whether it passes a key.
+    return {1: lambda rows: run(rows), 2: lambda left, right: run(left, right)}[work.__code__.co_argcount]
 
 
 def ids_and_texts(documents: DataFrame, *more: str) -> DataFrame:

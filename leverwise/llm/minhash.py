@@ -5,15 +5,15 @@ buckets; a bucket keeps the leading-zero count and ten mantissa bits of its smal
 buckets borrow from a filled one in a fixed random order, for banding only. Nodes that share a band of four registers
 are candidates. In every band one pivot meets all other members: such a pair is first judged by the collision-corrected
 estimate of its Jaccard similarity, with five standard errors of slack, then on the full sets. Members that this leaves
-in different components are compared block by block on their full sets; what is already connected is not compared
-again. So a group of near copies costs about one comparison for each member, and no pairs of a group are listed.
+in different components are compared block by block, sketches first: a pair is judged in the first band that it shares,
+and only members with a plausible partner in another component go on to the comparison of full sets. So a group of near copies costs about one comparison for each member, and no pairs of a group are listed.
 
 A pair at the threshold shares no band with a probability of about 5e-6.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,10 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 ROWS_PER_BAND = 4
 BANDS = BUCKETS // ROWS_PER_BAND
-# Members of a band, and shingles of these, that make one block; and shingles that are multiplied at once.
+# Members of a band, shingles and bytes of text of these, that make one block; and shingles that are multiplied at once.
 BLOCK = 512
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 200_000
+BLOCK_BYTES = 2 * 1024 * 1024
 COLUMNS = 4096
 SLACK = 5.0
 
@@ -119,13 +120,13 @@ def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return sizes & (found >= PERCENT / 100 - SLACK * error)
 
 
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
+SKETCH = "doc_id long, n_shingles long, n_bytes long, f1 long, f2 long, sketch binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for low, high, _, _, words in words_of(batch.column(1), SPACED):
+        for low, high, _, offsets, words in words_of(batch.column(1), SPACED):
             sets = shingle_sets(words, SHINGLE, _FACTORS)
             table = registers(sets)
             prints = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s), initial=_U(0)))) for s in sets]
@@ -133,16 +134,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     ids.slice(low, high - low),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(np.diff(offsets), pa.int64()),
                     pa.array(np.array([p[0] for p in prints], np.uint64).view(np.int64)),
                     pa.array(np.array([p[1] for p in prints], np.uint64).view(np.int64)),
                     pa.array([r.tobytes() for r in table], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "f1", "f2", "sketch"],
+                names=["doc_id", "n_shingles", "n_bytes", "f1", "f2", "sketch"],
             )
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """Per row: doc_id, number of distinct shingles, 128-bit fingerprint of the set, registers."""
+    """Per row: doc_id, number of distinct shingles, bytes of text, 128-bit fingerprint of the set, registers."""
     return map_arrow(ids_and_texts(documents), SKETCH, _sketch)
 
 
@@ -234,61 +236,110 @@ def _links_within(rows: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (band, i, j), and a pair of blocks never spans two tasks."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            if high == low:
-                continue
-            key = tuple(keys[:, low])
-            if held and key != last:
-                yield _links_within(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(low, high - low))
-            last = key
-    if held:
-        yield _links_within(pa.Table.from_batches(held))
+def _likely_within(rows: pa.Table) -> pa.RecordBatch:
+    """Members of one pair of blocks that have a plausible partner in another component and share no earlier band."""
+    node, component, block, n = (rows.column(c).to_numpy() for c in ("node", "component", "block", "n_shingles"))
+    table = _table(rows.column("sketch").combine_chunks())
+    keys = band_keys(table).view(np.int64)
+    same = keys == rows.column("band")[0].as_py()
+    number = int(same.sum(axis=0).argmax())
+    there = same[:, number]
+    one = np.flatnonzero(there & (block == rows.column("i")[0].as_py()))
+    two = np.flatnonzero(there & (block == rows.column("j")[0].as_py()))
+    likely = np.zeros(len(node), bool)
+    for x in one.tolist():
+        others = two[component[two] != component[x]]
+        others = others[~(keys[others, :number] == keys[x, :number]).any(axis=1)]
+        if len(others):
+            own = np.full(len(others), n[x])
+            close = others[plausible(np.broadcast_to(table[x], (len(others), BUCKETS)), table[others], own, n[others])]
+            likely[close] = True
+            likely[x] |= len(close) > 0
+    return pa.record_batch(
+        [pa.array(c[likely], pa.int64()) for c in (rows.column("band").to_numpy(), node, component)], names=["band", "node", "component"]
+    )
 
 
-def _remaining_links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between different components among the members (band, node, component) of each band.
+def _per_pair(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """Apply the work to the rows of each pair of blocks.
 
-    The largest component of a band is only compared with the rest, not with itself. Both are cut into blocks of
-    bounded size, and every pair of blocks that needs it is one unit of work.
+    Rows come sorted by (band, i, j), and a pair of blocks never spans two tasks.
     """
-    sized = members.join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
-    per = sized.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if high == low:
+                    continue
+                key = tuple(keys[:, low])
+                if held and key != last:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(low, high - low))
+                last = key
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows (band, i, j, block, node, component) of every pair of blocks that has to be compared.
+
+    The largest component of a band is only compared with the rest, not with itself. Both are cut into blocks of bounded
+    size (members, shingles, bytes of text), and every pair of blocks that needs it is one unit of work.
+    """
+    per = members.groupBy("band", "component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.sum("n_bytes").alias("bytes")
+    )
     band = per.groupBy("band").agg(
-        F.count("*").alias("components"), F.max(F.struct("n", "component", "weight")).alias("top"),
-        F.sum("n").alias("n"), F.sum("weight").alias("weight"),
+        F.count("*").alias("components"), F.max(F.struct("n", "component", "weight", "bytes")).alias("top"),
+        F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.sum("bytes").alias("bytes"),
     ).where("components > 1")
 
-    def parts(n: Column, weight: Column) -> Column:
-        return F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
+    def parts(n: Column, weight: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES, size / BLOCK_BYTES)).cast("int")
 
+    few = [F.col(c) - F.col(f"top.{c}") for c in ("n", "weight", "bytes")]
     band = band.select(
-        "band", F.col("top.component").alias("largest"), parts(F.col("top.n"), F.col("top.weight")).alias("many"),
-        parts(F.col("n") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("few"),
+        "band", F.col("top.component").alias("largest"),
+        parts(*(F.col(f"top.{c}") for c in ("n", "weight", "bytes"))).alias("many"), parts(*few).alias("few"),
     )
     inside = F.col("component") == F.col("largest")
     turn = F.xxhash64("node")
-    placed = sized.join(band, "band").withColumn(
+    placed = members.join(band, "band").withColumn(
         "block", F.when(inside, F.col("few") + F.pmod(turn, "many")).otherwise(F.pmod(turn, "few")).cast("int")
     )
     others = F.sequence(F.lit(0), F.when(inside, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))
     copies = placed.withColumn("other", F.explode(others))
-    keyed = stage(copies.select(
+    return stage(copies.select(
         "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
         "component",
     ), "blocks")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _remaining_links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components among the members (band, node, component) of each band."""
+    sized = members.join(nodes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_bytes").alias("n_bytes")), "node")
+    sketched = _in_blocks(sized.withColumn("n_bytes", F.lit(0))).join(nodes.select("node", "sketch", "n_shingles"), "node")
+    triple = "band long, node long, component long"
+    likely = stage(
+        map_arrow(
+            _ordered(sketched.select("band", "i", "j", "block", "node", "component", "n_shingles", "sketch")), triple, _per_pair(_likely_within)
+        ).distinct(), "likely",
+    )
+    keyed = _in_blocks(likely.join(sized.drop("component"), ["band", "node"]))
     own = _only(texts, keyed.select("node").distinct())
     rows = keyed.join(own, "node").select("band", "i", "j", "block", "node", "component", "text")
-    ordered = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return stage(map_arrow(ordered, "a long, b long", _blocks), "links")
+    return stage(map_arrow(_ordered(rows), "a long, b long", _per_pair(_links_within)), "links")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -302,7 +353,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     key = ["f1", "f2", "n_shingles"]
     known = sketched.where("n_shingles > 0 and doc_id is not null")
     nodes = stage(
-        known.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "nodes"
+        known.groupBy(*key).agg(
+            F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.max("n_bytes").alias("n_bytes")
+        ), "nodes"
     )
     classes = nodes.select(*key, "node")
     tied = known.join(classes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")

@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes that are hashed at once (more only for a single word longer than that).
-PIECE = 2 * 1024 * 1024
+PIECE = 512 * 1024
 # Bytes of text whose words are held at once (more only for a single longer text).
-SLICE = 8 * 1024 * 1024
+SLICE = 4 * 1024 * 1024
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
