@@ -15,8 +15,8 @@ from leverwise.operators.ingest import (
     upsert_attributes,
 )
 from leverwise.operators.merge import splice
-from leverwise.sources.sinks import write_snapshot
 from leverwise.sources.tables import Tables
+from leverwise.sources.versions import Slice, Store
 
 # Tables an import may change.
 CHANGED = (
@@ -70,8 +70,12 @@ def import_model(
     return ModelImport(t, loaded.value, loaded.touched, merged.actions)
 
 
-def write_import(imported: ModelImport, root: str, version: int | str) -> dict[str, str]:
-    """Write every changed table as a new version at the end of the import; returns the paths."""
-    return {
-        name: write_snapshot(getattr(imported.tables, name), f"{root}/{name}", version) for name in CHANGED
-    }
+def write_import(imported: ModelImport, store: Store) -> Store:
+    """Write what the import changed as the next version of a store; the new version.
+
+    Of the value table only the touched datasets are written, of the others the groups in which rows differ. All of it
+    becomes visible at once, and a write that fails leaves the version before it.
+    """
+    others = {name: getattr(imported.tables, name) for name in CHANGED if name != "value"}
+    slices = store.changed(others)
+    return store.write(slices | {"value": Slice(imported.value, imported.touched)})

@@ -8,6 +8,7 @@ from leverwise.plans.model_import import CHANGED, Batch, import_model, write_imp
 from leverwise.plans.registered.common import now
 from leverwise.sources.schemas import BATCHES
 from leverwise.sources.tables import load_tables
+from leverwise.sources.versions import Store, create_store
 from test_merge import model
 from test_overlay import attribute, dataset
 
@@ -100,10 +101,12 @@ def test_import_and_reimport(tables, frame, spark, tmp_path):
     assert rows_of(done.tables.model, "filename", "top_of_tree_attr_id") == [("m.xml", 11)]
     assert rows_of(done.value, "dataset_id", "attr_id", "value") == [(1, 10, 1.0), (1, 11, 2.0)]
 
-    root = str(tmp_path)
-    paths = write_import(done, root, 1)
-    assert set(paths) == set(CHANGED)
-    stored = done.tables.replace(**{name: spark.read.parquet(path) for name, path in paths.items()})
+    store = create_store({name: getattr(t, name) for name in CHANGED}, str(tmp_path))
+    after = write_import(done, store)
+    assert after.version == Store(spark, str(tmp_path)).version == 1
+    stored = done.tables.replace(**{name: after.read(name) for name in CHANGED})
+    for name in CHANGED:
+        assert rows_of(getattr(stored, name)) == rows_of(getattr(done.tables, name).select(*getattr(stored, name).columns))
     again = import_model(stored, batch, now())
     for name in CHANGED:
         assert rows_of(getattr(again.tables, name).select(*getattr(stored, name).columns)) == rows_of(getattr(stored, name))
