@@ -13,8 +13,8 @@ from leverwise.operators.security import may_see, with_level
 from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables
 
-# Levels planned in one go; deeper trees continue with another block.
-LEVELS_PER_BLOCK = 4
+# Doublings of the known part of all paths in one job: two reach four levels, four sixteen.
+DOUBLINGS = 2
 
 # Template and renderer of screens.
 SCREEN_TEMPLATE = "DrillDownTemplate"
@@ -24,34 +24,45 @@ SCREEN_RENDERER = "LeverDashboard"
 def category_paths(t: Tables, groupings: DataFrame | None = None, one_grouping: bool = False) -> DataFrame:
     """Every category reachable from a root, with the ids and names from the root down to itself.
 
-    ``groupings`` (grouping_id) picks the roots. With ``one_grouping`` a child must be in its parent's
-    grouping. Levels are unrolled as plain joins, a block at a time; a job only checks whether a block
-    was deep enough. Cycles have no root and do not appear.
+    ``groupings`` (grouping_id) picks the roots. With ``one_grouping`` a child must be in its parent's grouping.
+
+    Paths grow by doubling: each category holds the steps up to some ancestor, and takes over what that ancestor holds.
+    A job makes DOUBLINGS of these and is materialised once, so a tree of any depth takes about log(depth) jobs.
+    Categories whose ancestors have no root (cycles, unknown parents) do not appear.
     """
     step = F.struct("category_id", "parent_category_id", "category_name")
-    nodes = t.category.select("category_id", "grouping_id", "parent_category_id", "category_name", step.alias("step"))
-    level = nodes.where("parent_category_id is null")
-    if groupings is not None:
-        level = level.join(groupings, "grouping_id", "left_semi")
-    level = level.withColumn("path", F.array("step")).drop("step")
-    found, depth = level.withColumn("level", F.lit(1)), 1
+    held = t.category.select(
+        "category_id", "grouping_id", "parent_category_id", "category_name", F.array(step).alias("path"),
+        F.col("parent_category_id").alias("above"), F.col("grouping_id").alias("root_grouping"),
+    )
+    done = -1
     while True:
-        for _ in range(LEVELS_PER_BLOCK):
-            depth += 1
-            parents = level.select(
-                F.col("category_id").alias("parent_category_id"), F.col("grouping_id").alias("_grouping"), "path"
+        for _ in range(DOUBLINGS):
+            upper = held.select(
+                F.col("category_id").alias("above"), F.col("path").alias("_path"), F.col("above").alias("_above"),
+                F.col("root_grouping").alias("_grouping"), F.col("grouping_id").alias("_own"),
             )
-            level = nodes.join(parents, "parent_category_id")
+            grown = held.where("above is not null").join(upper, "above")
             if one_grouping:
-                level = level.where("grouping_id = _grouping")
-            level = level.select(
-                "category_id", "grouping_id", "parent_category_id", "category_name",
-                F.concat("path", F.array("step")).alias("path"),
+                grown = grown.where("grouping_id = _own")
+            grown = grown.select(
+                "category_id", "grouping_id", "parent_category_id", "category_name", F.concat("_path", "path").alias("path"),
+                F.col("_above").alias("above"), F.col("_grouping").alias("root_grouping"),
             )
-            found = found.unionByName(level.withColumn("level", F.lit(depth)))
-        if level.isEmpty():
-            return found
-        level, found = cut_lineage(level), cut_lineage(found)
+            held = held.where("above is null").unionByName(grown)
+        held = cut_lineage(held)
+        count = held.agg(F.count_if(F.col("above").isNull()).alias("done"), F.count("*").alias("n")).first()
+        # Depths follow on each other: where no path ended, those that are left never will.
+        if count.done in (count.n, done):
+            break
+        done = count.done
+    found = held.where("above is null")
+    if groupings is not None:
+        asked = groupings.select(F.col("grouping_id").alias("root_grouping")).distinct()
+        found = found.join(asked, "root_grouping", "left_semi")
+    return found.select(
+        "category_id", "grouping_id", "parent_category_id", "category_name", "path", F.size("path").alias("level")
+    )
 
 
 def grouping_named(t: Tables, name: str) -> DataFrame:

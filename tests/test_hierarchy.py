@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from leverwise.operators import hierarchy as op
 
@@ -66,3 +67,29 @@ def test_deep_trees_and_cycles(tables):
     assert rows_of(columns.where("category_id in (2, 9)"), "category_id", "L1", "L2", "L3") == [
         (2, "c1", "c2", None), (9, "c1", "c2", "c3")
     ]
+
+
+def test_paths_of_a_deep_tree_take_few_jobs(tables, spark, monkeypatch):
+    depth = 1000
+    t = tables(grouping=[(1, True, "G")], category=[(k, f"c{k}", k - 1 if k else None, 1) for k in range(depth)])
+    jobs = []
+    plain = op.cut_lineage
+    monkeypatch.setattr(op, "cut_lineage", lambda df: jobs.append(1) or plain(df))
+    found = op.category_paths(t).where("level in (1, 2, 777, 1000)").select(
+        "level", "category_id", F.expr("path[0].category_id").alias("top"), F.expr("path[level - 1].category_name").alias("own")
+    )
+    assert rows_of(found) == sorted([(1, 0, 0, "c0"), (2, 1, 0, "c1"), (777, 776, 0, "c776"), (1000, 999, 0, "c999")], key=repr)
+    assert len(jobs) <= 11
+
+
+def test_paths_of_cycles_strangers_and_chosen_groupings(tables, frame):
+    rows = [(1, "a", None, 1), (2, "b", 1, 1), (3, "c", 2, 2), (4, "d", 3, 2), (5, "x", 6, 1), (6, "y", 5, 1), (7, "z", 99, 1), (8, "e", None, 2),
+            (9, "self", 9, 1), (10, "below", 5, 1)]
+    t = tables(grouping=[(1, True, "G"), (2, True, "H")], category=rows)
+    level = lambda **o: rows_of(op.category_paths(t, **o), "category_id", "level")
+    assert level() == [(1, 1), (2, 2), (3, 3), (4, 4), (8, 1)]
+    assert level(one_grouping=True) == [(1, 1), (2, 2), (8, 1)]
+    assert level(groupings=frame("grouping_id bigint", (2,))) == [(8, 1)]
+    assert level(groupings=frame("grouping_id bigint", (1,), (1,))) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    empty = tables(category=[(5, "x", 6, 1), (6, "y", 5, 1)])
+    assert rows_of(op.category_paths(empty)) == [] == rows_of(op.category_paths(tables()))
