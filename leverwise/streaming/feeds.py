@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from leverwise.operators.overlay import apply_changes, change_log, latest_changes
+from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables
 
 DELTA = ["scenario_id", "attr_id", "new_value", "is_revert", "user_id"]
+# Numbers of the deltas that no micro-batch writes: an empty one, and what older deltas were folded into.
+PREPARED, COMPACTED = -2, -1
 
 
 def start_change_feed(t: Tables, feed: DataFrame, root: str, order: list[str]) -> None:
-    """Prepare the delta folder, so it can be read before the first micro-batch."""
+    """Prepare the delta folder, so it can be read before the first micro-batch.
+
+    Only the folder of this preparation is written: a job may call it at every start, also on a compacted root.
+    """
     fields = {f.name: f.dataType for f in feed.schema.fields}
     empty = t.scenario_change.limit(0).select(
         *[F.lit(None).cast(fields[c]).alias(c) for c in dict.fromkeys([*DELTA, *order])]
     )
-    empty.write.mode("overwrite").parquet(f"{root}/delta/batch=-1")
+    empty.write.mode("overwrite").parquet(f"{root}/delta/batch={PREPARED}")
 
 
 def apply_changes_stream(
@@ -66,7 +73,7 @@ def compact_changes(t: Tables, root: str, new_root: str, order: list[str]) -> No
     Rows stay with their order, so a late event is still judged rightly.
     """
     last = latest_changes(_deltas(t, root), [*order, "batch"]).drop("batch")
-    last.write.mode("overwrite").parquet(f"{new_root}/delta/batch=-1")
+    last.write.mode("errorifexists").parquet(f"{new_root}/delta/batch={COMPACTED}")
 
 
 def append_facts_stream(feed: DataFrame, path: str, progress: str, trigger: dict | None = None) -> StreamingQuery:
@@ -81,6 +88,44 @@ def append_facts_stream(feed: DataFrame, path: str, progress: str, trigger: dict
     )
 
 
+def append_new_facts_stream(
+    feed: DataFrame, path: str, progress: str, key: list[str], time: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Append a stream of entries to their history, each key once, however often and late an entry is delivered.
+
+    A repeated entry has the time of the first one. The history is kept by day, and a micro-batch looks for its keys only
+    in the days that it has entries of, whatever their age: nothing is lost to a watermark, and no state grows with the
+    history. A repeated micro-batch overwrites its own first attempt and does not take that for history.
+    """
+    columns = feed.columns
+
+    def one_batch(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        fresh = cut_lineage(rows.dropDuplicates(key).withColumn("day", F.to_date(time)))
+        days = [r.day for r in fresh.select("day").distinct().collect()]
+        if not days:
+            return
+        if batch_id:
+            history = _batches(spark, path, feed.schema).where(F.col("day").isin(days) & (F.col("batch") != batch_id))
+            fresh = fresh.join(history.select(*key), key, "left_anti")
+        fresh.select(*columns, "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        feed.writeStream.foreachBatch(one_batch).option("checkpointLocation", progress)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def _batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    parts = StructType([*schema.fields, StructField("batch", LongType()), StructField("day", DateType())])
+    return spark.read.schema(parts).option("ignoreMissingFiles", "true").parquet(path)
+
+
+def read_facts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The history that ``append_new_facts_stream`` has written."""
+    return _batches(spark, path, schema).select(*schema.names)
+
+
 def audit_rows(events: DataFrame) -> DataFrame:
     """Event rows as audit entries."""
     return events.select(

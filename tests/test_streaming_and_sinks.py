@@ -9,10 +9,12 @@ from leverwise.sources.sinks import append_facts, export_csv, overwrite_groups,
 from leverwise.sources.tables import load_tables
 from leverwise.streaming.feeds import (
     append_facts_stream,
+    append_new_facts_stream,
     apply_changes_stream,
     audit_rows,
     compact_changes,
     current_changes,
+    read_facts,
     start_change_feed,
 )
 from test_overlay import scenario
@@ -105,3 +107,40 @@ def test_snapshots_appends_and_exports(frame, spark, tmp_path):
     assert spark.read.parquet(second).count() == 3
     export_csv(df, f"{tmp_path}/csv")
     assert rows_of(spark.read.option("header", True).csv(f"{tmp_path}/csv")) == [("1", "x"), ("2", "y")]
+
+
+def test_a_feed_prepared_again_after_compaction_loses_nothing(tables, frame, spark, tmp_path):
+    t = tables(scenario=[scenario(1, 8, 9)], value=[(9, a, 1.0, False) for a in range(4)], scenario_change=[(1, 3, 7.0)])
+    order, progress = ["event_id"], f"{tmp_path}/progress"
+    batches = [[(1, 1, 0, 1.5, False, 1), (2, 1, 1, 2.5, False, 1)], [(3, 1, 0, None, True, 1)], [(4, 1, 2, 4.5, False, 1), (0, 1, 1, 9.0, False, 1)]]
+    roots = [f"{tmp_path}/{k}" for k in range(len(batches))]
+    for number, rows in enumerate(batches):
+        frame(FEED, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        feed = spark.readStream.schema(FEED).parquet(f"{tmp_path}/in")
+        start_change_feed(t, feed, roots[number], order)
+        apply_changes_stream(lambda: t, feed, roots[number], now(), order, progress=progress).awaitTermination()
+        start_change_feed(t, feed, roots[number], order)
+        if number + 1 < len(batches):
+            compact_changes(t, roots[number], roots[number + 1], order)
+    together = latest_changes(frame(FEED, *[r for rows in batches for r in rows]), order).drop("event_id")
+    got = rows_of(current_changes(t, roots[-1], order))
+    assert got == rows_of(apply_changes(t, together)) == [(1, 1, 2.5), (1, 2, 4.5), (1, 3, 7.0)]
+
+
+def test_entries_count_once_however_often_and_late_they_come(frame, spark, tmp_path):
+    ddl = "audit_id bigint, audit_date timestamp_ntz, user_id bigint"
+    day = [F.lit(f"2024-01-{d:02d} 10:00:00").cast("timestamp_ntz") for d in (1, 2, 9)]
+    schema = frame(ddl).schema
+
+    def entries(*ids):
+        return spark.range(1).select(F.explode(F.array(*map(F.lit, ids))).alias("audit_id")).select(
+            F.col("audit_id").cast("bigint"), F.when(F.col("audit_id") < 10, day[0]).when(F.col("audit_id") < 20, day[1]).otherwise(day[2]).alias("audit_date"),
+            (F.col("audit_id") * 2).cast("bigint").alias("user_id"),
+        )
+
+    for ids in ([1, 1, 11, 2], [1, 21, 11, 22], [2, 3, 3, 21, 23], [1, 2]):
+        entries(*ids).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        feed = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        append_new_facts_stream(feed, f"{tmp_path}/out", f"{tmp_path}/progress", ["audit_id"], "audit_date").awaitTermination()
+    got = read_facts(spark, f"{tmp_path}/out", schema)
+    assert rows_of(got) == rows_of(entries(1, 2, 3, 11, 21, 22, 23))
