@@ -156,6 +156,56 @@ def resolved_values(
     )
 
 
+def affected_cells(
+    t: Tables, overrides: DataFrame | None = None, values: DataFrame | None = None, scenarios: DataFrame | None = None
+) -> DataFrame:
+    """(dataset_id, attr_id) of all cells of the resolved values that a change can show in, once each.
+
+    ``overrides``: (scenario_id, attr_id) set, changed or reverted; ``values``: (dataset_id, attr_id) written or removed;
+    ``scenarios``: (scenario_id) whose base or view is another one now, given once with the tables of before and once
+    with those of after. A change shows in its own cell and in that of every dataset it is the base of.
+    """
+    key = ["dataset_id", "attr_id"]
+    views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
+    found = t.value.limit(0).select(*key)
+    if overrides is not None:
+        found = found.union(overrides.select("scenario_id", "attr_id").join(views, "scenario_id").select(*key))
+    if values is not None:
+        found = found.union(values.select(*key))
+    found = found.distinct()
+    above = t.scenario.select(F.col("base_dataset_id").alias("dataset_id"), "view_dataset_id")
+    shown = found.union(found.join(above, "dataset_id").select(F.col("view_dataset_id").alias("dataset_id"), "attr_id"))
+    if scenarios is not None:
+        moved = views.join(scenarios, "scenario_id", "left_semi").select("dataset_id").distinct()
+        relinked = cut_to(t.value.select(*key), moved, "dataset_id")
+        # A scenario that is the view of another one's base shows there too.
+        shown = shown.union(relinked).union(
+            relinked.join(above, "dataset_id").select(F.col("view_dataset_id").alias("dataset_id"), "attr_id")
+        )
+    return shown.distinct()
+
+
+def refresh_resolved(t: Tables, kept: DataFrame, cells: DataFrame) -> DataFrame:
+    """Kept resolved values with the affected cells resolved anew from the tables ``t``; all others as they are."""
+    key = ["dataset_id", "attr_id"]
+    cells, small = measured(cells.select(*key))
+    mark = F.broadcast if small else (lambda df: df)
+    return kept.join(mark(cells), key, "left_anti").unionByName(resolved_cells(t, cells).select(*kept.columns))
+
+
+def resolved_cells(t: Tables, cells: DataFrame) -> DataFrame:
+    """The resolved values of chosen cells (dataset_id, attr_id); only their own and their bases' values are read."""
+    key = ["dataset_id", "attr_id"]
+    cells, small = measured(cells.select(*key))
+    mark = F.broadcast if small else (lambda df: df)
+    bases = t.scenario.select(F.col("view_dataset_id").alias("dataset_id"), "base_dataset_id")
+    below = cells.join(bases, "dataset_id").select(F.col("base_dataset_id").alias("dataset_id"), "attr_id")
+    needed, few = measured(cells.union(below).distinct())
+    value = t.value.join(F.broadcast(needed) if few else needed, key, "left_semi")
+    rows = resolved_values(t.replace(value=value), datasets=cells)
+    return rows.join(mark(cells), key, "left_semi")
+
+
 def calc_inputs(t: Tables, scope_by_model: bool = False) -> DataFrame:
     """Input of the external calculator: shown values of plain attributes, overrides of calculated ones."""
     paths = t.external_attr.select("attr_id", "object_path", "attr_name", F.col("model_id").alias("path_model"))

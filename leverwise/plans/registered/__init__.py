@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leverwise.plans.registered import analysis, catalogue, graph, hierarchy, ingest, overlay, registry, security
+from leverwise.plans.registered import analysis, catalogue, graph, hierarchy, ingest, overlay, refused, registry, security, stored
 
-AREAS = (overlay, security, catalogue, analysis, hierarchy, graph, ingest, registry)
+AREAS = (overlay, security, catalogue, analysis, hierarchy, graph, ingest, registry, stored, refused)
 
 
 def all_queries() -> dict:

@@ -17,8 +17,8 @@ OVERRIDES_SQL = """overrides as (
     select view_dataset_id as dataset_id, attr_id, new_value from {scenario_change} join {scenario} using (scenario_id))"""
 
 CELLS_SQL = f"""{OVERRIDES_SQL},
-  held as (select dataset_id, attr_id, value as stored, is_calc_redundant, true as is_held from {{value}}),
-  cells as (
+  held as materialized (select dataset_id, attr_id, value as stored, is_calc_redundant, true as is_held from {{value}}),
+  cells as materialized (
     select dataset_id, attr_id, stored, is_calc_redundant, coalesce(is_held, false) as is_held, new_value,
            coalesce(new_value, stored) as shown
     from held full join overrides using (dataset_id, attr_id))"""

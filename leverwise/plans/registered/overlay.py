@@ -148,6 +148,19 @@ COMPARISON_SQL = f"""with {OVERRIDES_SQL},
         join {{vdt_node}} n on n.attribute_id = judged.attr_id and n.vdt_structure_id = structure_id"""
 
 
+def _refreshed(t) -> DataFrame:
+    """Resolved values kept from before a round of changes and calculated results, brought up to date by these alone."""
+    spark = t.value.sparkSession
+    root = f"{shared_dir(spark)}/resolved-{uuid.uuid4().hex}"
+    op.resolved_values(t).write.parquet(root)
+    changes = _latest(t)
+    after = t.replace(scenario_change=op.apply_changes(t, changes))
+    merged = op.merge_calculated(after, t.calculated, now())
+    after = after.replace(value=splice(t.value, merged.value, merged.touched, "dataset_id"))
+    written = op.with_attr_ids(t, t.calculated).select("dataset_id", "attr_id")
+    return op.refresh_resolved(after, spark.read.parquet(root), op.affected_cells(after, changes, written))
+
+
 MERGED_SQL = f"""with source as (
             select c.dataset_id, e.attr_id, c.value from {{calculated}} c
             join {{external_attr}} e on e.object_path = c.object_path and e.attr_name = c.attr_name)
@@ -159,7 +172,12 @@ MERGED_SQL = f"""with source as (
         join {{dataset}} d on d.dataset_id = coalesce(v.dataset_id, s.dataset_id)"""
 
 
+REFRESHED_SQL = RESOLVED_SQL.replace("{scenario_change}", f"({CHANGED_SQL})").replace(
+    "from {value}", f"from (select dataset_id, attr_id, value, is_calc_redundant from ({MERGED_SQL}))"
+)
+
 QUERIES = {
+    "resolved_values_refreshed": (_refreshed, REFRESHED_SQL),
     "resolved_values": (lambda t: op.resolved_values(t), RESOLVED_SQL),
     "calc_inputs": (
         lambda t: op.calc_inputs(t),

@@ -55,11 +55,14 @@ QUERIES = {
     "model_groups_admin": (
         lambda t: op.model_groups(t),
         """
-        select model_group_id, any_value(g.name) as model_group_name, model_id, filename, version as model_version,
-               any_value(identifier) as identifier, any_value(instances) as instances
-        from {access_group} join {model_group} g using (model_group_id) join {model} using (model_group_id)
-        where is_active and upload_complete
-        group by model_group_id, model_id, filename, version""",
+        with shown as (
+            select model_group_id, model_id, filename, version as model_version from {model} m
+            where is_active and upload_complete
+              and exists (select 1 from {access_group} a where a.model_group_id = m.model_group_id))
+        select *, (select name from {model_group} g where g.model_group_id = shown.model_group_id) as model_group_name,
+               (select identifier from {model_group} g where g.model_group_id = shown.model_group_id) as identifier,
+               (select instances from {model_group} g where g.model_group_id = shown.model_group_id) as instances
+        from shown""",
     ),
     "model_group_details": (
         lambda t: op.model_group_details(t, t.model_group.select("model_group_id")),

@@ -157,6 +157,10 @@ SAMPLE: dict[str, str] = {
         select event_id as audit_id, ts as audit_date, event_id % 7 + 1 as category, event_id % 21 + 8 as sub_category,
                user_id
         from {events}""",
+    "scenario_change_log": """
+        select scenario_id, attr_id, user_id, ts as change_date, new_value as old_value,
+               case when is_revert then null else new_value end as new_value
+        from {change_feed}""",
     "external_attr": """
         select p_partkey % 25 as model_id, p_partkey as attr_id, concat(p_brand, '.', p_type) as object_path,
                p_partkey + 500000 as ext_attr_id, concat(p_name, ' ', cast(p_partkey as string)) as attr_name
