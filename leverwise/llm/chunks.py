@@ -11,19 +11,21 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from leverwise.llm.common import kept
 from leverwise.llm.text import WHITE, slices, view
 
 # Text whose tokens a worker holds at once (more only for a single longer text).
 SLICE = 10 * 1024 * 1024
-# Chunks kept from one slice to the next (in each of two generations), and the longest one kept.
-CACHED = 300_000
+# Memory of the chunks kept from one slice to the next (in each of two generations), what an entry takes besides its
+# chunk and ids, and the longest chunk kept.
+CACHED = 28 * 1024 * 1024
+ENTRY = 180
 CACHED_BYTES = 48
 # Chunks given to the tokenizer at once.
 GROUP = 10_000
@@ -49,9 +51,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@cache
 def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file, once for each worker; parallelism is Spark's."""
+    """The tokenizer of a file; parallelism is Spark's."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Tokenizer.from_file(tokenizer_path(path))
 
@@ -109,6 +110,7 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
 
     def _fold(self, raw: np.ndarray) -> np.ndarray:
         """Small letters for A-Z, unless that could make a special token out of other text."""
@@ -130,6 +132,7 @@ class Encoder:
                     missing.append(i)
                 else:
                     out[i] = known[chunks[i]] = held
+                    self.size += ENTRY + len(chunks[i]) + len(held)
         for low in range(0, len(missing), GROUP):
             part = missing[low : low + GROUP]
             texts = [chunks[i].decode("utf-8", "replace") for i in part]
@@ -141,10 +144,17 @@ class Encoder:
                 at += 4 * len(own)
                 if len(chunks[i]) <= CACHED_BYTES:
                     known[chunks[i]] = out[i]
-        if len(known) > CACHED:
-            self.older, self.known = known, {}
+                    self.size += ENTRY + len(chunks[i]) + len(out[i])
+            self._bound()
+            known = self.known
+        self._bound()
         return out
 
+    def _bound(self) -> None:
+        """A full generation becomes the older one; what is used again returns."""
+        if self.size > CACHED:
+            self.older, self.known, self.size = self.known, {}, 0
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Slice by slice: first and last row, all ids in a row (uint32), and each text's first id (n + 1)."""
         for low, high, found in distinct_chunks(texts, self._fold):
@@ -158,7 +168,6 @@ class Encoder:
             yield low, high, ids, total[found.of]
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, once for each worker: later tasks find the chunks of earlier ones."""
-    return Encoder(path)
+    """The encoder of a file, kept in the worker: later tasks find the chunks of earlier ones."""
+    return kept(f"encoder {path}", lambda: Encoder(path))

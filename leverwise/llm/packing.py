@@ -235,7 +235,7 @@ def pieces(documents: DataFrame, path: str, end_id: int, capacity: int) -> DataF
                     names=["part", "rank", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return map_arrow(ids_and_texts(documents), PIECES, work)
+    return map_arrow(ids_and_texts(documents), PIECES, work, f"encoder {path}")
 
 
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -186,7 +186,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str = FILE, end_id: in
 
     keyed = ids_and_texts(documents).withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    return sorted(map_arrow(ordered.select("doc_id", "text"), MANIFEST, work).collect(), key=lambda row: row.part)
+    return sorted(map_arrow(ordered.select("doc_id", "text"), MANIFEST, work, f"encoder {path}").collect(), key=lambda row: row.part)
 
 
 def read_back(spark: SparkSession, manifest: list) -> DataFrame:
