@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import join_dimension
+from leverwise.functions.sizes import join_dimension, measured
 from leverwise.operators.merge import splice, unique_by
 from leverwise.operators.overlay import with_attr_ids, with_override, with_stored
 from leverwise.operators.security import may_see, with_level
@@ -121,7 +121,9 @@ def _import_runs(
     rejected = aimed.where("target_attr_id is null").select(*columns)
     # Headers are few and read several times below.
     accepted = cut_lineage(unique_by(aimed.where("target_attr_id is not null"), header_key))
-    known = stored.join(accepted, header_key, "left_semi").groupBy(*header_key).agg(F.min(id_column).alias(id_column))
+    known = cut_lineage(
+        stored.join(accepted, header_key, "left_semi").groupBy(*header_key).agg(F.min(id_column).alias(id_column))
+    )
     fresh = assign_ids(accepted.join(known, header_key, "left_anti"), id_column, header_key, next_id(stored, id_column))
     found = accepted.join(known, header_key)
     refreshed = found.select(id_column, F.col("target_base_value").alias("_target_value"))
@@ -137,8 +139,8 @@ def _import_runs(
         )
         .unionByName(complete_rows(fresh.withColumn("last_update", now), table))
     )
-    numbered = found.select("run_id", id_column).unionByName(fresh.select("run_id", id_column))
-    details = join_dimension(with_attr_ids(t, rows, scope_by_model), numbered, ["run_id"], "attr_id")
+    numbered, small = measured(found.select("run_id", id_column).unionByName(fresh.select("run_id", id_column)))
+    details = join_dimension(with_attr_ids(t, rows, scope_by_model), numbered, ["run_id"], "attr_id", small=small)
     detail_table = f"{table}_value"
     return RunImport(
         headers, complete_rows(details, detail_table), numbered.select(id_column), rejected

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leverwise.functions.sizes import join_dimension, measured
 from leverwise.operators.merge import patch_rows
 from leverwise.sources.tables import Tables
 
@@ -73,11 +74,14 @@ def list_datasets(t: Tables, user_id: int) -> DataFrame:
 
 
 def list_requested(t: Tables, requests: DataFrame) -> DataFrame:
-    """Catalogue rows for (dataset_id, user_id) requests, as far as open to the user."""
+    """Catalogue rows for (dataset_id, user_id) requests, as far as open to the user; only asked datasets take part."""
     power = t.user.select("user_id", F.col("is_power_user").alias("_power"))
+    asked, small = measured(requests.select("dataset_id", "user_id").join(power, "user_id", "left"))
+    ids = asked.select("dataset_id").distinct()
+    dataset = join_dimension(t.dataset, ids, ["dataset_id"], "model_id", "left_semi", small=small)
     return (
-        catalogue_rows(t)
-        .join(requests.join(power, "user_id", "left"), "dataset_id")
+        catalogue_rows(t.replace(dataset=dataset))
+        .join(asked, "dataset_id")
         .where(_open_to(F.col("user_id"), F.col("_power")))
         .select("user_id", *CATALOGUE_COLUMNS)
     )

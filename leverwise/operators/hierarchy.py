@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import is_usable_path, path_levels
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import join_dimension
+from leverwise.functions.sizes import join_dimension, measured
 from leverwise.operators.overlay import base_views, with_override, with_stored
 from leverwise.operators.security import may_see, with_level
 from leverwise.session import cut_lineage
@@ -130,11 +130,13 @@ def screen_data(t: Tables, requests: DataFrame, grouping_name: str) -> DataFrame
         .join(views, "dataset_id", "left")
         .join(base_views(t), "base_dataset_id", "left")
     )
-    cells = join_dimension(t.value.drop("is_calc_redundant"), asked, ["dataset_id"], "attr_id")
+    # Materialised and measured once; the cuts below have no more ids than this.
+    asked, small = measured(asked)
+    cells = join_dimension(t.value.drop("is_calc_redundant"), asked, ["dataset_id"], "attr_id", small=small)
     cells = join_dimension(cells, shown, ["attr_id", "screen"], "dataset_id").where(may_see())
-    cells = with_stored(cells, t, "base_dataset_id", "base_stored", how="inner", asked=asked)
-    cells = with_override(cells, t, "scenario_id", "override_value", asked)
-    cells = with_override(cells, t, "base_scenario_id", "base_override", asked)
+    cells = with_stored(cells, t, "base_dataset_id", "base_stored", how="inner", asked=asked, small=small)
+    cells = with_override(cells, t, "scenario_id", "override_value", asked, small)
+    cells = with_override(cells, t, "base_scenario_id", "base_override", asked, small)
     return cells.drop("sec_level").join(t.attribute, "attr_id").select(
         "screen", "dataset_id", "user_id",
         F.coalesce("L2", F.lit("Summary")).alias("tab_name"), F.coalesce("L3", F.lit("Summary")).alias("panel"),

@@ -63,16 +63,16 @@ def base_views(t: Tables) -> DataFrame:
     )
 
 
-def cut_to(facts: DataFrame, asked: DataFrame | None, key: str) -> DataFrame:
-    """The facts of the asked ids only; all facts if none are given."""
+def cut_to(facts: DataFrame, asked: DataFrame | None, key: str, small: bool | None = None) -> DataFrame:
+    """The facts of the asked ids only; all facts if none are given. ``small`` is given if the size is known already."""
     if asked is None:
         return facts
     ids = asked.select(key).where(F.col(key).isNotNull()).distinct()
-    return join_dimension(facts, ids, [key], "attr_id", "left_semi")
+    return join_dimension(facts, ids, [key], "attr_id", "left_semi", small=small)
 
 
 def with_override(
-    cells: DataFrame, t: Tables, scenario: str, name: str, asked: DataFrame | None = None
+    cells: DataFrame, t: Tables, scenario: str, name: str, asked: DataFrame | None = None, small: bool | None = None
 ) -> DataFrame:
     """Add the override a scenario column puts on the attribute, NULL where there is none.
 
@@ -81,16 +81,17 @@ def with_override(
     changes = t.scenario_change.select(
         F.col("scenario_id").alias(scenario), "attr_id", F.col("new_value").alias(name)
     )
-    changes = cut_to(changes, asked, scenario)
+    changes = cut_to(changes, asked, scenario, small)
     return cells.join(changes, [scenario, "attr_id"], "left")
 
 
 def with_stored(
-    cells: DataFrame, t: Tables, dataset: str, name: str, how: str = "left", asked: DataFrame | None = None
+    cells: DataFrame, t: Tables, dataset: str, name: str, how: str = "left", asked: DataFrame | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add the stored value a dataset column has for the attribute; ``asked`` as for ``with_override``."""
     stored = t.value.select(F.col("dataset_id").alias(dataset), "attr_id", F.col("value").alias(name))
-    stored = cut_to(stored, asked, dataset)
+    stored = cut_to(stored, asked, dataset, small)
     return cells.join(stored, [dataset, "attr_id"], how)
 
 
@@ -107,7 +108,7 @@ def scenario_heads(t: Tables, datasets: DataFrame | None = None) -> DataFrame:
     return heads.withColumn("base_lane", F.coalesce("base_scenario_id", F.lit(0)))
 
 
-def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame | None) -> DataFrame:
+def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame | None, few: bool) -> DataFrame:
     """What the base datasets show: stored values under their own scenario's overrides.
 
     Only datasets that serve as a base take part. Both lookups end up behind one key, so the large side is
@@ -126,8 +127,8 @@ def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame
     )
     changed = join_dimension(changes, bases, ["base_scenario_id"], "attr_id", small=small)
     if attributes is not None:
-        stored = join_dimension(stored, attributes, ["attr_id"], "base_dataset_id", "left_semi")
-        changed = join_dimension(changed, attributes, ["attr_id"], "base_dataset_id", "left_semi")
+        stored = join_dimension(stored, attributes, ["attr_id"], "base_dataset_id", "left_semi", small=few)
+        changed = join_dimension(changed, attributes, ["attr_id"], "base_dataset_id", "left_semi", small=few)
     return stored.join(changed, key, "full_outer").select(*key, F.coalesce("changed", "stored").alias("base_shown"))
 
 
@@ -139,13 +140,16 @@ def resolved_values(
     ``datasets`` and ``attributes`` restrict the facts before any fact join.
     """
     heads = scenario_heads(t, datasets)
-    small = is_small(heads)
-    cells = join_dimension(t.value, heads, ["dataset_id"], "attr_id", small=small)
+    # What is asked is materialised and measured once; no later cut has more ids than this.
+    heads, small = (heads, is_small(heads)) if datasets is None else measured(heads)
+    few = False
+    value = t.value
     if attributes is not None:
-        attributes = attributes.select("attr_id").distinct()
-        cells = join_dimension(cells, attributes, ["attr_id"], "dataset_id", "left_semi")
-    cells = with_override(cells, t, "scenario_id", "override_value", None if datasets is None else heads)
-    cells = cells.join(_base_cells(t, heads, small, attributes), ["base_dataset_id", "base_lane", "attr_id"], "left")
+        attributes, few = measured(attributes.select("attr_id").distinct())
+        value = join_dimension(value, attributes, ["attr_id"], "dataset_id", "left_semi", small=few)
+    cells = join_dimension(value, heads, ["dataset_id"], "attr_id", small=small)
+    cells = with_override(cells, t, "scenario_id", "override_value", None if datasets is None else heads, small)
+    cells = cells.join(_base_cells(t, heads, small, attributes, few), ["base_dataset_id", "base_lane", "attr_id"], "left")
     return cells.join(t.attribute, "attr_id").select(
         "dataset_id", "scenario_id", "dataset", "attr_id",
         *[F.col(old).alias(new) for old, new in VIEW_ATTRIBUTES.items()],
@@ -306,10 +310,11 @@ def compare_datasets(t: Tables, requests: DataFrame, mask_changes: bool = False)
         F.col("attribute_id").alias("attr_id"), F.col("vdt_structure_id").alias("structure_id"),
         F.col("vdt_node_id").alias("node_id"), F.col("name").alias("node_name"),
     )
-    cells = join_dimension(t.value, asked, ["dataset_id"], "attr_id").join(nodes, ["attr_id", "structure_id"])
-    cells = with_override(cells, t, "scenario_id", "override_value", asked)
-    cells = with_stored(cells, t, "base_dataset_id", "base_stored", asked=asked)
-    cells = with_stored(cells, t, "benchmark_id", "target_stored", asked=asked)
+    asked, small = measured(asked)
+    cells = join_dimension(t.value, asked, ["dataset_id"], "attr_id", small=small).join(nodes, ["attr_id", "structure_id"])
+    cells = with_override(cells, t, "scenario_id", "override_value", asked, small)
+    cells = with_stored(cells, t, "base_dataset_id", "base_stored", asked=asked, small=small)
+    cells = with_stored(cells, t, "benchmark_id", "target_stored", asked=asked, small=small)
     cells = cells.join(t.attribute, "attr_id").join(
         t.unit_format.select("unit", F.col("unit").alias("value_unit"), F.col("format").alias("value_format")),
         "unit", "left",

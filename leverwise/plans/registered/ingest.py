@@ -67,6 +67,13 @@ def _links(t) -> DataFrame:
     )
 
 
+def _links_replaced(t) -> DataFrame:
+    grouping, category, id_map = resolve_categories(t, t.category_row)
+    return op.replace_attribute_categories(
+        t.replace(grouping=grouping, category=category), t.model_row, t.category_link, id_map, legacy_full_replace=True
+    )
+
+
 def _import_result(t) -> DataFrame:
     done = _imported(t)
     return (
@@ -97,6 +104,13 @@ QUERIES = {
                case when known_id is null then 'INSERT' else 'UPDATE' end as action
         from placed""",
     ),
+    "attribute_categories_replaced": (
+        _links_replaced,
+        f"""with {RESOLVE_SQL}
+        select e.attr_id, m.grouping_id, m.category_id from {{category_link}} l
+        join {{external_attr}} e using (ext_attr_id)
+        join id_map m on m.model_id = l.model_id and m.ext_category_id = l.ext_category_id""",
+    ),
     "attribute_categories": (
         _links,
         f"""with {RESOLVE_SQL},

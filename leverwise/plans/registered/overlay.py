@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leverwise.operators import overlay as op
 from leverwise.operators.merge import splice
 from leverwise.plans.registered.common import CELLS_SQL, NOW_SQL, OVERRIDES_SQL, RESOLVED_SQL, VIEW_SQL, now
+from leverwise.plans.what_if import what_if_round
 from leverwise.session import shared_dir
 from leverwise.sources.schemas import BATCHES
 from leverwise.sources.sinks import overwrite_groups, read_groups, write_bucketed_groups
@@ -172,12 +173,31 @@ MERGED_SQL = f"""with source as (
         join {{dataset}} d on d.dataset_id = coalesce(v.dataset_id, s.dataset_id)"""
 
 
+def _round(t) -> DataFrame:
+    """One what-if round with a model that doubles every plain value it is fed."""
+
+    def calculate(inputs: DataFrame) -> DataFrame:
+        plain = inputs.where("is_override = 0")
+        return plain.select("dataset_id", "object_path", "attr_name", (F.col("value") * 2).alias("value"))
+
+    return what_if_round(t, _latest(t), calculate, now())[1]
+
+
+ROUND_VALUES_SQL = f"""
+    select v.dataset_id, v.attr_id, v.is_calc_redundant,
+           case when a.is_calculated or v.attr_id not in (select attr_id from {{external_attr}}) then v.value
+                else 2 * coalesce(c.new_value, v.value) end as value
+    from {{value}} v join {{attribute}} a using (attr_id) left join {{scenario}} s on s.view_dataset_id = v.dataset_id
+    left join ({CHANGED_SQL}) c on c.scenario_id = s.scenario_id and c.attr_id = v.attr_id"""
+ROUND_SQL = RESOLVED_SQL.replace("{scenario_change}", f"({CHANGED_SQL})").replace("from {value}", f"from ({ROUND_VALUES_SQL})")
+
 REFRESHED_SQL = RESOLVED_SQL.replace("{scenario_change}", f"({CHANGED_SQL})").replace(
     "from {value}", f"from (select dataset_id, attr_id, value, is_calc_redundant from ({MERGED_SQL}))"
 )
 
 QUERIES = {
     "resolved_values_refreshed": (_refreshed, REFRESHED_SQL),
+    "what_if_round": (_round, ROUND_SQL),
     "resolved_values": (lambda t: op.resolved_values(t), RESOLVED_SQL),
     "calc_inputs": (
         lambda t: op.calc_inputs(t),

@@ -146,6 +146,13 @@ QUERIES = {
                coalesce(b.is_admin_user, u.is_admin_user) as is_admin_user
         from {user} u full outer join {user_batch} b on b.user_id = u.user_id""",
     ),
+    "add_users": (
+        lambda t: op.add_users(t, t.user_batch.where("login <> 'ignored'").drop("user_id")),
+        """
+        select (select max(user_id) from {user}) + row_number() over (order by login) as user_id, login, sec_level, ad_name,
+               is_power_user, is_admin_user
+        from {user_batch} where login <> 'ignored'""",
+    ),
     "set_user_roles": (
         lambda t: op.set_user_roles(t, t.user_batch),
         """
