@@ -25,16 +25,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leverwise.llm.common import map_arrow, stage
+from leverwise.llm.common import map_arrow, stage, tidied
 from leverwise.llm.substrings import grouped
 from leverwise.llm.text import constants, mix, run_hashes, view, word_bounds
-from leverwise.llm.transducer import Builder, Transducer, summed
+from leverwise.llm.transducer import Builder, Transducer, built, summed
 
 LONGEST = 5
 LEAST = 100
 FIRST_OF_EACH = 2000
 # Text whose n-grams are sorted at once, and words that one range of prefixes is made for.
-SLICE = 24 * 1024 * 1024
+SLICE = 16 * 1024 * 1024
 RANGE_WORDS = 1 << 21
 # The bit array: bits for each frequent item, and its largest size (32 MB).
 ITEM_BITS = 16
@@ -215,11 +215,8 @@ def _built(shared: Broadcast, filter_bits: int, salt: int, least: int, longest:
             cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(rows) else [0]
             numbers, made = [], []
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                build = Builder()
-                for row, count in zip(rows[low:high].tolist(), counts[low:high].tolist(), strict=True):
-                    build.add(row[: row.index(0)] if not row[-1] else row, count)
                 numbers.append(int(ranges[low]))
-                made.append(build.finish().to_parts())
+                made.append(built(rows[low:high], counts[low:high]).to_parts())
             yield pa.record_batch(
                 [pa.repeat(pa.scalar(lang), len(made)), pa.array(numbers, pa.int64()), pa.array(made, pa.list_(pa.binary()))],
                 names=["lang", "range", "parts"],
@@ -298,7 +295,7 @@ def _phrases(documents: DataFrame, words: DataFrame, salt: int) -> tuple[DataFra
     def united(items: DataFrame, least: int, longest: int, name: str) -> DataFrame:
         shared, filter_bits = _bit_array(items)
         slices = map_arrow(_texts(documents), RANGES, _built(shared, filter_bits, salt, least, longest, bits))
-        return stage(slices.groupBy("lang", "range").applyInArrow(_united(least), RANGES), name)
+        return stage(slices.groupBy("lang", "range").applyInArrow(tidied(_united(least)), RANGES), name)
 
     frequent = words.where(F.col("n") >= LEAST).select("lang", F.array("hash").alias("ngram"))
     pairs = united(frequent, 2, 2, "pairs")
@@ -334,7 +331,7 @@ def collocations(documents: DataFrame, first: int = FIRST_OF_EACH) -> DataFrame:
     )
     asked = cuts.select("lang", F.col("left").alias("ngram")).union(cuts.select("lang", "right")).distinct().where(sizes > 1)
     routed = map_arrow(asked, "lang string, ngram array<bigint>, range long", _routed(bits))
-    answers = routed.groupBy("lang", "range").cogroup(transducers.groupBy("lang", "range")).applyInArrow(_looked_up, NGRAMS)
+    answers = routed.groupBy("lang", "range").cogroup(transducers.groupBy("lang", "range")).applyInArrow(tidied(_looked_up), NGRAMS)
     often = words.where(F.col("n") >= LEAST)
     parts = stage(answers.union(often.select("lang", F.array("hash").alias("ngram"), "n")), "parts")
     total = words.groupBy("lang").agg(F.sum("n").alias("total"))

@@ -6,7 +6,8 @@ buckets borrow from a filled one in a fixed random order, for banding only. Node
 are candidates. In every band one pivot meets all other members: such a pair is first judged by the collision-corrected
 estimate of its Jaccard similarity, with five standard errors of slack, then on the full sets. Members that this leaves
 in different components are compared block by block, sketches first: a pair is judged in the first band that it shares,
-and only members with a plausible partner in another component go on to the comparison of full sets. So a group of near copies costs about one comparison for each member, and no pairs of a group are listed.
+and only members with a plausible partner in another component go on to the comparison of full sets. So a group of near
+copies costs about one comparison for each member, and no pairs of a group are listed.
 
 A pair at the threshold shares no band with a probability of about 5e-6.
 """

@@ -1,8 +1,9 @@
 """Acyclic automata that map n-grams to counts.
 
-Every arc carries a word and the count of the n-gram that the path up to it spells. N-grams are added in order: the
-states of the last one stay open, and as soon as the next one leaves them they are closed and looked up among the states
-that exist already, so that equal ones are kept once.
+Every arc carries a word and the count of the n-gram that the path up to it spells. N-grams come in order; a state is
+closed as soon as no further n-gram can reach it, and looked up among the states that exist already, so that equal ones
+are kept once. ``Builder`` does this n-gram by n-gram, ``built`` for a whole sorted table, where all arcs of a state stand
+in a row and only states are looked at one by one.
 """
 
 from __future__ import annotations
@@ -116,6 +117,45 @@ class Transducer:
         return cls(words[index], count, target, np.concatenate([[0], np.cumsum(sizes)]), int.from_bytes(parts[5], "little"))
 
 
+def built(rows: np.ndarray, counts: np.ndarray) -> Transducer:
+    """The transducer that ``Builder.add`` makes of sorted distinct n-grams (one row each, 0: no word) and their counts."""
+    depth = rows.shape[1]
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    changed = np.zeros(len(rows), bool)
+    if len(rows):
+        changed[0] = True
+    levels = []
+    for d in range(depth):
+        # Where the first d + 1 words differ from those of the row before; rows without so many words have no arc here.
+        changed[1:] |= rows[1:, d] != rows[:-1, d]
+        cuts = np.append(np.flatnonzero(changed), len(rows))
+        there = rows[cuts[:-1], d] != 0
+        levels.append((cuts[:-1][there], rows[cuts[:-1][there], d], (sums[cuts[1:]] - sums[cuts[:-1]])[there]))
+    known: dict[bytes, int] = {b"": 0}
+    states: list[np.ndarray] = [np.zeros((0, 3), np.uint64)]
+    target = np.zeros(len(levels[-1][0]), np.uint64)
+    for d in range(depth - 1, -1, -1):
+        first, label, count = levels[d]
+        arcs = np.stack([label, count.view(np.uint64), target], axis=1) if len(first) else states[0]
+        above = levels[d - 1][0] if d else np.zeros(1, np.int64)
+        parent = np.searchsorted(above, first, "right") - 1
+        target = np.zeros(len(above), np.uint64)
+        cuts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1], [True]])).tolist() if len(first) else []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            part = arcs[low:high]
+            key = part.tobytes()
+            number = known.get(key)
+            if number is None:
+                number = known[key] = len(states)
+                states.append(part)
+            target[parent[low]] = number
+    flat = np.concatenate(states)
+    sizes = np.array([len(x) for x in states], np.int64)
+    return Transducer(
+        flat[:, 0].copy(), flat[:, 1].copy().view(np.int64), flat[:, 2].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), int(target[0])
+    )
+
+
 def summed(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Union of n-grams of one length, ascending, with their counts added up."""
     rows, counts = np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables])

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from leverwise.llm import collocations
-from leverwise.llm.transducer import Builder, Transducer, summed
+from leverwise.llm.transducer import Builder, Transducer, built, summed
 
 SMALL = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -99,6 +99,11 @@ def test_transducers_count_and_come_back():
         for ngram in sorted(f):
             build.add(ngram, f[ngram])
         made = Transducer.from_parts(build.finish().to_parts())
+        rows = np.array([[*ngram, *[0] * (4 - len(ngram))] for ngram in sorted(f)], np.uint64)
+        whole = built(rows, np.array([f[ngram] for ngram in sorted(f)]))
+        assert len(whole.first) == len(made.first) and len(whole.label) == len(made.label)
+        for (a, n), (b, m) in zip(whole.paths(), made.paths(), strict=True):
+            assert (a == b).all() and (n == m).all()
         prefixes = Counter()
         for ngram, count in f.items():
             for d in range(1, len(ngram) + 1):
