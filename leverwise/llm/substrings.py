@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverwise.llm.common import ids_and_texts, map_arrow, new_folder, stage
+from leverwise.llm.common import ids_and_texts, map_arrow, new_folder, stage, tidied
 from leverwise.llm.packed import pack, unpack
 from leverwise.llm.text import WHITE, Alphabet, constants, mix, run_hashes, view, word_bounds
 
 WINDOW = 13
 # Text of one packet (more only for a single longer document).
-PACKET_BYTES = 20 * 1024 * 1024
+PACKET_BYTES = 12 * 1024 * 1024
 # Cells of one segment of a sketch row, windows that it is made for, and bytes of text that hold about one window.
 CELL_BITS = 24
 SEGMENT_WINDOWS = 1 << 22
@@ -294,10 +294,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first().n or 0
     bits = max(0, (size // WINDOW_BYTES // SEGMENT_WINDOWS).bit_length())
     packets = _in_packets(documents, size)
-    sketches = packets.groupBy("packet").applyInArrow(_sketched(bits), SKETCH)
+    sketches = packets.groupBy("packet").applyInArrow(tidied(_sketched(bits)), SKETCH)
     flags = stage(
-        sketches.groupBy("line", "segment").applyInArrow(_summed, "line int, segment long, packet long, flags binary"), "flags"
+        sketches.groupBy("line", "segment").applyInArrow(tidied(_summed), "line int, segment long, packet long, flags binary"), "flags"
     )
-    estimated = packets.groupBy("packet").cogroup(flags.groupBy("packet")).applyInArrow(_estimated(bits), EXACT)
-    told = stage(estimated.groupBy("segment").applyInArrow(_compared, "packet long, first binary, second binary"), "repeated")
-    return packets.groupBy("packet").cogroup(told.groupBy("packet")).applyInArrow(_removed, KEPT)
+    estimated = packets.groupBy("packet").cogroup(flags.groupBy("packet")).applyInArrow(tidied(_estimated(bits)), EXACT)
+    told = stage(estimated.groupBy("segment").applyInArrow(tidied(_compared), "packet long, first binary, second binary"), "repeated")
+    return packets.groupBy("packet").cogroup(told.groupBy("packet")).applyInArrow(tidied(_removed), KEPT)
