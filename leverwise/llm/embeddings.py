@@ -59,9 +59,13 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(None)
                 continue
             vector = value.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            with np.errstate(over="ignore"):
-                norm = np.linalg.norm(vector)
-            rows.append(vector if np.isfinite(norm) and norm > 0 else None)
+            largest = float(np.abs(vector).max())
+            if not (np.isfinite(largest) and largest > 0):
+                rows.append(None)
+                continue
+            # Squares of very large or small components would overflow or vanish; a power of two changes no direction.
+            exponent = int(np.frexp(largest)[1])
+            rows.append(np.ldexp(vector, -exponent) if abs(exponent) > 300 else vector)
         f1, f2, size = [None] * n, [None] * n, [None] * n
         data, codes = [None] * n, [None] * n
         lengths = np.array([0 if r is None else len(r) for r in rows])
