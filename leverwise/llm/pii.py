@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,7 +122,8 @@ DIGIT_WORDS = {
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _HIDDEN = "​‌‍⁠﻿­"
 _DOT = r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
-_AT = r"\s*[\[({<]\s*at\s*[\])}>]\s*"
+# A run of blanks is entered at its start only, so that each is read once.
+_AT = r"(?:(?<!\s)\s++)?[\[({<]\s*+at\s*+[\])}>]\s*+"
 _JOIN = rf"(?:[\s,-]+|{_DOT})"
 _START = r"\b(?:plus[\s,-]+)?"
 _SPELLED = rf"{_START}(?:{_WORD})(?:{_JOIN}(?:{_WORD}))" + f"{{{DIGIT_RUN - 1},}}" + r"\b"
@@ -136,7 +137,8 @@ _REWRITE = re.compile(_CHAIN, re.IGNORECASE)
 # Spelled digits, whatever their number, with a figure before or after them.
 _SOME = rf"(?:{_WORD})(?:{_JOIN}(?:{_WORD}))*"
 _MIXED = rf"(?P<mixed>(?<=[0-9]){_JOIN}?{_SOME}(?:{_JOIN}?(?=[0-9])|\b)|{_START}{_SOME}{_JOIN}?(?=[0-9]))"
-_TOUCHING = re.compile(_MIXED, re.IGNORECASE)
+# Long runs are taken whole, so that none is read again from each of its words.
+_TOUCHING = re.compile(f"{_MIXED}|{_SPELLED}", re.IGNORECASE)
 _REWRITE_MIXED = re.compile(f"{_MIXED}|{_CHAIN}", re.IGNORECASE)
 _ALIKE_CHARACTER = re.compile("[" + "".join(map(re.escape, map(chr, LOOK_ALIKES))) + "]")
 # All that Python's \s matches, and the letters that it takes for i and s without regard to case: the linear-time matcher
@@ -203,18 +205,41 @@ class Normalised:
         return start, stop, inside or any(x[2] for x in self.old[first : last + 1])
 
 
+class Taken:
+    """Places that spans cover, as disjoint ranges in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end in spans:
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def take(self, start: int, end: int) -> bool:
+        """Cover a range if nothing in it is covered yet."""
+        at = bisect_left(self.starts, end)
+        if at and self.ends[at - 1] > start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 def hidden_spans(text: str, plain: list[Span]) -> list[Span]:
-    """Identifiers that only the normalised text shows, in source positions; none touches a plain one."""
-    taken = [(s, e) for s, _, e in plain]
+    """Identifiers that only the normalised text shows, in source positions; none touches one of the sorted plain ones."""
+    taken = Taken(plain)
     out: list[Span] = []
-    mixed = _TOUCHING.search(text if text.isascii() else text.translate(LOOK_ALIKES))
+    source = text if text.isascii() else text.translate(LOOK_ALIKES)
+    mixed = any(m.lastgroup == "mixed" for m in _TOUCHING.finditer(source))
     for rewrite in (_REWRITE, _REWRITE_MIXED) if mixed else (_REWRITE,):
         made = Normalised(text, rewrite)
         for begin, kind, end in plain_spans(made.text):
             start, stop, rewritten = made.source(begin, end)
-            if rewritten and all(stop <= s or start >= e for s, e in taken):
+            if rewritten and taken.take(start, stop):
                 out.append((start, kind, stop))
-                taken.append((start, stop))
     return out
 
 

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,43 @@ def test_ordinary_text_is_left_alone():
         assert plain == every == []
 
 
+LONG = {
+    "spelled digits": "one two three " * 30_000, "more of them": "one two three four " * 30_000 + "x", "blanks": " " * 200_000 + "[at]" + " " * 200_000,
+    "groups of blanks": (" " * 500 + "[ at ] ") * 800, "mails": "a@b.co x[at]y.co " * 20_000, "plus": "plus " * 80_000, "dots": "a dot " * 60_000,
+    "at": "a at b.c " * 50_000, "figures": "1 " * 200_000, "figures and words": "one 5 " * 50_000, "joined": "1 un" * 80_000, "commas": "one" + "," * 300_000 + "two 5",
+    "hidden": "a" + "\u200b" * 300_000 + " ", "brackets": "[ " * 150_000 + "[at]", "one domain": "a at " + "b." * 150_000, "one word": "x" * 400_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_long_texts_take_time_in_proportion(name):
+    begun = time.process_time()
+    (text, plain, every), = pii.spans_of(pa.array([LONG[name]]))
+    assert time.process_time() - begun < 20
+    assert plain == plain_by_definition(text) if name == "mails" else set(plain) <= set(every)
+
+
+def test_taken_places_equal_plain_comparison():
+    chosen = random.Random(2)
+    for _ in range(500):
+        spans = sorted((s := chosen.randrange(60), 0, s + chosen.randrange(1, 9)) for _ in range(chosen.randrange(6)))
+        taken, listed = pii.Taken(spans), [(s, e) for s, _, e in spans]
+        for _ in range(20):
+            start = chosen.randrange(60)
+            end = start + chosen.randrange(1, 9)
+            free = all(end <= s or start >= e for s, e in listed)
+            assert taken.take(start, end) == free
+            listed += [(start, end)] * free
+
+
+def test_blanks_around_brackets():
+    for text, piece in (("a.b  \t [ at ]  c [dot] de", "a.b  \t [ at ]  c [dot] de"), ("a[at] [dot]b", None), ("x (at) (at) y.co", None),
+                        (" [at] a.co", None), ("go: j [at]\n\n k.co.", "j [at]\n\n k.co")):
+        every, ungated = gated_and_ungated(text)
+        start = -1 if piece is None else text.index(piece)
+        assert every == ungated == ([] if piece is None else [(start, 0, start + len(piece))]), text
+
+
 def test_identifiers_and_mask(docs):
     rows = [(1, "mail a@b.co and x [at] y [dot] de"), (2, None), (3, ""), (None, "10.0.0.1"), (1, "again a@b.co"), (5, "w " * 50_000 + "a@b.co")]
     found = pii.identifiers(docs(*rows)).collect()
