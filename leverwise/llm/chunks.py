@@ -24,7 +24,7 @@ from leverwise.llm.text import WHITE, slices, view
 SLICE = 10 * 1024 * 1024
 # Memory of the chunks kept from one slice to the next (in each of two generations), what an entry takes besides its
 # chunk and ids, and the longest chunk kept.
-CACHED = 28 * 1024 * 1024
+CACHED = 64 * 1024 * 1024
 ENTRY = 180
 CACHED_BYTES = 48
 # Chunks given to the tokenizer at once.
