@@ -10,9 +10,9 @@ white space, inside a contraction, inside a special token) the prefix's own piec
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.llm.chunks import CACHED_BYTES, Distinct, distinct_chunks, tokenizer
-from leverwise.llm.common import ids_and_texts, map_arrow
+from leverwise.llm.common import ids_and_texts, kept, map_arrow
 
 FILE = "byte_bpe_50k.json"
 LIMIT = 1024
-# Entries of each table of partial results that a worker keeps, in each of two generations.
-KEPT = 350_000
+# Memory of each table of partial results that a worker keeps, in each of two generations, and of an entry.
+FITS, PIECES, TOTALS = 28 * 1024 * 1024, 8 * 1024 * 1024, 52 * 1024 * 1024
+ENTRY = 110
 # White space of Unicode.
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PART = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
@@ -33,22 +34,25 @@ _CONTRACTION = ("'re", "'ve", "'ll")
 
 
 class Recent(dict):
-    """A table of bounded size: when it is full it becomes the older generation, and what is used again returns."""
+    """A table of bounded memory: when it is full it becomes the older generation, and what is used again returns."""
 
-    def __init__(self):
+    def __init__(self, size: int):
         super().__init__()
         self.older: dict = {}
+        self.most, self.size = size, 0
 
     def __missing__(self, key):
         found = self.older.get(key)
         if found is not None:
-            self[key] = found
+            self.keep(key, found)
         return found
 
-    def keep(self, key, value) -> None:
-        if len(self) >= KEPT:
-            self.older = dict(self)
+    def keep(self, key, value, more: int = 0) -> None:
+        """Keep a result that takes ``more`` bytes besides its entry."""
+        if self.size > self.most:
+            self.older, self.size = dict(self), 0
             self.clear()
+        self.size += ENTRY + more
         self[key] = value
 
 
@@ -57,46 +61,61 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         for text in self.special:
-            self.vocabulary.pop(text.decode(), None)
-        self.longest = max(map(len, self.vocabulary))
-        # By both tokens with a blank between; the byte alphabet has no blank.
-        self.fits: Recent = Recent()
-        self.pieces: Recent = Recent()
-        self.totals: Recent = Recent()
-
-    def _suits(self, before: str, token: str) -> bool:
+            vocabulary.pop(text.decode(), None)
+        # Tokens by text, numbered from 1, and for each letter of the byte alphabet the lengths of tokens that end in it: long
+        # ones first, as they are the likelier ones to fit.
+        self.tokens = sorted(vocabulary)
+        self.numbers = {token: k for k, token in enumerate(self.tokens, 1)}
+        lengths: dict[str, set[int]] = {}
+        for token in self.tokens:
+            lengths.setdefault(token[-1], set()).add(len(token))
+        self.lengths = {letter: sorted(found, reverse=True) for letter, found in lengths.items()}
+        self.find_special = re.compile(b"|".join(map(re.escape, sorted(self.special)))) if self.special else None
+        # By the numbers of both tokens in one.
+        self.fits = Recent(FITS)
+        self.pieces = Recent(PIECES)
+        self.totals = Recent(TOTALS)
+
+    def _suits(self, before: int, number: int) -> bool:
         """Whether the encoding of both tokens' bytes is these two tokens (or the one, if nothing stands before)."""
-        made = [t.value for t in self.tokenizer.model.tokenize(before + token)]
-        found = made == ([before, token] if before else [token])
-        self.fits.keep(before + " " + token, found)
+        token = self.tokens[number - 1]
+        other = self.tokens[before - 1] if before else ""
+        made = [t.value for t in self.tokenizer.model.tokenize(other + token)]
+        found = made == ([other, token] if before else [token])
+        self.fits.keep(before << 32 | number, found)
         return found
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> Sequence[int]:
         """Counts of the prefixes of 1, 2, ... bytes of one piece, given in the byte alphabet of the vocabulary."""
         found = self.pieces[text]
-        if found is not None:
-            return found
-        counts, last = [0], [""]
-        vocabulary, fits, longest = self.vocabulary, self.fits, self.longest
+        if found is None:
+            found = self._counted(text)
+            if len(text) <= CACHED_BYTES:
+                self.pieces.keep(text, found, 80 + 6 * len(text))
+        return found
+
+    def _counted(self, text: str) -> Sequence[int]:
+        counts, last = array("I", [0]), array("I", [0])
+        numbers, fits, lengths = self.numbers, self.fits, self.lengths
         for end in range(1, len(text) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = text[begin:end]
-                if token in vocabulary:
-                    before = last[begin]
-                    known = fits[before + " " + token]
-                    if known or known is None and self._suits(before, token):
+            for size in lengths.get(text[end - 1], ()):
+                if size > end:
+                    continue
+                begin = end - size
+                number = numbers.get(text[begin:end])
+                if number is not None:
+                    pair = last[begin] << 32 | number
+                    known = fits[pair]
+                    if known or known is None and self._suits(last[begin], number):
                         counts.append(counts[begin] + 1)
-                        last.append(token)
+                        last.append(number)
                         break
             else:
                 raise ValueError(f"no token of the vocabulary ends a prefix of {text[:40]!r}")
-        found = tuple(counts[1:])
-        if len(text) <= CACHED_BYTES:
-            self.pieces.keep(text, found)
-        return found
+        return counts[1:]
 
     def _split(self, text: str) -> list[str]:
         return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
@@ -118,39 +137,47 @@ class PrefixCounter:
             counts[begin : begin + len(whole)] = [total + c for c in whole]
         return counts, now
 
-    def _with_special(self, chunk: bytes) -> np.ndarray:
-        """Counts of a chunk that holds a special token: each prefix is cut at the special tokens it holds whole."""
-        out = []
-        for end in range(1, len(chunk) + 1):
-            rest, total = chunk[:end], 0
-            while rest:
-                at, text = min(((p, t) for t in self.special if (p := rest.find(t)) >= 0), default=(len(rest), b""))
-                total += self.total(rest[:at]) if at else 0
-                total += bool(text)
-                rest = rest[at + len(text) :]
-            out.append(total)
-        return np.array(out, np.uint32)
+    def _cut(self, chunk: bytes) -> Iterator[tuple[bytes, bytes]]:
+        """Other text and the special token behind it, from left to right; the last piece has none."""
+        done = 0
+        for match in self.find_special.finditer(chunk) if self.find_special else ():
+            yield chunk[done : match.start()], match[0]
+            done = match.end()
+        yield chunk[done:], b""
 
-    def chunk(self, chunk: bytes) -> np.ndarray:
-        """Counts of the prefixes of 1, 2, ... bytes of a chunk."""
-        if any(s in chunk for s in self.special):
-            return self._with_special(chunk)
+    def _plain(self, text: bytes) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... bytes of text without special tokens."""
         counts: list[int] = []
         total = 0
-        for part in _PART.findall(chunk.decode("utf-8", "replace")):
+        for part in _PART.findall(text.decode("utf-8", "replace")):
             counts, total = self._add(part, counts, total)
-        return np.array(counts, np.uint32)
+        return counts
+
+    def chunk(self, chunk: bytes) -> np.ndarray:
+        """Counts of the prefixes of 1, 2, ... bytes of a chunk.
+
+        A prefix that ends inside a special token does not hold it: it counts like other text up to there.
+        """
+        out, total = [], 0
+        for text, special in self._cut(chunk):
+            open_end = text + special[:-1]
+            own = self._plain(open_end)
+            out.append(np.array(own, np.uint32) + np.uint32(total))
+            if special:
+                total += (own[len(text) - 1] if text else 0) + 1
+                out.append(np.array([total], np.uint32))
+        return np.concatenate(out)
 
     def total(self, chunk: bytes) -> int:
         """Tokens of a whole chunk."""
         found = self.totals[chunk]
         if found is None:
-            if any(s in chunk for s in self.special):
-                return int(self._with_special(chunk)[-1])
-            parts = _PART.findall(chunk.decode("utf-8", "replace"))
-            found = sum(self.piece(piece)[-1] for part in parts for piece in self._split(part))
+            found = 0
+            for text, special in self._cut(chunk):
+                parts = _PART.findall(text.decode("utf-8", "replace"))
+                found += sum(self._counted(piece)[-1] for part in parts for piece in self._split(part)) + bool(special)
             if len(chunk) <= CACHED_BYTES:
-                self.totals.keep(chunk, found)
+                self.totals.keep(chunk, found, len(chunk))
         return found
 
     def prefixes(self, text: bytes) -> np.ndarray:
@@ -169,9 +196,8 @@ def longest_within(counts: np.ndarray, text: bytes, budget: int) -> int:
     return int(np.flatnonzero((counts <= budget) & ((raw & 0xC0) != 0x80))[-1])
 
 
-@cache
 def _counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return kept(f"counter {path}", lambda: PrefixCounter(path))
 
 
 def _cut(counter: PrefixCounter, found: Distinct, totals: np.ndarray, row: int, budget: int) -> int:
@@ -214,7 +240,7 @@ def token_counts(documents: DataFrame, path: str = FILE, limit: int = LIMIT) ->
                 )
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long"
-    return map_arrow(ids_and_texts(documents), schema, work)
+    return map_arrow(ids_and_texts(documents), schema, work, f"counter {path}")
 
 
 def prefix_table(documents: DataFrame, path: str = FILE) -> DataFrame:
@@ -228,12 +254,14 @@ def prefix_table(documents: DataFrame, path: str = FILE) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 text = (batch.column(1)[row].as_py() or "").encode()
+                counts = counter.prefixes(text).astype(np.int32)
+                offsets = pa.array([0, len(counts)], pa.int32())
                 yield pa.record_batch(
-                    [batch.column(0).slice(row, 1), pa.array([counter.prefixes(text).tolist()], pa.list_(pa.int32()))],
+                    [batch.column(0).slice(row, 1), pa.ListArray.from_arrays(offsets, pa.array(counts))],
                     names=["doc_id", "counts"],
                 )
 
-    return map_arrow(ids_and_texts(documents), "doc_id long, counts array<int>", work)
+    return map_arrow(ids_and_texts(documents), "doc_id long, counts array<int>", work, f"counter {path}")
 
 
 def within_budget(table: DataFrame, budget: int) -> DataFrame:

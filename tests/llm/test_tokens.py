@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from leverwise.llm import packing, token_counts, token_files
+from leverwise.llm import chunks, packing, token_counts, token_files
 from leverwise.llm.chunks import Encoder, tokenizer
 from leverwise.llm.common import new_folder
 
@@ -40,6 +41,35 @@ def test_count_of_every_prefix():
             assert counts[len(text[:end].encode())] == want, repr(text[:end])
 
 
+@pytest.mark.parametrize("text", ["中文字" * 50_000 + "<|endoftext|>" + "中文" * 50_000, "x" * 400_000, " " * 400_000, "<|endoftext|>" * 30_000,
+                                  "<|endoftext" * 30_000, "a <|endoftext|>\n" * 30_000])
+def test_long_chunks_with_special_tokens_take_time_in_proportion(text):
+    counter, whole = token_counts.PrefixCounter(token_counts.FILE), tokenizer(token_counts.FILE)
+    begun = time.process_time()
+    n, counts = counter.total(text.encode()), counter.prefixes(text.encode())
+    assert time.process_time() - begun < 30
+    assert n == counts[-1] == len(whole.encode(text, add_special_tokens=False).ids)
+
+
+def test_tables_of_partial_results_are_bounded():
+    held = token_counts.Recent(10_000)
+    for k in range(1000):
+        held.keep(k, k, 30)
+        assert len(held) + len(held.older) <= 2 * (10_000 // (token_counts.ENTRY + 30) + 1) + 1
+    assert held[999] == 999 and held[0] is None
+
+
+def test_kept_chunks_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(chunks, "CACHED", 20_000)
+    made, whole = Encoder("word_bpe_49k.json"), tokenizer("word_bpe_49k.json")
+    for turn in range(20):
+        text = " ".join(f"w{turn % 7}x{i}" for i in range(300))
+        (_, _, ids, _), = made.encode(pa.array([text]))
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert sum(chunks.ENTRY + len(k) + len(v) for k, v in made.known.items()) <= 20_000
+        assert len(made.older) < 1000
+
+
 def test_token_counts_and_cuts(docs):
     texts = [(i, t) for i, t in enumerate(odd_texts(60, 3))] + [(7, "again"), (None, "no id")]
     whole = tokenizer(token_counts.FILE)
