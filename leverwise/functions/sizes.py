@@ -29,6 +29,14 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return df.agg(size.alias("bytes")).first().bytes <= limit
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """The frame for a join in which it is not to pass through the driver, whatever the planner takes its size for.
+
+    The planner sees the size of packed files: a few MB of them can be hundreds in memory, sent anew by every join.
+    """
+    return df.hint("merge")
+
+
 def join_dimension(
     facts: DataFrame, dim: DataFrame, key: list[str], spread: str, how: str = "inner", small: bool | None = None
 ) -> DataFrame:

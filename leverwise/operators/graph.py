@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import is_small, join_dimension
+from leverwise.functions.sizes import by_shuffle, is_small, join_dimension
 from leverwise.operators.merge import splice
 from leverwise.operators.overlay import cut_to
 from leverwise.session import cut_lineage
@@ -85,9 +85,9 @@ def reachable_nodes(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     A frontier walk, a block of steps per job. Pairs are made distinct at every step and dropped if an earlier
     block saw them, so shared branches are walked once and cycles end. Each block is checkpointed; the plan
-    stays flat however deep the graph is.
+    stays flat however deep the graph is. The edges meet the frontier in a shuffle, once for each block.
     """
-    links = edges.select(F.col("parent_id").alias("node"), "child_id")
+    links = by_shuffle(edges.select(F.col("parent_id").alias("node"), "child_id"))
     frontier = cut_lineage(roots.select("root", F.col("root").alias("node")).distinct())
     seen = frontier
     while not frontier.isEmpty():
@@ -97,7 +97,7 @@ def reachable_nodes(edges: DataFrame, roots: DataFrame) -> DataFrame:
             numbered = step.withColumn("step", F.lit(number))
             steps = numbered if steps is None else steps.unionByName(numbered)
         first = steps.groupBy("root", "node").agg(F.min("step").alias("step"))
-        fresh = cut_lineage(first.join(seen, ["root", "node"], "left_anti"))
+        fresh = cut_lineage(first.join(by_shuffle(seen), ["root", "node"], "left_anti"))
         seen = seen.unionByName(fresh.drop("step"))
         frontier = fresh.where(F.col("step") == STEPS_PER_BLOCK).drop("step")
     return seen
@@ -113,26 +113,27 @@ def descendants(t: Tables, requests: DataFrame, structure_ids: DataFrame | None
     if structure_ids is not None:
         nodes = nodes.join(structure_ids, "vdt_structure_id", "left_semi")
     starts = nodes.select(F.col("attribute_id").alias("attr_id"), F.col("vdt_node_id").alias("root"))
-    asked = requests.select("attr_id", "scenario_id").distinct().join(starts, "attr_id")
+    asked = requests.select("attr_id", "scenario_id").distinct().join(by_shuffle(starts), "attr_id")
     below = reachable_nodes(edges, asked.select("root").distinct())
-    children = t.vdt_node.join(t.attribute.withColumnRenamed("attr_id", "attribute_id"), "attribute_id", "left_semi")
+    known = by_shuffle(t.attribute.select(F.col("attr_id").alias("attribute_id")))
+    children = by_shuffle(t.vdt_node.join(known, "attribute_id", "left_semi").withColumnRenamed("vdt_node_id", "child_id"))
     # Both sides are distinct, so their join is.
     branch = (
-        below.join(edges.select(F.col("parent_id").alias("node"), "child_id").distinct(), "node")
-        .join(children.withColumnRenamed("vdt_node_id", "child_id"), "child_id")
+        below.join(by_shuffle(edges.select(F.col("parent_id").alias("node"), "child_id").distinct()), "node")
+        .join(children, "child_id")
         .select(
             "root", F.col("child_id").alias("vdt_node_id"), "child_id", F.col("node").alias("parent_id"),
             "attribute_id", "name", "vdt_structure_id",
         )
     )
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
-    viewed = asked.join(views, "scenario_id")
+    viewed = asked.join(by_shuffle(views), "scenario_id")
     flags = cut_to(t.value.select("dataset_id", "attr_id", "is_calc_redundant"), viewed, "dataset_id")
     flags = flags.withColumnRenamed("attr_id", "attribute_id")
     return (
         viewed
-        .join(branch, "root")
-        .join(flags, ["dataset_id", "attribute_id"])
+        .join(by_shuffle(branch), "root")
+        .join(by_shuffle(flags), ["dataset_id", "attribute_id"])
         .select(
             "attr_id", "scenario_id", "vdt_node_id", "child_id", "parent_id", "attribute_id", "name",
             "vdt_structure_id", "is_calc_redundant",
@@ -157,7 +158,7 @@ def replace_dependencies(t: Tables, rows: DataFrame, deps: DataFrame) -> DataFra
     ``rows`` (model_id, object_path, attr_name) lists the imported attributes; ``deps`` holds external ids.
     The removal looks at the attribute only, whichever model the edge belongs to.
     """
-    paths = t.external_attr
+    paths = by_shuffle(t.external_attr)
     imported = (
         rows.select("model_id", "object_path", "attr_name")
         .join(paths, ["model_id", "object_path", "attr_name"])

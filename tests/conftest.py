@@ -44,6 +44,11 @@ def frame(spark):
     return lambda ddl, *rows: spark.createDataFrame(list(rows), ddl)
 
 
+def planned(df):
+    """The plan a frame would be run by."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def rows_of(df, *columns):
     """Rows as a sorted list of tuples."""
     picked = df.select(*columns) if columns else df

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from conftest import rows_of
+from conftest import planned, rows_of
 
 from leverwise.operators import graph as op
 from test_overlay import attribute, scenario
@@ -79,3 +79,11 @@ def test_dependencies_on_itself_are_dropped(tables, frame):
     rows = frame("model_id bigint, object_path string, attr_name string", (1, "p", "a"), (1, "p", "b"))
     deps = frame("model_id bigint, ext_attr_id bigint, depends_on_ext_attr_id bigint", (1, 900, 901), (1, 901, 901))
     assert rows_of(op.replace_dependencies(t, rows, deps)) == [(10, 11, 1), (12, 99, 1)]
+
+
+def test_a_walk_sends_no_edges_through_the_driver(frame, monkeypatch):
+    plans, keep = [], op.cut_lineage
+    monkeypatch.setattr(op, "cut_lineage", lambda df: plans.append(planned(df)) or keep(df))
+    got = op.reachable_nodes(frame("parent_id bigint, child_id bigint", (1, 2), (2, 3)), frame("root bigint", (1,)))
+    assert rows_of(got, "root", "node") == [(1, 1), (1, 2), (1, 3)]
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in plan for plan in plans)
