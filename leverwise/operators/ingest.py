@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import external_path, external_path_or_blank, type_flags
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import join_dimension
+from leverwise.functions.sizes import by_shuffle, join_dimension
 from leverwise.operators.merge import patch_rows, splice, unique_by
 from leverwise.operators.overlay import with_attr_ids
 from leverwise.sources.tables import Tables, complete_rows
@@ -46,7 +46,7 @@ def decode_types(rows: DataFrame) -> DataFrame:
 def upsert_attributes(t: Tables, rows: DataFrame) -> AttributeMerge:
     """Match batch rows by (model, path, name): refresh unit, level and flags, or add attribute and path."""
     paths = t.external_attr.select("model_id", "object_path", "attr_name", "attr_id")
-    source = decode_types(rows).join(paths, ["model_id", "object_path", "attr_name"], "left")
+    source = decode_types(rows).join(by_shuffle(paths), ["model_id", "object_path", "attr_name"], "left")
     known = source.where("attr_id is not null")
     fresh = assign_ids(
         source.where("attr_id is null").drop("attr_id"), "attr_id",
@@ -73,18 +73,19 @@ def replace_attribute_categories(
     found by external id in any model unless scoped. ``legacy_full_replace`` drops every old link as soon as
     the batch maps a category, and none otherwise.
     """
-    mapped = links.join(id_map.select("model_id", "ext_category_id", "category_id"), ["model_id", "ext_category_id"])
+    places = id_map.select("model_id", "ext_category_id", "category_id")
+    mapped = links.join(by_shuffle(places), ["model_id", "ext_category_id"])
     key = ["ext_attr_id", *(["model_id"] if scope_by_model else [])]
     added = (
         t.external_attr.select("attr_id", *key)
-        .join(mapped.select(*key, "category_id"), key)
-        .join(t.category.select("category_id", "grouping_id"), "category_id")
+        .join(by_shuffle(mapped.select(*key, "category_id")), key)
+        .join(by_shuffle(t.category.select("category_id", "grouping_id")), "category_id")
         .select("attr_id", "grouping_id", "category_id")
     )
     if legacy_full_replace:
         return added if not id_map.isEmpty() else t.attribute_category.unionByName(added)
     listed = rows.select("model_id", "object_path", "attr_name").join(
-        t.external_attr, ["model_id", "object_path", "attr_name"]
+        by_shuffle(t.external_attr), ["model_id", "object_path", "attr_name"]
     )
     touched = listed.select("attr_id").unionByName(added.select("attr_id"))
     return splice(t.attribute_category, added, touched, "attr_id")
@@ -136,7 +137,8 @@ def reload_model_datasets(
         )
     )
     touched = found.unionByName(fresh.select("dataset_id", "model_id"))
-    values = join_dimension(with_attr_ids(t, rows, scope_by_model), touched, ["model_id"], "attr_id")
+    paths = t.replace(external_attr=by_shuffle(t.external_attr))
+    values = join_dimension(with_attr_ids(paths, rows, scope_by_model), touched, ["model_id"], "attr_id")
     return DatasetReload(dataset, complete_rows(values, "value"), touched)
 
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from conftest import planned, rows_of
 
 from leverwise.operators import analysis, ingest
 from leverwise.plans.model_import import CHANGED, Batch, import_model, write_import
@@ -146,3 +146,10 @@ def test_of_several_debug_files_the_last_model_counts(tables, frame):
     loaded = ingest.reload_model_datasets(t, imports, rows, now(), scope_by_model=True)
     assert rows_of(loaded.dataset, "dataset_name", "model_id") == [("Model Data - _debug", 2)]
     assert rows_of(loaded.value, "attr_id", "value") == [(20, 2.0)]
+
+
+def test_an_upsert_sends_no_stored_paths_through_the_driver(tables, frame):
+    t = tables(attribute=[attribute(10)], external_attr=[(1, 10, "p", 900, "a")])
+    done = ingest.upsert_attributes(t, frame(ddl("model_rows"), row(1, 900, "a", 1.0), row(1, 901, "b", 2.0)))
+    assert "BroadcastHashJoin" not in planned(done.actions)
+    assert rows_of(done.actions, "attr_id", "action") == [(10, "UPDATE"), (11, "INSERT")]
