@@ -147,9 +147,17 @@ def resolved_values(
     if attributes is not None:
         attributes, few = measured(attributes.select("attr_id").distinct())
         value = join_dimension(value, attributes, ["attr_id"], "dataset_id", "left_semi", small=few)
+    shown = _base_cells(t, heads, small, attributes, few)
+    return _shown(t, value, heads, small, shown, None if datasets is None else heads)
+
+
+def _shown(
+    t: Tables, value: DataFrame, heads: DataFrame, small: bool, base_cells: DataFrame, asked: DataFrame | None
+) -> DataFrame:
+    """The resolved values of these value rows, next to what their bases show."""
     cells = join_dimension(value, heads, ["dataset_id"], "attr_id", small=small)
-    cells = with_override(cells, t, "scenario_id", "override_value", None if datasets is None else heads, small)
-    cells = cells.join(_base_cells(t, heads, small, attributes, few), ["base_dataset_id", "base_lane", "attr_id"], "left")
+    cells = with_override(cells, t, "scenario_id", "override_value", asked, small)
+    cells = cells.join(base_cells, ["base_dataset_id", "base_lane", "attr_id"], "left")
     return cells.join(t.attribute, "attr_id").select(
         "dataset_id", "scenario_id", "dataset", "attr_id",
         *[F.col(old).alias(new) for old, new in VIEW_ATTRIBUTES.items()],
@@ -194,20 +202,26 @@ def refresh_resolved(t: Tables, kept: DataFrame, cells: DataFrame) -> DataFrame:
     key = ["dataset_id", "attr_id"]
     cells, small = measured(cells.select(*key))
     mark = F.broadcast if small else (lambda df: df)
-    return kept.join(mark(cells), key, "left_anti").unionByName(resolved_cells(t, cells).select(*kept.columns))
+    return kept.join(mark(cells), key, "left_anti").unionByName(resolved_cells(t, cells, small).select(*kept.columns))
 
 
-def resolved_cells(t: Tables, cells: DataFrame) -> DataFrame:
-    """The resolved values of chosen cells (dataset_id, attr_id); only their own and their bases' values are read."""
+def resolved_cells(t: Tables, cells: DataFrame, small: bool | None = None) -> DataFrame:
+    """The resolved values of chosen cells (dataset_id, attr_id); only their own and their bases' values are read.
+
+    ``small`` is given if the cells are materialised and measured already. The values are cut to the cells before any
+    other join, so the wide rows of the result are not shuffled for that.
+    """
     key = ["dataset_id", "attr_id"]
-    cells, small = measured(cells.select(*key))
+    if small is None:
+        cells, small = measured(cells.select(*key))
     mark = F.broadcast if small else (lambda df: df)
     bases = t.scenario.select(F.col("view_dataset_id").alias("dataset_id"), "base_dataset_id")
     below = cells.join(bases, "dataset_id").select(F.col("base_dataset_id").alias("dataset_id"), "attr_id")
-    needed, few = measured(cells.union(below).distinct())
-    value = t.value.join(F.broadcast(needed) if few else needed, key, "left_semi")
-    rows = resolved_values(t.replace(value=value), datasets=cells)
-    return rows.join(mark(cells), key, "left_semi")
+    below, few = measured(below.distinct())
+    based = t.replace(value=t.value.join(F.broadcast(below) if few else below, key, "left_semi"))
+    heads, little = measured(scenario_heads(t, cells))
+    own = t.value.join(mark(cells), key, "left_semi")
+    return _shown(t, own, heads, little, _base_cells(based, heads, little, None, False), heads)
 
 
 def calc_inputs(t: Tables, scope_by_model: bool = False) -> DataFrame:

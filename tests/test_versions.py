@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from conftest import planned, rows_of
 
 from leverwise.operators import overlay
 from leverwise.sources import versions
@@ -137,3 +137,11 @@ def test_refreshed_values_after_another_base(tables, frame):
     kept = overlay.resolved_values(t)
     assert rows_of(overlay.refresh_resolved(after, kept, cells.distinct()).select(*fresh.columns)) == rows_of(fresh)
     assert rows_of(overlay.refresh_resolved(t, kept, cells.limit(0)).select(*fresh.columns)) == rows_of(kept)
+
+
+def test_resolved_cells_cuts_before_the_wide_columns_come_in(tables, frame):
+    t = bundle(tables)
+    got = overlay.resolved_cells(t, frame("dataset_id bigint, attr_id bigint", (1, 1)))
+    top = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line)
+    assert "LeftSemi" not in top
+    assert rows_of(got) == rows_of(overlay.resolved_values(t).where("dataset_id = 1 and attr_id = 1"))
