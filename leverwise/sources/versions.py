@@ -64,10 +64,11 @@ def _write_files(df: DataFrame, root: str, table: str, layout: Layout) -> DataFr
     ranged.write.partitionBy("bucket").parquet(f"{root}/{folder}")
     split = F.xxhash64(layout.split) if dict(df.dtypes)[layout.split] == "string" else F.col(layout.split).cast("bigint")
     written = df.sparkSession.read.schema(placed.schema).option("basePath", f"{root}/{folder}").parquet(f"{root}/{folder}")
-    file = F.concat(F.lit(f"{folder}/"), F.regexp_extract("_metadata.file_path", r"(bucket=[^/]+/[^/]+)$", 1))
-    return written.groupBy("bucket", file.alias("file")).agg(
+    file = F.concat(F.lit(f"{folder}/"), F.regexp_extract("path", r"(bucket=[^/]+/[^/]+)$", 1))
+    counted = written.groupBy("bucket", F.col("_metadata.file_path").alias("path")).agg(
         F.count("*").alias("n_rows"), F.min(split).alias("low"), F.max(split).alias("high")
-    ).withColumn("table", F.lit(table))
+    )
+    return counted.select("bucket", file.alias("file"), "n_rows", "low", "high", F.lit(table).alias("table"))
 
 
 def _commit(manifest: DataFrame, root: str, version: int) -> None:
@@ -157,7 +158,10 @@ class Store:
         for table, new in tables.items():
             old, key = self.read(table), self.layouts[table].key
             new = cut_lineage(new.select(*old.columns))
-            touched = cut_lineage(new.exceptAll(old).select(key).union(old.exceptAll(new).select(key)).distinct())
+            # One pass over both: a row differs where it does not come as often as before.
+            both = new.withColumn("_n", F.lit(1)).union(old.withColumn("_n", F.lit(-1)))
+            changed = both.groupBy(*old.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+            touched = cut_lineage(changed.select(key).distinct())
             if not touched.isEmpty():
                 slices[table] = Slice(new.join(touched, key, "left_semi"), touched)
         return slices

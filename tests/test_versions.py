@@ -139,6 +139,17 @@ def test_refreshed_values_after_another_base(tables, frame):
     assert rows_of(overlay.refresh_resolved(t, kept, cells.limit(0)).select(*fresh.columns)) == rows_of(kept)
 
 
+def test_changes_are_found_in_one_pass(store, spark, monkeypatch):
+    plans, keep = [], versions.cut_lineage
+    monkeypatch.setattr(versions, "cut_lineage", lambda df: plans.append(planned(df)) or keep(df))
+    old = store.read("value")
+    more = old.where("dataset_id <> 3 or attr_id <> 1").union(old.where("dataset_id = 5 and attr_id = 2"))
+    found = store.changed({"value": more})["value"]
+    # A missing row and one that comes twice.
+    assert rows_of(found.touched) == [(3,), (5,)]
+    assert plans[-1].count("Scan parquet") == 1 and "replicaterows" not in plans[-1]
+
+
 def test_resolved_cells_cuts_before_the_wide_columns_come_in(tables, frame):
     t = bundle(tables)
     got = overlay.resolved_cells(t, frame("dataset_id bigint, attr_id bigint", (1, 1)))
