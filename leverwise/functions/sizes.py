@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from leverwise.session import cut_lineage
+from leverwise.session import cut_lineage, held
 
 # A frame up to this size is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -63,6 +63,17 @@ def join_dimension(
     return salted.join(copies.drop("_parts"), [*key, "_salt"], how).drop("_salt")
 
 
+def by_size(df: DataFrame, small: bool | None = None) -> DataFrame:
+    """The frame for the right side of a join: broadcast if it is measured small, else to meet the other in a shuffle."""
+    return F.broadcast(df) if (is_small(df) if small is None else small) else by_shuffle(df)
+
+
+def packed(df: DataFrame) -> tuple[DataFrame, bool]:
+    """As ``measured``, in packed files: for frames that may be a good part of the facts."""
+    rows = held(df)
+    return rows, is_small(rows)
+
+
 def measured(df: DataFrame) -> tuple[DataFrame, bool]:
     """The rows, materialised once, and whether they are small enough to broadcast."""
     held = cut_lineage(df)

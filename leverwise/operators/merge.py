@@ -7,12 +7,14 @@ table is not shuffled at all, and adaptive execution can split a hot key, which
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import join_dimension, measured
+from leverwise.functions.sizes import BROADCAST_BYTES, by_shuffle, join_dimension, packed
 from leverwise.sources.schemas import KEYS, REFERENCES, TABLES, UNIQUE
+from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables, complete_rows
 
 
@@ -21,10 +23,11 @@ def unique_by(df: DataFrame, key: list[str]) -> DataFrame:
     others = [c for c in df.columns if c not in key]
     counted = df.groupBy(*key).agg(*[F.first(c).alias(c) for c in others], F.count("*").alias("_n"))
     text = F.concat_ws(", ", *[F.col(k).cast("string") for k in key])
-    checked = F.when(F.col("_n") == 1, F.col(key[0])).otherwise(
-        F.raise_error(F.concat(F.lit(f"duplicate key ({', '.join(key)}): "), text))
+    once = F.when(F.col("_n") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit(f"duplicate key ({', '.join(key)}): "), text)).cast("boolean")
     )
-    return counted.withColumn(key[0], checked).select(*df.columns)
+    # As a filter, so the key stays as it is and a join by it needs no other shuffle.
+    return counted.where(once).select(*df.columns)
 
 
 def patch_rows(target: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
@@ -58,10 +61,13 @@ def upsert(
     target: DataFrame, source: DataFrame, key: list[str], update: list[str], table: str, with_action: bool = False
 ) -> DataFrame:
     """Update ``update`` columns where the key matches, insert the other source rows with defaults."""
-    source, small = measured(unique_by(source, key))
+    source, small = packed(source)
+    source = unique_by(source, key)
+    if not small:
+        return _upsert_large(target, source, key, update, table, with_action)
     marked = source.select(*key, *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
-    kept = target.join(F.broadcast(marked) if small else marked, key, "left").select(
+    kept = target.join(F.broadcast(marked), key, "left").select(
         *[F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update else F.col(c)
           for c in target.columns],
         *([F.when(hit, "U").otherwise("keep").alias("action")] if with_action else []),
@@ -72,6 +78,27 @@ def upsert(
     return kept.unionByName(added)
 
 
+def _upsert_large(
+    target: DataFrame, source: DataFrame, key: list[str], update: list[str], table: str, with_action: bool
+) -> DataFrame:
+    """``upsert`` from a source too large to be broadcast: each side is shuffled once, for updates and inserts together.
+
+    The source's keys are unique, so no key is hot in the full outer join unless the target repeats it.
+    """
+    row = complete_rows(source, table).select(*target.columns)
+    marked = row.select(*key, F.struct(*[c for c in row.columns if c not in key]).alias("_new"))
+    both = target.withColumn("_held", F.lit(True)).join(marked, key, "full_outer")
+    hit, present = F.col("_new").isNotNull(), F.col("_held").isNotNull()
+
+    def merged(c: str) -> Column:
+        return F.when(hit if c in update else ~present, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+
+    action = F.when(~present, "I").when(hit, "U").otherwise("keep").alias("action")
+    return both.select(
+        *[F.col(c) if c in key else merged(c) for c in target.columns], *([action] if with_action else [])
+    )
+
+
 def splice(table: DataFrame, slice_rows: DataFrame, touched: DataFrame, key: str | list[str]) -> DataFrame:
     """The table with all rows of the touched groups exchanged for ``slice_rows``."""
     key = [key] if isinstance(key, str) else key
@@ -80,6 +107,37 @@ def splice(table: DataFrame, slice_rows: DataFrame, touched: DataFrame, key: str
     return kept.unionByName(slice_rows.select(*table.columns))
 
 
+# Bytes of a bitmap and of its key.
+BITMAP_BYTES = 4096 + 64
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is not among ``keys``, which are too many to be broadcast.
+
+    Wide rows read from Parquet files stay where they are: only their keys and places are shuffled, and the places found
+    come back as bitmaps, one bit for each row. Other rows are shuffled whole.
+    """
+    number = F.col("_metadata.row_index") + 1
+    place = ["_file", "_block"]
+    try:
+        placed = rows.select(
+            "*", F.xxhash64("_metadata.file_path").alias("_file"), F.bitmap_bucket_number(number).alias("_block"),
+            F.bitmap_bit_position(number).cast("int").alias("_bit"),
+        )
+    except AnalysisException:
+        return rows.join(by_shuffle(keys), key, "left_anti")
+    found = placed.select(*key, *place, "_bit").join(by_shuffle(keys), key, "left_semi")
+    marks = cut_lineage(found.groupBy(*place).agg(F.bitmap_construct_agg("_bit").alias("_marks")))
+    files = rows.sparkSession.createDataFrame([(f,) for f in rows.inputFiles()], "path string")
+    told_apart = files.select(F.xxhash64("path")).distinct().count() == files.count()
+    if not told_apart or marks.count() * BITMAP_BYTES > BROADCAST_BYTES:
+        return rows.join(by_shuffle(keys), key, "left_anti")
+    byte = F.substring("_marks", F.shiftright("_bit", 3) + 1, F.lit(1))
+    marked = F.getbit(F.ascii(F.decode(byte, "ISO-8859-1")), F.col("_bit").bitwiseAND(7)) == 1
+    kept = placed.join(F.broadcast(marks), place, "left").where(F.col("_marks").isNull() | ~marked)
+    return kept.select(*rows.columns)
+
+
 def reconcile(
     target: DataFrame, source: DataFrame, scopes: DataFrame, key: str, scope: str, update: list[str]
 ) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import external_path, relative_change
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import is_small, join_dimension, measured
-from leverwise.operators.merge import missing_from, unique_by, upsert
+from leverwise.functions.sizes import by_size, join_dimension, measured, packed
+from leverwise.operators.merge import missing_from, unique_by, upsert, without_keys
 from leverwise.operators.security import may_see, with_level
 from leverwise.session import cut_lineage
 from leverwise.sources.tables import Tables, complete_rows
@@ -108,12 +108,16 @@ def scenario_heads(t: Tables, datasets: DataFrame | None = None) -> DataFrame:
     return heads.withColumn("base_lane", F.coalesce("base_scenario_id", F.lit(0)))
 
 
-def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame | None, few: bool) -> DataFrame:
-    """What the base datasets show: stored values under their own scenario's overrides.
+BASE_KEY = ["base_dataset_id", "base_lane", "attr_id"]
 
-    Only datasets that serve as a base take part. Both lookups end up behind one key, so the large side is
-    shuffled once for both. Keys are unique on both sides of the full outer join, so none can be hot here;
-    and its result is shuffled anew for the lookup, which leaves that join open to a split of hot keys.
+
+def _base_cells(
+    t: Tables, heads: DataFrame, small: bool, attributes: DataFrame | None, few: bool
+) -> tuple[DataFrame, DataFrame]:
+    """What the base datasets hold, and the overrides of their own scenarios.
+
+    Only datasets that serve as a base take part. Both are behind one key, so rows that look them up are shuffled once
+    for both.
     """
     # No more rows than heads, so small if these are.
     bases = heads.where("base_dataset_id is not null").select("base_dataset_id", "base_scenario_id", "base_lane").distinct()
@@ -121,7 +125,6 @@ def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame
     changes = t.scenario_change.select(
         F.col("scenario_id").alias("base_scenario_id"), "attr_id", F.col("new_value").alias("changed")
     )
-    key = ["base_dataset_id", "base_lane", "attr_id"]
     stored = join_dimension(
         value, bases.select("base_dataset_id", "base_lane"), ["base_dataset_id"], "attr_id", small=small
     )
@@ -129,7 +132,7 @@ def _base_cells(t: Tables, heads: DataFrame, small: bool, attributes: DataFrame
     if attributes is not None:
         stored = join_dimension(stored, attributes, ["attr_id"], "base_dataset_id", "left_semi", small=few)
         changed = join_dimension(changed, attributes, ["attr_id"], "base_dataset_id", "left_semi", small=few)
-    return stored.join(changed, key, "full_outer").select(*key, F.coalesce("changed", "stored").alias("base_shown"))
+    return stored.select(*BASE_KEY, "stored"), changed.select(*BASE_KEY, "changed")
 
 
 def resolved_values(
@@ -140,25 +143,49 @@ def resolved_values(
     ``datasets`` and ``attributes`` restrict the facts before any fact join.
     """
     heads = scenario_heads(t, datasets)
-    # What is asked is materialised and measured once; no later cut has more ids than this.
-    heads, small = (heads, is_small(heads)) if datasets is None else measured(heads)
+    # Materialised and measured once; no later cut has more ids than what is asked.
+    heads, small = measured(heads)
     few = False
     value = t.value
     if attributes is not None:
         attributes, few = measured(attributes.select("attr_id").distinct())
         value = join_dimension(value, attributes, ["attr_id"], "dataset_id", "left_semi", small=few)
-    shown = _base_cells(t, heads, small, attributes, few)
-    return _shown(t, value, heads, small, shown, None if datasets is None else heads)
+    bases = _base_cells(t, heads, small, attributes, few)
+    return _shown(t, value, heads, small, bases, None if datasets is None else heads)
 
 
 def _shown(
-    t: Tables, value: DataFrame, heads: DataFrame, small: bool, base_cells: DataFrame, asked: DataFrame | None
+    t: Tables, value: DataFrame, heads: DataFrame, small: bool, bases: tuple[DataFrame, DataFrame], asked: DataFrame | None
 ) -> DataFrame:
-    """The resolved values of these value rows, next to what their bases show."""
-    cells = join_dimension(value, heads, ["dataset_id"], "attr_id", small=small)
-    cells = with_override(cells, t, "scenario_id", "override_value", asked, small)
-    cells = cells.join(base_cells, ["base_dataset_id", "base_lane", "attr_id"], "left")
-    return cells.join(t.attribute, "attr_id").select(
+    """The resolved values of these value rows, next to what their bases show.
+
+    Rows of datasets that no scenario is viewed through have nothing to look up and skip these joins. Where the heads are
+    small, what they say of a dataset is not carried through the shuffles but added from a broadcast behind each.
+    """
+    described = [c for c in heads.columns if c != "dataset_id"]
+    # A dataset has one head unless its row or that of its scenario comes more than once.
+    heads = heads.withColumn("_head", F.row_number().over(Window.partitionBy("dataset_id").orderBy(*described)))
+    viewed = F.col("scenario_id").isNotNull() | F.col("base_dataset_id").isNotNull()
+
+    def described_by(rows: DataFrame, *names: str) -> DataFrame:
+        absent = [c for c in names if c not in rows.columns]
+        return rows.join(F.broadcast(heads.select("dataset_id", "_head", *absent)), ["dataset_id", "_head"]) if absent else rows
+
+    def headed(those: Column | bool, *names: str) -> DataFrame:
+        ids = heads.where(those).select("dataset_id", "_head", *(names if small else described))
+        return join_dimension(value, ids, ["dataset_id"], "attr_id", small=small)
+
+    own = ["dataset_id", "_head", *([] if small else described), "attr_id", "value", "is_calc_redundant"]
+    cells = with_override(headed(viewed, "scenario_id"), t, "scenario_id", "override_value", asked, small)
+    cells = described_by(cells, "base_dataset_id", "base_lane")
+    for found in bases:
+        cells = cells.join(found, BASE_KEY, "left")
+    nothing = F.lit(None).cast("double")
+    cells = cells.select(*own, "override_value", F.coalesce("changed", "stored").alias("base_shown")).unionByName(
+        headed(~viewed).select(*own, nothing.alias("override_value"), nothing.alias("base_shown"))
+    )
+    cells = described_by(cells.join(by_size(t.attribute), "attr_id"), "dataset", "scenario_id")
+    return cells.select(
         "dataset_id", "scenario_id", "dataset", "attr_id",
         *[F.col(old).alias(new) for old, new in VIEW_ATTRIBUTES.items()],
         F.col("is_calc_redundant").alias("attribute_is_calc_redundant"),
@@ -184,7 +211,6 @@ def affected_cells(
         found = found.union(overrides.select("scenario_id", "attr_id").join(views, "scenario_id").select(*key))
     if values is not None:
         found = found.union(values.select(*key))
-    found = found.distinct()
     above = t.scenario.select(F.col("base_dataset_id").alias("dataset_id"), "view_dataset_id")
     shown = found.union(found.join(above, "dataset_id").select(F.col("view_dataset_id").alias("dataset_id"), "attr_id"))
     if scenarios is not None:
@@ -200,27 +226,29 @@ def affected_cells(
 def refresh_resolved(t: Tables, kept: DataFrame, cells: DataFrame) -> DataFrame:
     """Kept resolved values with the affected cells resolved anew from the tables ``t``; all others as they are."""
     key = ["dataset_id", "attr_id"]
-    cells, small = measured(cells.select(*key))
-    mark = F.broadcast if small else (lambda df: df)
-    return kept.join(mark(cells), key, "left_anti").unionByName(resolved_cells(t, cells, small).select(*kept.columns))
+    cells, small = packed(cells.select(*key))
+    others = kept.join(F.broadcast(cells), key, "left_anti") if small else without_keys(kept, cells, key)
+    return others.unionByName(resolved_cells(t, cells, small).select(*kept.columns))
 
 
 def resolved_cells(t: Tables, cells: DataFrame, small: bool | None = None) -> DataFrame:
-    """The resolved values of chosen cells (dataset_id, attr_id); only their own and their bases' values are read.
+    """The resolved values of chosen cells (dataset_id, attr_id).
 
-    ``small`` is given if the cells are materialised and measured already. The values are cut to the cells before any
-    other join, so the wide rows of the result are not shuffled for that.
+    Of few cells only their own and their bases' values take part; of many all values of these bases, as cutting them
+    would shuffle more than it saves. ``small`` is given if the cells are materialised and measured already. The values
+    are cut to the cells before any other join, so the wide rows of the result are not shuffled for that.
     """
     key = ["dataset_id", "attr_id"]
     if small is None:
-        cells, small = measured(cells.select(*key))
-    mark = F.broadcast if small else (lambda df: df)
-    bases = t.scenario.select(F.col("view_dataset_id").alias("dataset_id"), "base_dataset_id")
-    below = cells.join(bases, "dataset_id").select(F.col("base_dataset_id").alias("dataset_id"), "attr_id")
-    below, few = measured(below.distinct())
-    based = t.replace(value=t.value.join(F.broadcast(below) if few else below, key, "left_semi"))
+        cells, small = packed(cells.select(*key))
+    based = t
+    if small:
+        bases = t.scenario.select(F.col("view_dataset_id").alias("dataset_id"), "base_dataset_id")
+        below = cells.join(bases, "dataset_id").select(F.col("base_dataset_id").alias("dataset_id"), "attr_id")
+        below, few = measured(below.distinct())
+        based = t.replace(value=t.value.join(by_size(below, few), key, "left_semi"))
     heads, little = measured(scenario_heads(t, cells))
-    own = t.value.join(mark(cells), key, "left_semi")
+    own = t.value.join(by_size(cells, small), key, "left_semi")
     return _shown(t, own, heads, little, _base_cells(based, heads, little, None, False), heads)
 
 
@@ -473,6 +501,7 @@ def merge_calculated(
 ) -> MergeResult:
     """Upsert calculated values (dataset_id, object_path, attr_name, value) and stamp their datasets.
 
+    Rows that ``with_attr_ids`` has given their attribute already (dataset_id, attr_id, value) are taken as they are.
     ``dataset_ids`` are the datasets that were calculated; they are stamped even if no value came back, and values of
     others are left out. Without them the datasets of the results count. A dataset that does not exist stops the job.
     """
@@ -482,11 +511,12 @@ def merge_calculated(
     touched = cut_lineage(touched.join(known, "dataset_id", "left").select(
         F.when(F.col("_known").isNull(), missing).otherwise(F.col("dataset_id")).alias("dataset_id")
     ))
+    named = "attr_id" not in results.columns
     if dataset_ids is not None:
-        results = join_dimension(results, touched, ["dataset_id"], "attr_name", "left_semi")
-    if scope_by_model:
+        results = join_dimension(results, touched, ["dataset_id"], "attr_name" if named else "attr_id", "left_semi")
+    if named and scope_by_model:
         results = results.join(t.dataset.select("dataset_id", "model_id"), "dataset_id")
-    source = with_attr_ids(t, results, scope_by_model).select("dataset_id", "attr_id", "value")
+    source = (with_attr_ids(t, results, scope_by_model) if named else results).select("dataset_id", "attr_id", "value")
     present = join_dimension(t.value, touched, ["dataset_id"], "attr_id", "left_semi")
     stamped = t.dataset.join(touched.withColumn("_hit", F.lit(True)), "dataset_id", "left").select(
         *[F.when(F.col("_hit").isNotNull(), now).otherwise(F.col(c)).alias(c) if c == "last_update" else F.col(c)

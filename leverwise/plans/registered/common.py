@@ -3,6 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leverwise.functions.sizes import by_size
+from leverwise.session import held
+
 NOW_TEXT = "2024-06-01 00:00:00"
 NOW_SQL = f"cast('{NOW_TEXT}' as timestamp_ntz)"
 
@@ -12,6 +15,12 @@ def now() -> Column:
     return F.lit(NOW_TEXT).cast("timestamp_ntz")
 
 
+def held_inputs(t, *names: str):
+    """The bundle with some reshaped tables and batches written once, for plans that read them many times."""
+    t = t.replace(part=by_size(t.part))
+    return t.replace(**{name: held(getattr(t, name)) for name in names})
+
+
 # Overrides by the dataset they are seen in, and everything a dataset holds or shows, one row for each attribute.
 OVERRIDES_SQL = """overrides as (
     select view_dataset_id as dataset_id, attr_id, new_value from {scenario_change} join {scenario} using (scenario_id))"""

@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 from leverwise.operators import overlay as op
 from leverwise.operators.merge import splice
-from leverwise.plans.registered.common import CELLS_SQL, NOW_SQL, OVERRIDES_SQL, RESOLVED_SQL, VIEW_SQL, now
+from leverwise.plans.registered.common import (
+    CELLS_SQL,
+    NOW_SQL,
+    OVERRIDES_SQL,
+    RESOLVED_SQL,
+    VIEW_SQL,
+    held_inputs,
+    now,
+)
 from leverwise.plans.what_if import what_if_round
-from leverwise.session import shared_dir
+from leverwise.session import held, shared_dir
 from leverwise.sources.schemas import BATCHES
-from leverwise.sources.sinks import overwrite_groups, read_groups, write_bucketed_groups, write_snapshot
+from leverwise.sources.sinks import overwrite_groups, read_groups, write_bucketed_groups
 from leverwise.sources.tables import as_input, load_tables
 from leverwise.streaming.feeds import apply_changes_stream, compact_changes, current_changes, start_change_feed
 
@@ -151,20 +159,14 @@ COMPARISON_SQL = f"""with {OVERRIDES_SQL},
 
 def _refreshed(t) -> DataFrame:
     """Resolved values kept from before a round of changes and calculated results, brought up to date by these alone."""
-    spark = t.value.sparkSession
-    root = f"{shared_dir(spark)}/resolved-{uuid.uuid4().hex}"
-
-    def held(name: str, df: DataFrame, version: int) -> DataFrame:
-        # Read many times below, so each state is written once.
-        return spark.read.parquet(write_snapshot(df, f"{root}/{name}", version))
-
-    t = t.replace(**{name: held(name, getattr(t, name), 0) for name in ("value", "scenario_change", "calculated")})
-    kept = held("resolved", op.resolved_values(t), 0)
+    # Each state is read several times below, so it is written once.
+    t = held_inputs(t, "value", "scenario_change", "calculated")
+    kept = held(op.resolved_values(t))
     changes = _latest(t)
-    after = t.replace(scenario_change=held("scenario_change", op.apply_changes(t, changes), 1))
-    merged = op.merge_calculated(after, t.calculated, now())
-    after = after.replace(value=held("value", splice(t.value, merged.value, merged.touched, "dataset_id"), 1))
-    written = op.with_attr_ids(t, t.calculated).select("dataset_id", "attr_id")
+    after = t.replace(scenario_change=held(op.apply_changes(t, changes)))
+    written = held(op.with_attr_ids(t, t.calculated).select("dataset_id", "attr_id", "value"))
+    merged = op.merge_calculated(after, written, now(), dataset_ids=t.calculated.select("dataset_id"))
+    after = after.replace(value=held(splice(t.value, merged.value, merged.touched, "dataset_id")))
     return op.refresh_resolved(after, kept, op.affected_cells(after, changes, written))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+# With it Spark removes the shuffles of a query when that ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows in packed files of the shared folder; the shuffles that made them are removed at once.
+
+    For frames that may be a good part of the facts: a checkpoint is not packed and takes several times the disk.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/held-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of the executors that made them."""
     shared_dir(df.sparkSession)

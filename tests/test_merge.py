@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
-from conftest import rows_of
+from conftest import planned, rows_of
 from pyspark.sql import functions as F
 
 from leverwise.functions import sizes
@@ -12,6 +12,7 @@ from leverwise.functions.sizes import is_small, join_dimension
 from leverwise.operators import merge as op
 from leverwise.operators import registry, security
 from leverwise.plans.registered.common import now
+from leverwise.session import held
 from leverwise.sources.schemas import BATCHES
 from leverwise.sources.tables import as_input, incomplete_rows, seed_reference
 from test_overlay import attribute, dataset, scenario, user
@@ -191,3 +192,50 @@ def test_a_hot_key_is_spread(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(parts) > 1 and sum(r["count"] for r in parts) == 4000
+
+
+@pytest.mark.parametrize("with_action", [False, True])
+def test_a_large_upsert_shuffles_each_side_once(tables, frame, spark, with_action, monkeypatch):
+    cells = "dataset_id bigint, attr_id bigint, value double, is_calc_redundant boolean"
+    target = frame(cells, (1, 1, 1.0, True), (1, 2, 2.0, True), (1, 2, 2.5, False), (None, 3, 3.0, True), (2, 1, None, None))
+    source = frame("dataset_id bigint, attr_id bigint, value double", (1, 2, 9.0), (2, 1, 8.0), (None, 3, 7.0), (5, 5, None))
+    args = (target, source, ["dataset_id", "attr_id"], ["value"], "value", with_action)
+    near = op.upsert(*args)
+    monkeypatch.setattr(op, "packed", lambda df: (df, False))
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far = op.upsert(*args)
+        assert planned(far).count("Exchange hashpartitioning") == 2
+        assert rows_of(far) == rows_of(near) and far.columns == near.columns and far.count() == 7
+        twice = op.upsert(target, source.union(source), *args[2:])
+        with pytest.raises(Exception, match="duplicate key"):
+            twice.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+
+
+def test_rows_of_files_stay_in_place_when_many_keys_go(spark):
+    wide = spark.range(0, 90_000, numPartitions=3).select(
+        (F.col("id") % 700).alias("a"), F.col("id").alias("b"), F.concat(F.lit("text "), "id").alias("c")
+    )
+    keys = wide.where("b % 3 = 0 or b % 8 > 5").select("a", "b").union(spark.createDataFrame([(None, 1), (1, None)], "a bigint, b bigint"))
+    want = wide.where("not (b % 3 = 0 or b % 8 > 5)").union(spark.createDataFrame([(None, 1, "n")], wide.schema))
+    stored = held(wide.union(spark.createDataFrame([(None, 1, "n")], wide.schema)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = op.without_keys(stored, keys, ["a", "b"])
+        assert "Exchange hashpartitioning" not in planned(got) and got.columns == wide.columns
+        assert rows_of(got) == rows_of(want)
+        # Rows that are not read from files, and bitmaps too large to be sent.
+        assert rows_of(op.without_keys(wide, keys, ["a", "b"])) == rows_of(want.where("a is not null"))
+        assert op.without_keys(stored, keys.limit(0), ["a", "b"]).count() == 90_001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+
+
+def test_held_rows_leave_the_setting_as_it_was(spark, frame):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = frame("a bigint, b string", (1, None), (None, "x"), (1, None))
+    assert rows_of(held(rows.groupBy("a", "b").count())) == rows_of(rows.groupBy("a", "b").count())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before

@@ -4,10 +4,12 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from leverwise.functions import sizes
 from leverwise.operators import overlay as op
 from leverwise.operators.catalogue import create_status, name_status
 from leverwise.plans.registered.common import now
 from leverwise.plans.what_if import what_if_round
+from leverwise.session import held
 
 def attribute(attr_id, level=1, calculated=False, lever=True, kpi=False, name=None):
     return (attr_id, name or f"a{attr_id}", "t", level, False, lever, calculated, False, False, kpi)
@@ -211,7 +213,6 @@ def test_what_if_round(t, frame):
     assert rows_of(after.value.where("dataset_id = 2"), "attr_id", "value") == [(10, 16.0), (11, 100.0)]
     assert rows_of(shown, "dataset_id", "attr_id", "value") == [(2, 10, 8.0), (2, 11, 100.0)]
 
-
 def test_merge_stamps_all_calculated_datasets_and_refuses_unknown_ones(tables, frame):
     t = tables(dataset=[dataset(1), dataset(2)], external_attr=[(1, 10, "p", 900, "a")], value=[(1, 10, 1.0, False)])
     ddl = "dataset_id bigint, object_path string, attr_name string, value double"
@@ -221,3 +222,36 @@ def test_merge_stamps_all_calculated_datasets_and_refuses_unknown_ones(tables, f
     assert merged.dataset.where(F.col("last_update") == now()).count() == 2
     with pytest.raises(Exception, match="no dataset 7"):
         op.merge_calculated(t, frame(ddl, (7, "p", "a", 5.0)), now())
+
+
+def test_resolved_values_agree_above_and_below_the_limit(t, tables, monkeypatch):
+    # A dataset and a scenario that come twice, once under another name, and a scenario on a base that does not exist.
+    t = t.replace(
+        dataset=t.dataset.union(tables(dataset=[dataset(2, name="again"), dataset(4)]).dataset),
+        scenario=t.scenario.union(tables(scenario=[scenario(20, 1, 2), scenario(40, 99, 4)]).scenario),
+        value=t.value.union(tables(value=[(4, 10, 1.0, True), (4, 11, 2.0, False)]).value),
+        scenario_change=t.scenario_change.union(tables(scenario_change=[(40, 10, 3.0)]).scenario_change),
+    )
+    near = op.resolved_values(t)
+    assert near.where("dataset_id = 2").count() == 8
+    whole = sizes.cut_lineage
+    monkeypatch.setattr(op, "measured", lambda df: (whole(df), False))
+    monkeypatch.setattr(sizes, "is_small", lambda df: False)
+    assert rows_of(op.resolved_values(t)) == rows_of(near)
+
+
+def test_refresh_of_many_cells(t, frame, monkeypatch):
+    changes = frame(CHANGES, (20, 10, 8.0, False, 1), (30, 11, None, True, 1))
+    after = t.replace(scenario_change=op.apply_changes(t, changes))
+    kept, cells = held(op.resolved_values(t)), op.affected_cells(after, changes)
+    plain = op.packed
+    monkeypatch.setattr(op, "packed", lambda df: (plain(df)[0], False))
+    assert rows_of(op.refresh_resolved(after, kept, cells)) == rows_of(op.resolved_values(after))
+
+
+def test_results_with_their_attributes_are_not_looked_up_again(t, frame):
+    results = frame("dataset_id bigint, object_path string, attr_name string, value double", (2, "p", "a11", 5.0), (3, "p", "x", 1.0))
+    found = op.with_attr_ids(t, results).select("dataset_id", "attr_id", "value")
+    merged = op.merge_calculated(t, found, now(), dataset_ids=results.select("dataset_id"))
+    usual = op.merge_calculated(t, results, now())
+    assert rows_of(merged.value) == rows_of(usual.value) and rows_of(merged.dataset) == rows_of(usual.dataset)
