@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leverwise.functions.expressions import external_path, relative_change
 from leverwise.functions.ids import assign_ids, next_id
-from leverwise.functions.sizes import by_size, join_dimension, measured, packed
+from leverwise.functions.sizes import by_size, is_small, join_dimension, measured, packed
 from leverwise.operators.merge import missing_from, unique_by, upsert, without_keys
 from leverwise.operators.security import may_see, with_level
 from leverwise.session import cut_lineage
@@ -258,11 +258,17 @@ def calc_inputs(t: Tables, scope_by_model: bool = False) -> DataFrame:
     views = t.scenario.select("scenario_id", F.col("view_dataset_id").alias("dataset_id"))
     heads = t.dataset.select("dataset_id", "model_id").join(views, "dataset_id", "left")
 
+    few = is_small(paths)
+
     def paths_where(kind: str) -> DataFrame:
-        return paths.join(t.attribute.where(kind).select("attr_id"), "attr_id", "left_semi")
+        kinds = by_size(t.attribute.where(kind).select("attr_id"), few)
+        return by_size(paths.join(kinds, "attr_id", "left_semi"), few)
 
     cells = join_dimension(t.value, heads, ["dataset_id"], "attr_id")
-    plain = with_override(cells, t, "scenario_id", "new_value").join(paths_where("not is_calculated"), "attr_id")
+    # Values that no scenario shows have no override and skip that join.
+    stored = cells.where("scenario_id is null").withColumn("new_value", F.lit(None).cast("double"))
+    seen = with_override(cells.where("scenario_id is not null"), t, "scenario_id", "new_value")
+    plain = seen.unionByName(stored).join(paths_where("not is_calculated"), "attr_id")
     if scope_by_model:
         plain = plain.where("model_id = path_model")
     forced = join_dimension(t.scenario_change, views, ["scenario_id"], "attr_id").join(

@@ -188,7 +188,7 @@ def _round(t) -> DataFrame:
         plain = inputs.where("is_override = 0")
         return plain.select("dataset_id", "object_path", "attr_name", (F.col("value") * 2).alias("value"))
 
-    return what_if_round(t, _latest(t), calculate, now())[1]
+    return what_if_round(held_inputs(t, "value"), _latest(t), calculate, now())[1]
 
 
 ROUND_VALUES_SQL = f"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from leverwise.operators.merge import splice
 from leverwise.operators.overlay import apply_changes, calc_inputs, merge_calculated, resolved_values
+from leverwise.session import held
 from leverwise.sources.tables import Tables
 
 
@@ -18,7 +19,8 @@ def what_if_round(
 
     ``calculate`` is the external model: from calculator input to (dataset_id, object_path, attr_name, value).
     """
-    t = t.replace(scenario_change=apply_changes(t, changes))
-    merged = merge_calculated(t, calculate(calc_inputs(t)), now)
-    t = t.replace(value=splice(t.value, merged.value, merged.touched, "dataset_id"), dataset=merged.dataset)
+    # Each of these frames is read several times below, so it is written once.
+    t = t.replace(scenario_change=held(apply_changes(t, changes)))
+    merged = merge_calculated(t, held(calculate(calc_inputs(t))), now)
+    t = t.replace(value=held(splice(t.value, merged.value, merged.touched, "dataset_id")), dataset=merged.dataset)
     return t, resolved_values(t, datasets=merged.touched)

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from conftest import planned, rows_of
 from pyspark.sql import functions as F
 
 from leverwise.functions import sizes
@@ -212,6 +212,10 @@ def test_what_if_round(t, frame):
     after, shown = what_if_round(t, frame(CHANGES, (20, 10, 8.0, False, 1)), twice, now())
     assert rows_of(after.value.where("dataset_id = 2"), "attr_id", "value") == [(10, 16.0), (11, 100.0)]
     assert rows_of(shown, "dataset_id", "attr_id", "value") == [(2, 10, 8.0), (2, 11, 100.0)]
+    # What the later steps read is written once, not worked out for each of them.
+    for state in (after.value, after.scenario_change):
+        assert "Join" not in planned(state) and "Scan parquet" in planned(state)
+
 
 def test_merge_stamps_all_calculated_datasets_and_refuses_unknown_ones(tables, frame):
     t = tables(dataset=[dataset(1), dataset(2)], external_attr=[(1, 10, "p", 900, "a")], value=[(1, 10, 1.0, False)])
