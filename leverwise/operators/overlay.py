@@ -499,7 +499,7 @@ def with_attr_ids(t: Tables, rows: DataFrame, scope_by_model: bool = False) -> D
     """Batch rows with the attribute their external path names. Models are ignored unless scoped."""
     paths = t.external_attr.select("object_path", "attr_name", "attr_id", *(["model_id"] if scope_by_model else []))
     key = ["object_path", "attr_name", *(["model_id"] if scope_by_model else [])]
-    return rows.join(paths, key)
+    return rows.join(by_size(paths), key)
 
 
 def merge_calculated(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from leverwise.operators import overlay as op
 from leverwise.plans.model_import import CHANGED, import_model, write_import
 from leverwise.plans.registered import ingest, overlay
-from leverwise.plans.registered.common import now
+from leverwise.plans.registered.common import held_inputs, now
 from leverwise.session import shared_dir
 from leverwise.sources.versions import Slice, Store, create_store
 
@@ -37,6 +37,7 @@ def _chosen(t) -> DataFrame:
 
 def _merged(t) -> DataFrame:
     """Calculated results merged in as a new version that rewrites only the touched buckets."""
+    t = held_inputs(t, "calculated")
     store = stored(t, "value", "dataset")
     touched = t.calculated.select("dataset_id").distinct()
     held = t.replace(value=store.read("value", touched), dataset=store.read("dataset"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from leverwise.functions import sizes
 from leverwise.operators import overlay as op
 from leverwise.operators.catalogue import create_status, name_status
+from leverwise.plans.registered import stored
 from leverwise.plans.registered.common import now
 from leverwise.plans.what_if import what_if_round
 from leverwise.session import held
+from leverwise.sources.sample import SampleTables
 
 def attribute(attr_id, level=1, calculated=False, lever=True, kpi=False, name=None):
     return (attr_id, name or f"a{attr_id}", "t", level, False, lever, calculated, False, False, kpi)
@@ -217,6 +219,32 @@ def test_what_if_round(t, frame):
         assert "Join" not in planned(state) and "Scan parquet" in planned(state)
 
 
+def test_paths_too_many_to_broadcast_meet_results_in_a_shuffle(t, frame, monkeypatch):
+    results = frame("dataset_id bigint, object_path string, attr_name string, value double", (2, "p", "a11", 5.0))
+    assert "BroadcastHashJoin" in planned(op.with_attr_ids(t, results))
+    monkeypatch.setattr(sizes, "is_small", lambda df: False)
+    far = op.with_attr_ids(t, results)
+    assert "SortMergeJoin" in planned(far) and "Broadcast" not in planned(far)
+    assert rows_of(far, "dataset_id", "attr_id", "value") == [(2, 11, 5.0)]
+
+
+def test_versioned_merge_works_its_batch_out_once(spark, tables, frame, monkeypatch):
+    t = SampleTables(spark, "").replace(
+        supplier=frame("s_suppkey bigint", (1,), (2,)),
+        part=frame("p_partkey bigint, p_name string, p_brand string, p_type string", (10, "n", "b", "t"), (11, "m", "b", "t")),
+        lineitem=frame(
+            "l_suppkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_returnflag string",
+            (1, 10, 4.0, 100.0, "A"), (1, 11, 5.0, 110.0, "N"), (2, 11, 6.0, 120.0, "R"),
+        ),
+        dataset=tables(dataset=[dataset(1), dataset(2)]).dataset,
+    )
+    batches, merge = [], op.merge_calculated
+    monkeypatch.setattr(op, "merge_calculated", lambda t, results, at: batches.append(planned(results)) or merge(t, results, at))
+    got = stored.QUERIES["merge_calculated_versions"][0](t)
+    assert rows_of(got, "dataset_id", "attr_id", "value") == [(1, 10, 4.0), (1, 11, 110.0), (2, 11, 5.0)]
+    assert "Join" not in batches[0] and "Scan parquet" in batches[0]
+
+
 def test_merge_stamps_all_calculated_datasets_and_refuses_unknown_ones(tables, frame):
     t = tables(dataset=[dataset(1), dataset(2)], external_attr=[(1, 10, "p", 900, "a")], value=[(1, 10, 1.0, False)])
     ddl = "dataset_id bigint, object_path string, attr_name string, value double"
