@@ -117,24 +117,22 @@ def without_keys(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     Wide rows read from Parquet files stay where they are: only their keys and places are shuffled, and the places found
     come back as bitmaps, one bit for each row. Other rows are shuffled whole.
     """
-    number = F.col("_metadata.row_index") + 1
-    place = ["_file", "_block"]
     try:
-        placed = rows.select(
-            "*", F.xxhash64("_metadata.file_path").alias("_file"), F.bitmap_bucket_number(number).alias("_block"),
-            F.bitmap_bit_position(number).cast("int").alias("_bit"),
-        )
+        placed = rows.select("*", F.xxhash64("_metadata.file_path").alias("_file"), (F.col("_metadata.row_index") + 1).alias("_row"))
     except AnalysisException:
         return rows.join(by_shuffle(keys), key, "left_anti")
-    found = placed.select(*key, *place, "_bit").join(by_shuffle(keys), key, "left_semi")
-    marks = cut_lineage(found.groupBy(*place).agg(F.bitmap_construct_agg("_bit").alias("_marks")))
+    place = ["_file", F.bitmap_bucket_number("_row").alias("_block")]
+    position = F.bitmap_bit_position("_row").cast("int")
+    found = placed.select(*key, "_file", "_row").join(by_shuffle(keys), key, "left_semi")
+    marks = cut_lineage(found.groupBy(*place).agg(F.bitmap_construct_agg(position).alias("_marks")))
     files = rows.sparkSession.createDataFrame([(f,) for f in rows.inputFiles()], "path string")
     told_apart = files.select(F.xxhash64("path")).distinct().count() == files.count()
     if not told_apart or marks.count() * BITMAP_BYTES > BROADCAST_BYTES:
         return rows.join(by_shuffle(keys), key, "left_anti")
-    byte = F.substring("_marks", F.shiftright("_bit", 3) + 1, F.lit(1))
-    marked = F.getbit(F.ascii(F.decode(byte, "ISO-8859-1")), F.col("_bit").bitwiseAND(7)) == 1
-    kept = placed.join(F.broadcast(marks), place, "left").where(F.col("_marks").isNull() | ~marked)
+    byte = F.substring("_marks", F.shiftright(position, 3) + 1, F.lit(1))
+    marked = F.getbit(F.ascii(F.decode(byte, "ISO-8859-1")), position.bitwiseAND(7)) == 1
+    blocks = placed.withColumn("_block", place[1])
+    kept = blocks.join(F.broadcast(marks), ["_file", "_block"], "left").where(F.col("_marks").isNull() | ~marked)
     return kept.select(*rows.columns)
 
 

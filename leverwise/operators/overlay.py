@@ -196,9 +196,10 @@ def _shown(
 
 
 def affected_cells(
-    t: Tables, overrides: DataFrame | None = None, values: DataFrame | None = None, scenarios: DataFrame | None = None
+    t: Tables, overrides: DataFrame | None = None, values: DataFrame | None = None, scenarios: DataFrame | None = None,
+    once: bool = True,
 ) -> DataFrame:
-    """(dataset_id, attr_id) of all cells of the resolved values that a change can show in, once each.
+    """(dataset_id, attr_id) of all cells of the resolved values that a change can show in, once each unless not asked.
 
     ``overrides``: (scenario_id, attr_id) set, changed or reverted; ``values``: (dataset_id, attr_id) written or removed;
     ``scenarios``: (scenario_id) whose base or view is another one now, given once with the tables of before and once
@@ -220,13 +221,19 @@ def affected_cells(
         shown = shown.union(relinked).union(
             relinked.join(above, "dataset_id").select(F.col("view_dataset_id").alias("dataset_id"), "attr_id")
         )
-    return shown.distinct()
+    return shown.distinct() if once else shown
 
 
 def refresh_resolved(t: Tables, kept: DataFrame, cells: DataFrame) -> DataFrame:
-    """Kept resolved values with the affected cells resolved anew from the tables ``t``; all others as they are."""
+    """Kept resolved values with the affected cells resolved anew from the tables ``t``; all others as they are.
+
+    Cells may be listed more than once. Few of them are materialised; many are worked out for each of the two joins, which
+    takes less disk than to keep them where ``affected_cells`` lists them from tables that are written already.
+    """
     key = ["dataset_id", "attr_id"]
-    cells, small = packed(cells.select(*key))
+    cells = cells.select(*key)
+    small = is_small(cells)
+    cells = cut_lineage(cells) if small else cells
     others = kept.join(F.broadcast(cells), key, "left_anti") if small else without_keys(kept, cells, key)
     return others.unionByName(resolved_cells(t, cells, small).select(*kept.columns))
 

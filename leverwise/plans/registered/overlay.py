@@ -167,7 +167,7 @@ def _refreshed(t) -> DataFrame:
     written = held(op.with_attr_ids(t, t.calculated).select("dataset_id", "attr_id", "value"))
     merged = op.merge_calculated(after, written, now(), dataset_ids=t.calculated.select("dataset_id"))
     after = after.replace(value=held(splice(t.value, merged.value, merged.touched, "dataset_id")))
-    return op.refresh_resolved(after, kept, op.affected_cells(after, changes, written))
+    return op.refresh_resolved(after, kept, op.affected_cells(after, changes, written, once=False))
 
 
 MERGED_SQL = f"""with source as (

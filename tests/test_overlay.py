@@ -276,9 +276,12 @@ def test_refresh_of_many_cells(t, frame, monkeypatch):
     changes = frame(CHANGES, (20, 10, 8.0, False, 1), (30, 11, None, True, 1))
     after = t.replace(scenario_change=op.apply_changes(t, changes))
     kept, cells = held(op.resolved_values(t)), op.affected_cells(after, changes)
-    plain = op.packed
-    monkeypatch.setattr(op, "packed", lambda df: (plain(df)[0], False))
-    assert rows_of(op.refresh_resolved(after, kept, cells)) == rows_of(op.resolved_values(after))
+    listed = op.affected_cells(after, changes, once=False)
+    assert rows_of(listed.distinct()) == rows_of(cells)
+    near = rows_of(op.refresh_resolved(after, kept, listed.union(cells)))
+    monkeypatch.setattr(op, "is_small", lambda df: False)
+    far = op.refresh_resolved(after, kept, listed.union(cells))
+    assert rows_of(far) == near == rows_of(op.resolved_values(after))
 
 
 def test_results_with_their_attributes_are_not_looked_up_again(t, frame):
