@@ -133,7 +133,8 @@ def without_keys(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     marked = F.getbit(F.ascii(F.decode(byte, "ISO-8859-1")), position.bitwiseAND(7)) == 1
     blocks = placed.withColumn("_block", place[1])
     kept = blocks.join(F.broadcast(marks), ["_file", "_block"], "left").where(F.col("_marks").isNull() | ~marked)
-    return kept.select(*rows.columns)
+    # The key first, as a join by it would give the columns.
+    return kept.select(*key, *[c for c in rows.columns if c not in key])
 
 
 def reconcile(

@@ -215,7 +215,7 @@ def test_a_large_upsert_shuffles_each_side_once(tables, frame, spark, with_actio
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
 
 
-def test_rows_of_files_stay_in_place_when_many_keys_go(spark):
+def test_rows_of_files_stay_in_place_when_many_keys_go(spark, monkeypatch):
     wide = spark.range(0, 90_000, numPartitions=3).select(
         (F.col("id") % 700).alias("a"), F.col("id").alias("b"), F.concat(F.lit("text "), "id").alias("c")
     )
@@ -230,6 +230,8 @@ def test_rows_of_files_stay_in_place_when_many_keys_go(spark):
         # Rows that are not read from files, and bitmaps too large to be sent.
         assert rows_of(op.without_keys(wide, keys, ["a", "b"])) == rows_of(want.where("a is not null"))
         assert op.without_keys(stored, keys.limit(0), ["a", "b"]).count() == 90_001
+        monkeypatch.setattr(op, "BITMAP_BYTES", 10**9)
+        assert rows_of(op.without_keys(stored, keys, ["a", "b"])) == rows_of(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
 

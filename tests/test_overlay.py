@@ -278,10 +278,11 @@ def test_refresh_of_many_cells(t, frame, monkeypatch):
     kept, cells = held(op.resolved_values(t)), op.affected_cells(after, changes)
     listed = op.affected_cells(after, changes, once=False)
     assert rows_of(listed.distinct()) == rows_of(cells)
-    near = rows_of(op.refresh_resolved(after, kept, listed.union(cells)))
+    near = op.refresh_resolved(after, kept, listed.union(cells))
     monkeypatch.setattr(op, "is_small", lambda df: False)
     far = op.refresh_resolved(after, kept, listed.union(cells))
-    assert rows_of(far) == near == rows_of(op.resolved_values(after))
+    assert far.columns == near.columns and rows_of(far) == rows_of(near)
+    assert rows_of(far, *kept.columns) == rows_of(op.resolved_values(after))
 
 
 def test_results_with_their_attributes_are_not_looked_up_again(t, frame):
